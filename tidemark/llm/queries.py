@@ -15,6 +15,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, tables(spark, sf_dir, "labels")))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+
+    return html_extract.extract(tables(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact_dedup
 
@@ -47,6 +53,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.format_chats(tables(spark, sf_dir, "conversations"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -55,11 +67,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_html_extract": op2_html_extract,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op9_chat_format": op9_chat_format,
     "op10_packing": op10_packing,
 }
 
@@ -120,4 +134,17 @@ ORACLE_SQL = {
         SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT host_failed AS kept
         FROM f JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source""",
+    "op9_chat_format": """
+        WITH t AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS i
+          FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
+        c AS (
+          SELECT conv_id, count(*) AS n_turns,
+                 string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY i) AS chat
+          FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, chat FROM c a
+        WHERE NOT EXISTS (
+          SELECT 1 FROM c b WHERE a.conv_id <> b.conv_id AND starts_with(b.chat, a.chat)
+            AND (b.n_turns > a.n_turns OR b.chat = a.chat AND b.conv_id < a.conv_id))""",
 }
