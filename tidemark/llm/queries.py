@@ -53,6 +53,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    return repeats.cut_repeats(tables(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_repeats": op8_repeats,
     "op9_chat_format": op9_chat_format,
     "op10_packing": op10_packing,
 }
