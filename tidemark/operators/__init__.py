@@ -1 +1 @@
-
+"""DataFrame operators: joins, aggregates, intervals, top-k, deduplication, selection, checks."""

@@ -1 +1 @@
-
+"""Whole queries composed of operators."""
