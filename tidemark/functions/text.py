@@ -162,7 +162,8 @@ def failure_line(log: Column | str, rules: list[tuple[str, str]]) -> Column:
     lines = F.filter(F.transform(F.split(_c(log), "\n"), F.trim), lambda x: x != "")
     out = []
     for needle, label in rules:
-        hit = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(lines, lambda x, n=needle: F.contains(x, F.lit(n)))), -1)
+        holds = lambda x: F.contains(x, F.lit(needle))  # noqa: B023, E731  used at once
+        hit = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(lines, holds)), -1)
         out.append(F.when(hit.isNotNull(), F.concat(F.lit(f"{label}: "), redacted(hit))))
     return F.coalesce(*out)
 

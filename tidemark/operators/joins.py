@@ -103,5 +103,6 @@ def merge_rows(df: DataFrame, key: str, order: str, lists: list[str], scalars: l
     agg = [F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
     out = df.groupBy(key).agg(rows.alias("_rows"), *agg)
     for c in lists:
-        out = out.withColumn(c, F.flatten(F.transform("_rows", lambda x, c=c: F.coalesce(x[c], F.array().cast(df.schema[c].dataType)))))
+        each = lambda x: F.coalesce(x[c], F.array().cast(df.schema[c].dataType))  # noqa: B023, E731  used at once
+        out = out.withColumn(c, F.flatten(F.transform("_rows", each)))
     return out.drop("_rows")
