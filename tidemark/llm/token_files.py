@@ -42,28 +42,23 @@ class ShardWriter:
         self.waiting.append(ids)
         self.n += len(ids)
         self.total += len(ids)
-        if self.n >= BATCH * self.length:
-            self._flush(self.n // self.length)
-
-    def _flush(self, sequences: int) -> None:
-        flat = np.concatenate(self.waiting)
-        cut = min(len(flat), sequences * self.length)
-        body = np.zeros(sequences * self.length, dtype=self.dtype)
-        body[:cut] = flat[:cut]
-        mask = np.arange(len(body)) < cut
-        for at in range(0, sequences, BATCH):
-            part = slice(at * self.length, (at + BATCH) * self.length)
-            self.file.write_batch(
-                pa.record_batch(
-                    [pa.FixedSizeListArray.from_arrays(pa.array(x[part]), self.length) for x in (body, mask)],
-                    schema=self.schema,
-                )
-            )
-        self.waiting, self.n = [flat[cut:]], len(flat) - cut
+        if self.n >= BATCH * self.length:  # every batch but the last has BATCH sequences
+            flat, size = np.concatenate(self.waiting), BATCH * self.length
+            for at in range(0, len(flat) - size + 1, size):
+                self._put(flat[at : at + size])
+            self.waiting = [flat[len(flat) // size * size :]]
+            self.n = len(self.waiting[0])
+
+    def _put(self, ids: np.ndarray) -> None:
+        body = np.zeros(-(-len(ids) // self.length) * self.length, dtype=self.dtype)
+        body[: len(ids)] = ids
+        mask = np.arange(len(body)) < len(ids)
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (body, mask)]
+        self.file.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
         if self.n:
-            self._flush(-(-self.n // self.length))
+            self._put(np.concatenate(self.waiting))
         self.file.close()
 
 
@@ -73,11 +68,14 @@ class Shard:
     def __init__(self, path: str):
         self.file = pa.ipc.open_file(files.reader(path))
         self.length = self.file.schema.field("ids").type.list_size
-        self.sizes = BATCH
+        self.held: dict[str, tuple[int, np.ndarray]] = {}
 
     def _column(self, batch: int, name: str) -> np.ndarray:
-        column = self.file.get_batch(batch).column(name)
-        return column.values.to_numpy(zero_copy_only=name == "ids")
+        """A batch's column end to end; the last one used stays open."""
+        if self.held.get(name, (-1,))[0] != batch:
+            column = self.file.get_batch(batch).column(name)
+            self.held[name] = batch, column.values.to_numpy(zero_copy_only=name == "ids")
+        return self.held[name][1]
 
     def sequence(self, i: int) -> np.ndarray:
         return self._column(i // BATCH, "ids")[i % BATCH * self.length :][: self.length]
@@ -90,6 +88,8 @@ class Shard:
         size = BATCH * self.length
         while n > 0:
             part = self._column(start // size, "ids")[start % size :][:n]
+            if not len(part):
+                raise IndexError("no such place in the stream")
             yield part
             start, n = start + len(part), n - len(part)
 
