@@ -260,3 +260,35 @@ def test_orchestration(spark):
     assert out["x"] == ("done", 5) and out["y"][0] == "failed"
 
 
+
+
+def test_calls(spark):
+    from tidemark.operators import calls
+
+    df = spark.createDataFrame([("a", "tags", "text", "x", True), ("b", "tags", "text", "bad", True), ("c", "asr", "text", "short", True), ("d", "asr", "text", "", False)], "shot_id string, channel string, mode string, value string, enabled boolean")
+    def make():  # nested, so that workers need no module of tests
+        def call(value):
+            if value == "bad":
+                raise TimeoutError("Bearer abcdefghijklmnop")
+            return [1.0] * (3 if value == "short" else 4)
+
+        return call
+
+    got = {r.shot_id: (r.status, r.error) for r in calls.embed_channels(df, make, 4).collect()}
+    assert got == {"a": ("ok", None), "b": ("failed", "TimeoutError: Bearer <redacted>"), "c": ("failed", "invalid result")}
+    out = spark.range(1).select(calls.stored_url(F.lit('{"url": "oss://b/k"}')).alias("a"), calls.stored_url(F.lit("done\nurl: oss://b/z ok")).alias("b"), calls.stored_url(F.lit("none")).alias("c")).first()
+    assert tuple(out) == ("oss://b/k", "oss://b/z", None)
+
+
+def test_clips(spark):
+    from tidemark.functions.text import within_length
+    from tidemark.operators import clips
+
+    kids = spark.createDataFrame([([("a", 1.0), ("b", 3.0), ("c", 1.0), ("d", 5.0)],)], "k array<struct<shot_id:string,duration_s:double>>")
+    run = kids.select(clips.child_run(F.col("k"), F.lit("b"), F.lit(6.0), F.lit("opening"), F.lit(2.5)).alias("r")).first().r
+    assert [(x.shot_id, x.planned_s) for x in run] == [("b", 3.0), ("d", 3.0)]
+    r = spark.range(1).select(
+        clips.start_offset(F.lit(10.0), F.lit(4.0), F.lit(0.5)).alias("a"), clips.start_offset(F.lit(10.0), F.lit(4.0), F.lit(None).cast("double")).alias("b"),
+        clips.parent_clip(F.lit(1.0), F.lit(9.0), F.lit(2.0), F.lit(20.0), F.lit(30.0)).alias("c"), within_length(F.array(F.lit("ab。cd。"), F.lit("efg。hi。")), 10).alias("d"),
+    ).first()
+    assert (r.a, r.b, tuple(r.c), r.d) == (3.88, 3.9, (2.0, 9.0, 7.0), ["ab。cd。", "efg。"])

@@ -172,3 +172,35 @@ def ordered_distinct(c: Column | str) -> Column:
     """Elements with white space collapsed, blanks left out, each at its first place."""
     clean = F.transform(_c(c), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.array_distinct(F.filter(clean, lambda x: x != ""))
+
+
+def rewritten(c: Column | str, rules: list[tuple[str, str]]) -> Column:
+    """Replacements one after another; rules are (pattern, form)."""
+    return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, _c(c))
+
+
+def within_length(sections: Column, most: int) -> Column:
+    """Texts of a script, each less its last sentence from the end on until all fit.
+
+    A section keeps one sentence at least. What a drop saves is known beforehand, so the
+    sections that drop one are those from the end whose savings are still needed.
+    """
+    parts = F.transform(sections, lambda t: F.struct(t.alias("t"), sentences(t).alias("s")))
+    with_cut = F.transform(
+        parts,
+        lambda p: F.struct(
+            p["t"].alias("t"),
+            F.when(F.size(p["s"]) > 1, F.array_join(F.slice(p["s"], 1, F.size(p["s"]) - 1), "")).otherwise(p["t"]).alias("cut"),
+        ),
+    )
+    over = F.aggregate(sections, F.lit(-most), lambda n, t: n + F.length(t))
+    kind = "struct<over:int,out:array<string>>"
+    start = F.struct(over.cast("int").alias("over"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        cut = acc["over"] > 0
+        text = F.when(cut, p["cut"]).otherwise(p["t"])
+        saved = F.length(p["t"]) - F.length(text)
+        return F.struct((acc["over"] - saved).cast("int").alias("over"), F.concat(F.array(text), acc["out"]).alias("out")).cast(kind)
+
+    return F.aggregate(F.reverse(with_cut), start.cast(kind), step)["out"]
