@@ -39,7 +39,9 @@ K = 50
 GRAM = 20
 WINDOWS = K - GRAM + 1
 CHUNK = 8 << 20
-HOT_DOCS = 200_000
+HOT_DOCS = 20_000
+#: Bytes in one run-length index: whole minimizers, as many as fit (one at least).
+INDEXED = 1 << 19
 #: Positions hashed at a time, and the bits that number them.
 SEGMENT, PLACE = 1 << 20, np.uint64(21)
 #: Stands for a null id: larger than any.
@@ -324,10 +326,11 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
             # A piece that is alone under its minimizer shares its windows with no other.
             _, group, times = np.unique(low, return_inverse=True, return_counts=True)
             several = np.flatnonzero(times[group] > 1)
+            several = several[np.argsort(group[several], kind="stable")]
             masks = np.zeros(len(numbers), np.uint32)
-            if len(several):
-                texts = list(numbers)
-                masks[several] = RunIndex([texts[i] for i in several.tolist()], least[several], K).statistics()
+            texts = list(numbers)
+            for part in _index_parts(several, group, texts):
+                masks[part] = RunIndex([texts[i] for i in part.tolist()], least[part], K).statistics()
             out = []
             for chunk, rec, mine in parts:
                 mark = masks[mine].copy()
@@ -398,6 +401,20 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     )
 
 
+def _index_parts(order: np.ndarray, group: np.ndarray, texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Stretches of pieces, sorted by minimizer, that make an index each; no minimizer is divided."""
+    sizes = np.cumsum([len(texts[i]) + 1 for i in order.tolist()])
+    ends = np.append(np.flatnonzero(np.diff(group[order])) + 1, len(order))
+    start = 0
+    while start < len(order):
+        base = sizes[start - 1] if start else 0
+        end = ends[np.searchsorted(ends, start, side="right") :]
+        fits = end[sizes[end - 1] - base <= INDEXED]
+        stop = int(fits[-1] if len(fits) else end[0])
+        yield order[start:stop]
+        start = stop
+
+
 def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(key, where it stands) for each distinct key."""
     order = np.argsort(keys, kind="stable")
