@@ -6,7 +6,9 @@ content: each belongs to its minimizer, the GRAM-byte string in it whose hash is
 Equal windows have equal minimizers. Consecutive windows with one minimizer make a piece
 of K to K + WINDOWS - 1 bytes, so every window is in exactly one piece.
 
-1. Documents are written once to the shared folder, in chunks of about CHUNK bytes.
+1. Documents are written once to the shared folder, in chunks of about CHUNK bytes. Texts
+   that a smaller id has as a whole are known by their digests from then on: all of such a
+   text is a repeat, and it tells the others nothing, so it stays out of steps 2 to 4.
 2. Each chunk lists its minimizers; those that only one document of the corpus has can't
    be part of a repeat. The lists are dealt by hash and each tells its chunks the rest.
 3. Each chunk sends its distinct pieces with those minimizers, each with its least
@@ -80,16 +82,19 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces_of(data: np.ndarray, ends: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, minimizer hash) of each piece of concatenated texts.
 
-    ends has where each text ends; no window spans two.
+    ends has where each text ends; no window spans two. Texts whose numbers are in skip
+    have no windows.
     """
     starts, counts, hashes = [], [], []
     if len(data) >= K:
         valid = np.ones(len(data), bool)
         for e, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
             valid[e - min(n, K - 1) : e] = False
+        for i in () if skip is None else skip.tolist():
+            valid[ends[i - 1] if i else 0 : ends[i]] = False
         valid = valid[: len(data) - K + 1]
         for at in range(0, len(valid), SEGMENT):
             ok = valid[at : at + SEGMENT]
@@ -131,7 +136,7 @@ def _write_arrow(path: str, attempt: str, columns: dict) -> None:
 
 
 def _chunked(docs: DataFrame, path: str) -> DataFrame:
-    """Write the documents in chunks; one row per chunk: chunk, rows, bytes."""
+    """Write the documents in chunks; one row per document: chunk, place, rank (its id), digest."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, attempt = files.attempt()
@@ -140,7 +145,12 @@ def _chunked(docs: DataFrame, path: str) -> DataFrame:
         def put():
             chunk = task << 20 | number
             _write_arrow(f"{path}/{chunk}.arrow", attempt, {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_binary())})
-            return pa.record_batch([pa.array([x], pa.int64()) for x in (chunk, len(ids), held)], names=["chunk", "rows", "bytes"])
+            digests = [hashlib.blake2b(t, digest_size=16).digest() if len(t) >= K else None for t in texts]
+            ranks = [NO_ID if i is None else i for i in ids]
+            return pa.record_batch(
+                [pa.array([chunk] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), pa.array(ranks, pa.int64()), pa.array(digests, pa.binary())],
+                names=["chunk", "place", "rank", "digest"],
+            )
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -155,12 +165,43 @@ def _chunked(docs: DataFrame, path: str) -> DataFrame:
 
     return materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            write, "chunk long, rows long, bytes long"
+            write, "chunk long, place int, rank long, digest binary"
         ),
         "chunks",
     )
 
 
+def _with_later_copies(rows: DataFrame) -> DataFrame:
+    """A row per chunk (key, other = -1, blob): the places of texts that a smaller id has as a whole."""
+    least = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("rank").alias("least"), F.count("*").alias("n"))
+    later = rows.join(least.filter("n > 1").select("digest", "least"), "digest").filter("rank > least")
+    places = later.groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("place")), lambda x: x.cast("string")), ",").alias("places"))
+    return rows.select("chunk").distinct().join(places, "chunk", "left").select(
+        F.col("chunk").alias("key"), F.lit(-1).cast("long").alias("other"), F.encode(F.coalesce("places", F.lit("")), "utf-8").alias("blob")
+    )
+
+
+def _skipped(blob: bytes) -> np.ndarray:
+    return np.array([int(x) for x in blob.split(b",") if x], np.int64)
+
+
+def _packed(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
+    """Arrays of one length, by bytes of equal weight, and a tail, compressed."""
+    parts = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    raw = b"".join([len(arrays[0]).to_bytes(4, "little"), *parts, tail])
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, *kinds: str) -> tuple[list[np.ndarray], bytes]:
+    raw = pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), "zstd", asbytes=True)
+    n, at, out = int.from_bytes(raw[:4], "little"), 4, []
+    for k in map(np.dtype, kinds):
+        planes = np.frombuffer(raw, np.uint8, n * k.itemsize, at).reshape(k.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(k).reshape(n))
+        at += n * k.itemsize
+    return out, raw[at:]
+
+
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
     """Rows (key, other, blob) that are sorted by key, key by key."""
     now, rows = None, []
@@ -182,15 +223,28 @@ def _rows(found: list[tuple[int, int, bytes]], names: list[str]) -> pa.RecordBat
 
 _ROW = "key long, other long, blob binary"
 _NAMES = ["key", "other", "blob"]
-_LISTED = np.dtype([("low", "<u4"), ("docs", "<u2")])
-_PIECE = np.dtype([("low", "<u4"), ("number", "<u4"), ("length", "u1"), ("least", "<i8")])
-_MARK = np.dtype([("number", "<u4"), ("mark", "<u4")])
+#: What blobs hold: minimizers as steps of their sorted hashes, with how many documents (255: or
+#: more); pieces as (hash, step of their numbers, length, least id) and their bytes; marks.
+_LISTED, _PIECES, _MARKS = ("<u4", "u1"), ("<u4", "<u4", "u1", "<i8"), ("<u4", "<u4")
 #: In a mark: the whole piece is a repeat. Windows use the lower bits.
 WHOLE = np.uint32(1 << 31)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """An even deal: minimizers have small hashes, so these are hashed once more."""
+    with np.errstate(over="ignore"):
+        m = h * np.uint64(0xFF51AFD7ED558CCD)
+        m ^= m >> np.uint64(33)
+        m *= np.uint64(0xC4CEB9FE1A85EC53)
+    return ((m >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_, prepend=sorted_.dtype.type(0))
+
+
+def _sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64).astype(np.uint32)
 
 
 def _low(h: np.ndarray) -> np.ndarray:
@@ -209,16 +263,15 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     path = scratch(spark, "repeats")
-    chunks = _chunked(docs, path)
-    n = max(1, chunks.count())
+    every = materialize(_with_later_copies(_chunked(docs, path)), "chunk-copies")
+    n = max(1, every.count())
     buckets = n
-    every = chunks.select(F.col("chunk").alias("key"), F.lit(-1).cast("long").alias("other"), F.lit(None).cast("binary").alias("blob"))
 
     def listed(batches):
         for b in batches:
-            for chunk in b.column(0).to_pylist():
+            for chunk, _, copies in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 c = Chunk(f"{path}/{chunk}.arrow")
-                first, _, h = pieces_of(c.data, c.ends)
+                first, _, h = pieces_of(c.data, c.ends, _skipped(copies))
                 doc = np.searchsorted(c.ends, first, side="right")
                 pair = np.lexsort((doc, h))
                 h, doc = h[pair], doc[pair]
@@ -228,26 +281,29 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
                 at = np.flatnonzero(new_h)
                 if not len(at):
                     continue
-                docs_of = np.add.reduceat(new_pair.astype(np.int64), at)
-                rec = np.empty(len(at), _LISTED)
-                rec["low"], rec["docs"] = _low(h[at]), np.minimum(docs_of, 65535)
-                yield _rows([(k, chunk, rec[i].tobytes()) for k, i in _split(_bucket(h[at], buckets))], _NAMES)
+                docs_of = np.minimum(np.add.reduceat(new_pair.astype(np.int64), at), 255).astype(np.uint8)
+                low, out = _low(h[at]), []
+                for k, i in _split(_bucket(h[at], buckets)):
+                    i = i[np.argsort(low[i], kind="stable")]
+                    out.append((k, chunk, _packed(_steps(low[i]), docs_of[i])))
+                yield _rows(out, _NAMES)
 
     def repeated(batches):
         for bucket, rows in _by_key(batches):
-            recs = [np.frombuffer(blob, _LISTED) for _, blob in rows]
-            every_one = np.concatenate(recs)
-            low, back = np.unique(every_one["low"], return_inverse=True)
-            total = np.bincount(back, every_one["docs"])
-            out = []
-            at = 0
-            for (chunk, _), rec in zip(rows, recs, strict=True):
-                t = total[back[at : at + len(rec)]]
-                at += len(rec)
-                keep = rec[t > 1].copy()
-                if len(keep):
-                    keep["docs"] = t[t > 1] > hot_docs
-                    out.append((chunk, bucket, keep.tobytes()))
+            lows, docs_of = [], []
+            for _, blob in rows:
+                (steps, d), _ = _unpacked(blob, *_LISTED)
+                lows.append(_sums(steps))
+                docs_of.append(d)
+            _, back = np.unique(np.concatenate(lows), return_inverse=True)
+            total = np.bincount(back, np.concatenate(docs_of))
+            out, at = [], 0
+            for (chunk, _), low in zip(rows, lows, strict=True):
+                t = total[back[at : at + len(low)]]
+                at += len(low)
+                keep = t > 1
+                if keep.any():
+                    out.append((chunk, bucket, _packed(_steps(low[keep]), (t[keep] > hot_docs).astype(np.uint8))))
             if out:
                 yield _rows(out, _NAMES)
 
@@ -255,13 +311,13 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
         _, attempt = files.attempt()
         for chunk, rows in _by_key(batches):
             c = Chunk(f"{path}/{chunk}.arrow")
-            first, windows, h = pieces_of(c.data, c.ends)
+            first, windows, h = pieces_of(c.data, c.ends, _skipped(next(x for o, x in rows if o < 0)))
             known, hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for bucket, blob in rows:
                 if bucket >= 0:
-                    rec = np.frombuffer(blob, _LISTED)
-                    known.append(np.uint64(bucket) << np.uint64(32) | rec["low"].astype(np.uint64))
-                    hot.append(rec["docs"] > 0)
+                    (steps, is_hot), _ = _unpacked(blob, *_LISTED)
+                    known.append(np.uint64(bucket) << np.uint64(32) | _sums(steps).astype(np.uint64))
+                    hot.append(is_hot > 0)
             known, hot = np.concatenate(known), np.concatenate(hot)
             order = np.argsort(known)
             known, hot = known[order], hot[order]
@@ -289,13 +345,10 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
             texts = list(numbers)
             shown = np.empty(len(texts), np.int64)
             shown[number[::-1]] = np.arange(len(number))[::-1]  # one place where each stands
-            rec = np.empty(len(texts), _PIECE)
-            rec["low"], rec["number"], rec["least"] = _low(h[shown]), np.arange(len(texts)), least
-            rec["length"] = windows[shown] + K - 1
+            low, length = _low(h[shown]), (windows[shown] + K - 1).astype(np.uint8)
             out = []
             for k, i in _split(bucket[shown]):
-                head = np.array([len(i)], "<u4").tobytes()
-                out.append((k, chunk, head + rec[i].tobytes() + b"".join([texts[x] for x in i.tolist()])))
+                out.append((k, chunk, _packed(low[i], _steps(i.astype(np.uint32)), length[i], least[i], tail=b"".join([texts[x] for x in i.tolist()]))))
                 if len(out) >= 64:
                     yield _rows(out, _NAMES)
                     out = []
@@ -307,20 +360,17 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
             numbers: dict[bytes, int] = {}
             parts, ids, lows = [], [], []
             for chunk, blob in rows:
-                m = int(np.frombuffer(blob, "<u4", 1)[0])
-                rec = np.frombuffer(blob, _PIECE, m, 4)
-                at = 4 + rec.nbytes
-                cuts = (np.cumsum(rec["length"].astype(np.int64)) + at).tolist()
-                mine = []
-                for end in cuts:
-                    mine.append(numbers.setdefault(blob[at:end], len(numbers)))
+                (low, steps, length, first_id), body = _unpacked(blob, *_PIECES)
+                at, mine = 0, []
+                for end in np.cumsum(length.astype(np.int64)).tolist():
+                    mine.append(numbers.setdefault(body[at:end], len(numbers)))
                     at = end
-                parts.append((chunk, rec, np.array(mine, np.int64)))
-                ids.append(parts[-1][2])
-                lows.append(rec["low"])
+                parts.append((chunk, _sums(steps), first_id, np.array(mine, np.int64)))
+                ids.append(parts[-1][3])
+                lows.append(low)
             of, lows = np.concatenate(ids), np.concatenate(lows)
             least = np.full(len(numbers), NO_ID, np.int64)
-            np.minimum.at(least, of, np.concatenate([r["least"] for _, r, _ in parts]))
+            np.minimum.at(least, of, np.concatenate([x for _, _, x, _ in parts]))
             low = np.empty(len(numbers), np.uint32)
             low[of] = lows
             # A piece that is alone under its minimizer shares its windows with no other.
@@ -332,14 +382,12 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
             for part in _index_parts(several, group, texts):
                 masks[part] = RunIndex([texts[i] for i in part.tolist()], least[part], K).statistics()
             out = []
-            for chunk, rec, mine in parts:
+            for chunk, number, first_id, mine in parts:
                 mark = masks[mine].copy()
-                mark[rec["least"] > least[mine]] |= WHOLE
+                mark[first_id > least[mine]] |= WHOLE
                 on = mark > 0
                 if on.any():
-                    back = np.empty(int(on.sum()), _MARK)
-                    back["number"], back["mark"] = rec["number"][on], mark[on]
-                    out.append((chunk, 0, back.tobytes()))
+                    out.append((chunk, 0, _packed(_steps(number[on]), mark[on])))
             if out:
                 yield _rows(out, _NAMES)
 
@@ -350,14 +398,20 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
             first, windows, number, least = (p.column(k).to_numpy() for k in ("first", "windows", "number", "least"))
             windows = windows.astype(np.int64)
             marks = np.zeros(int(number.max(initial=0)) + 1, np.uint32)
-            for _, blob in rows:
-                if blob is not None:
-                    back = np.frombuffer(blob, _MARK)
-                    marks[back["number"]] |= back["mark"]
+            copies = np.zeros(0, np.int64)
+            for other, blob in rows:
+                if other < 0:
+                    copies = _skipped(blob)
+                else:
+                    (steps, mark), _ = _unpacked(blob, *_MARKS)
+                    marks[_sums(steps)] |= mark
             mark = marks[number] if len(number) else np.zeros(0, np.uint32)
             doc = np.searchsorted(c.ends, first, side="right")
             whole = (mark & WHOLE > 0) | (c.order[doc] > least)
+            starts = np.concatenate(([0], c.ends))
             change = np.zeros(len(c.data) + 1, np.int32)
+            np.add.at(change, starts[copies], 1)
+            np.add.at(change, starts[copies + 1], -1)
             np.add.at(change, first[whole], 1)
             np.add.at(change, first[whole] + windows[whole] + K - 1, -1)
             rest = np.flatnonzero(~whole & (mark > 0))
@@ -366,7 +420,6 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
                 np.add.at(change, hit, 1)
                 np.add.at(change, hit + K, -1)
             gone = np.cumsum(change[:-1]) > 0
-            starts = np.concatenate(([0], c.ends))
             keep = c.data[~gone].tobytes()
             removed = np.concatenate(([0], np.cumsum(gone)))
             rise = gone.copy()
@@ -392,7 +445,7 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(n, "key").sortWithinPartitions("key", "other")
 
-    lists = chunks.select("chunk").repartition(n, "chunk").mapInArrow(listed, _ROW)
+    lists = every.repartition(n, "key").mapInArrow(listed, _ROW)
     candidates = dealt(lists).mapInArrow(repeated, _ROW)
     to_buckets = dealt(candidates.unionByName(every)).mapInArrow(sent, _ROW)
     marks = materialize(dealt(to_buckets).mapInArrow(marked, _ROW), "marks")
