@@ -2,10 +2,9 @@
 
 In the pattern that byte-level BPE splits text with, a space before a character that is
 no white space always begins a new piece. So the chunks between such spaces are encoded
-on their own, with a bounded memo. A chunk of letters is one piece and goes straight to
-the library's merges; a comma or full stop after letters is a piece of its own; all other
-chunks that the memo lacks are encoded together, and the byte lengths of the ids tell
-where each chunk ends. Ids are the same as those of the whole text.
+on their own and kept in a bounded memo. A chunk that it lacks is cut into the pattern's
+pieces, and each piece goes to the library's merges. Ids are the same as those of the
+whole text.
 """
 
 from __future__ import annotations
@@ -17,9 +16,11 @@ import numpy as np
 
 END = 0
 MODEL = "byte_bpe_50k.json"
-#: Chunks that the memo holds before it is emptied.
-MEMO = 700_000
+#: Chunks in one generation of the memo; what an older one has moves up when it is used.
+MEMO = 600_000
 _SPLIT = re.compile(r" (?=\S)")
+#: White space after a space, or the text's end: only then do splits at " " and _SPLIT differ.
+_ODD = re.compile(r" (?:\s|\Z)")
 _made: dict[str, "Encoder"] = {}
 
 
@@ -36,90 +37,82 @@ def encoder(path: str) -> "Encoder":
     return _made[path]
 
 
+class _Memo(dict):
+    """Ids of chunks by chunk; asks for what it lacks."""
+
+    def __init__(self, learn, old: dict):
+        super().__init__()
+        self.learn, self.old = learn, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.learn(chunk)
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        size = self.model.get_vocab_size()
         #: Ids as narrow as the vocabulary allows.
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.bytes_of = np.array([len(self.model.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
-        self.memo: dict[str, bytes] = {}
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
         # Byte-level BPE shows bytes as characters: printable ones as themselves, others from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(plain))}
-        self.space = chr(self.shown[32])
         self.merge = self.model.model.tokenize
-        self.mark = {c: self._ids(c).tobytes() for c in ",."}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-
-    def _piece(self, chunk: str) -> bytes:
-        """The ids of a space and letters: one piece, so merges are all that is left to do."""
-        ids = [t.id for t in self.merge(self.space + chunk.encode().decode("latin-1").translate(self.shown))]
-        return array(self.code, ids).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Put the ids of chunks (each stands for itself after a space) in the memo."""
-        memo = self.memo
-        if len(memo) + len(chunks) > MEMO:
-            memo.clear()
-        rest = []
-        for c in chunks:
-            if c.isalpha():
-                memo[c] = self._piece(c)
-            elif c[-1] in ",." and c[:-1].isalpha():
-                base = memo.get(c[:-1])
-                if base is None:
-                    base = memo[c[:-1]] = self._piece(c[:-1])
-                memo[c] = base + self.mark[c[-1]]
-            else:
-                rest.append(c)
-        if rest:
-            ids = self._ids(" " + " ".join(rest))
-            ends = np.cumsum(self.bytes_of[ids])
-            lengths = np.fromiter((len(c.encode("utf-8", "surrogatepass")) + 1 for c in rest), np.int64, len(rest))
-            marks = np.searchsorted(ends, np.cumsum(lengths), side="left") + 1
-            raw, width, at = ids.tobytes(), self.dtype.itemsize, 0
-            for c, m in zip(rest, marks.tolist(), strict=True):
-                memo[c] = raw[at * width : m * width]
-                at = m
+        self.space = chr(self.shown[32])
+        self.short: dict[str, bytes] = {}
+        self.memo = _Memo(self._learn, {})
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
+            shown = self.space + piece[1:]
+        else:
+            shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.merge(shown)]).tobytes()
+
+    def _pieces(self, text: str) -> bytes:
+        out, short = [], self.short
+        for p in self.cut(text):
+            if len(p) > 2:
+                out.append(self._piece(p))
+                continue
+            ids = short.get(p)
+            if ids is None:
+                ids = short[p] = self._piece(p)
+                if len(short) > 100_000:
+                    short.clear()
+            out.append(ids)
+        return b"".join(out)
+
+    def _learn(self, chunk: str) -> bytes:
+        """The ids of a chunk after its space."""
+        if chunk.isalpha():
+            return self._piece(" " + chunk)
+        if chunk[-1] in ",." and chunk[:-1].isalpha():
+            return self.memo[chunk[:-1]] + self._pieces(chunk[-1])
+        return self._pieces(" " + chunk)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without END."""
-        split = []
-        missing: dict[str, None] = {}
-        memo = self.memo
-        for t in texts:
-            # Whether a tab or another odd white space needs the slower, exact split.
-            parts = t.split(" ") if "  " not in t and not _ODD.search(t) else _SPLIT.split(t)
-            split.append(parts)
-            missing.update(dict.fromkeys(p for p in parts[1:] if p not in memo))
-        get = memo.__getitem__
-        if missing:
-            kept = None
-            if len(memo) + len(missing) > MEMO:  # what this batch needs must outlive the emptying
-                kept = {p: memo[p] for parts in split for p in parts[1:] if p in memo}
-                get = kept.__getitem__
-            new = list(missing)
-            for i in range(0, len(new), 20_000):
-                self._learn(new[i : i + 20_000])
-                if kept is not None:
-                    kept.update((c, memo[c]) for c in new[i : i + 20_000])
         out = []
-        for parts in split:
-            first = self._ids(parts[0]).tobytes() if parts[0] else b""
-            out.append(np.frombuffer(first + b"".join(map(get, parts[1:])), dtype=self.dtype))
+        for t in texts:
+            parts = _SPLIT.split(t) if _ODD.search(t) else t.split(" ")
+            first = self._pieces(parts[0]) if parts[0] else b""
+            ids = first + b"".join(map(self.memo.__getitem__, parts[1:]))
+            out.append(np.frombuffer(ids, dtype=self.dtype))
+            if len(self.memo) > MEMO:
+                self.memo.old = None
+                self.memo = _Memo(self._learn, self.memo)
         return out
-
-
-#: White space after a space, or in front of one at an end: only then do splits at " " and at
-#: spaces before other characters differ.
-_ODD = re.compile(r" (?:\s|\Z)")
