@@ -292,3 +292,25 @@ def test_clips(spark):
         clips.parent_clip(F.lit(1.0), F.lit(9.0), F.lit(2.0), F.lit(20.0), F.lit(30.0)).alias("c"), within_length(F.array(F.lit("ab。cd。"), F.lit("efg。hi。")), 10).alias("d"),
     ).first()
     assert (r.a, r.b, tuple(r.c), r.d) == (3.88, 3.9, (2.0, 9.0, 7.0), ["ab。cd。", "efg。"])
+
+
+def test_records(spark):
+    from tidemark.operators import records as R
+
+    s = spark.createDataFrame([("s1", "防水测试，很好用", "", ["上脸"])], "k string, visual string, meaning string, keywords array<string>")
+    got = {r.term: r.weight for r in R.section_terms(s, "k", ["防水"], {"visual": 1.1, "meaning": 1.0}).collect()}
+    assert got == {"防水": 1.1, "上脸": 1.05, "防水测试": 0.55, "很好用": 0.55}
+    kids = spark.createDataFrame([("p", "a", 1, True, True, 3.0, None, "low"), ("p", "b", 3, False, True, 3.0, None, "low"), ("q", "c", 0, False, False, 1.0, "strong_duplicate", "high"), ("q", "d", 0, False, True, 1.0, None, "low")], "parent string, shot_id string, n_hits int, hard_hit boolean, verified boolean, duration_s double, duplicate_status string, hard_subtitle_risk string")
+    assert [(r.shot_id, r.rank) for r in R.rank_children(kids, ["parent"]).orderBy("parent", "rank").collect()] == [("a", 1), ("d", 1), ("c", 2)]
+    units = spark.createDataFrame([("A", "u1", 0.4, 5.2), ("A", "u2", 20.0, 21.0)], "asset_id string, unit_id string, start_s double, end_s double")
+    scenes = spark.createDataFrame([("A", 0, 0.0, 3.0), ("A", 1, 3.0, 6.0), ("A", 2, 6.0, 9.0)], "asset_id string, idx int, start_s double, end_s double")
+    assert sorted((r.unit_id, r.start_s, r.end_s) for r in R.scene_bounds(units, scenes).collect()) == [("u1", 0.0, 6.0), ("u2", 20.0, 21.0)]
+    runs = spark.createDataFrame([("r", True, True, 0, False), ("r", False, True, 1, False)], "run_id string, uploaded boolean, trimmed boolean, channels_failed int, needs_refine boolean")
+    assert R.run_rollup(runs).first().warnings == ["uploads are missing", "channels failed"]
+    prev = R.previous(spark.createDataFrame([("t", i, f"x{i}") for i in range(4)], "t string, i int, v string"), ["t"], "i", "v", 2)
+    assert prev.orderBy("i").collect()[3].before == ["x1", "x2"]
+    res = spark.createDataFrame([("a", "ok", "u"), ("b", "ok", "")], "shot_id string, status string, url string")
+    assert R.all_done(res.select("shot_id"), res).first().complete is False
+    c = spark.createDataFrame([("a", "p", None, 1.0, 4.0, None, None, 2.0, None, None, None, None)], "shot_id string, parent_shot_id string, time_range array<double>, start_s double, end_s double, usable_range array<double>, clip_actual_duration_s double, duration_s double, visual_summary string, source_meaning string, visual_actions array<string>, duplicate_status string")
+    r = R.child_records(c).first()
+    assert (r.start_s, r.usable_end, r.duration_s, r.duplicate_status) == (1.0, 4.0, 2.0, "unique")
