@@ -1,8 +1,9 @@
 """Exact deduplication by a content sort, in DataFrame operations only.
 
-Normalised texts are dealt to range partitions by sampled splitters over
-``(normalised bytes, salt)``, sorted there on disk if need be, and equal neighbours,
-compared in full, fold into one summary row each. The salt, a hash of the id, lets a
+Normalised texts are dealt to range partitions by sampled splitters over their first
+bytes, a hash of the rest and a salt, sorted there by all their bytes, on disk if need
+be, and equal neighbours, compared in full, fold into one summary row each. Splitters
+have a fixed width, so what the sample sends to the driver does not grow with the texts. The salt, a hash of the id, lets a
 splitter fall inside a large group of copies, so that such a group is spread over
 partitions; its partial summaries (at most SALTS) meet again by the SHA-256 of the text.
 Only summaries and fixed-width rows are shuffled after the sort.
@@ -17,6 +18,8 @@ from .shared import materialize, squeezed
 
 #: Parts that one group of equal texts can be split into.
 SALTS = 64
+#: Characters of a text that splitters see; texts that agree in them are told apart by their hash.
+HEAD = 32
 
 
 def _rank(n_chars: Column, doc_id: Column) -> Column:
@@ -32,10 +35,11 @@ def content_groups(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
     )
+    rows = rows.withColumns({"head": F.substring("norm", 1, HEAD), "rest": F.xxhash64("norm")})
     runs = (
-        rows.repartitionByRange("norm", "salt")
-        .sortWithinPartitions("norm", "salt")
-        .groupBy("norm", "salt")
+        rows.repartitionByRange("head", "rest", "salt")
+        .sortWithinPartitions("head", "norm", "rest", "salt")
+        .groupBy("head", "norm", "rest", "salt")
         .agg(F.min(_rank(F.col("n_chars"), F.col("doc_id"))).alias("best"), F.count("*").alias("n"))
     )
     return (
