@@ -24,6 +24,8 @@ BITS = 20
 PER_CLASS = 6000
 MIN_DOCS = 4
 MIN_RATIO = 1.5
+#: Tasks of the training; each sends the driver 12 bytes a feature at most.
+PARTS = 6
 #: Characters hashed at a time.
 CHUNK = 1 << 20
 
@@ -142,7 +144,7 @@ def held_out(column: str):
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on labelled documents outside the held-out fifth.
 
-    Without labelled documents every score is 0; with one class only, it is that class's
+    Without labelled documents every score is next to 0; with one class only, it is that class's
     share. Of several labels of an id the highest counts.
     """
     spark = docs.sparkSession
@@ -155,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(few), F.col("doc_id") == F.col("l_id"))  # bounded by per_class
         .select("toxic", "text")
-        .repartition(12)
+        .repartition(PARTS)
         .persist()
     )
 
@@ -175,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         )
 
     q, p, n = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(2)
-    for r in texts.mapInArrow(counted, "at binary, others binary, toxic binary, n_others long, n_toxic long").toLocalIterator():
+    for r in texts.mapInArrow(counted, "at binary, others binary, toxic binary, n_others long, n_toxic long").collect():
         at = np.frombuffer(r["at"], "<i4")
         q[at] += np.frombuffer(r["others"], "<i4")
         p[at] += np.frombuffer(r["toxic"], "<i4")
@@ -196,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             yield pa.record_batch([b.column(0), pa.array([x.astype("<i4").tobytes() for x in np.split(s, cuts)], pa.binary())], names=["toxic", "features"])
 
     y, parts = [], []
-    for r in texts.mapInArrow(selected, "toxic int, features binary").toLocalIterator():
+    for r in texts.mapInArrow(selected, "toxic int, features binary").collect():
         y.append(r["toxic"])
         parts.append(np.frombuffer(r["features"], "<i4"))
     texts.unpersist()
