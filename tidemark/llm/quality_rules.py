@@ -109,14 +109,11 @@ def host_rates(marked: DataFrame) -> DataFrame:
     chance = m * (1 - m) * F.col("hosts") / F.col("n")
     spread = F.col("squares") / F.col("n") - m * m - chance
     strength = F.when(spread > 0, m * (1 - m) / F.when(spread > 0, spread) - 1).otherwise(F.lit(1e6))
-    prior = pooled.filter("n > 0").select(
-        m.alias("prior_rate"), F.least(F.greatest(strength, F.lit(1.0)), F.lit(1e6)).alias("prior_docs")
-    )
-    rate = (F.col("host_failures") + F.col("prior_rate") * F.col("prior_docs")) / (F.col("host_docs") + F.col("prior_docs"))
-    return (
-        hosts.join(F.broadcast(prior))  # the prior is one row
-        .select("source", "host_docs", "host_failures", rate.alias("host_rate"))
-        .withColumn("host_failed", F.col("host_rate") > HOST_LIMIT)
+    prior = pooled.filter("n > 0").select(m.alias("rate"), F.least(F.greatest(strength, F.lit(1.0)), F.lit(1e6)).alias("docs")).first()
+    mean, weight = (prior["rate"], prior["docs"]) if prior else (0.0, 1.0)  # two numbers
+    rate = (F.col("host_failures") + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight))
+    return hosts.select("source", "host_docs", "host_failures", rate.alias("host_rate")).withColumn(
+        "host_failed", F.col("host_rate") > HOST_LIMIT
     )
 
 
