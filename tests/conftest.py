@@ -44,7 +44,7 @@ def norm(df):
     cols = sorted(df.columns)
 
     def text(v):
-        if v is None or v is not v:
+        if v is None or str(v) in ("nan", "NaT", "<NA>"):
             return "None"
         if hasattr(v, "tolist"):
             v = v.tolist()

@@ -509,14 +509,14 @@ def agg_median(spark, d):
 
 
 @query("""
-    SELECT o_orderkey, o_custkey, count(l_orderkey) AS n_children, round(coalesce(sum(l_quantity), 0), 2) AS quantity, min(l_linenumber)::BIGINT AS first_line
+    SELECT o_orderkey, o_custkey, count(l_orderkey) AS n_children, round(coalesce(sum(l_quantity), 0), 2) AS quantity, coalesce(min(l_linenumber), 0)::BIGINT AS first_line
     FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey""")
 def join_nested_children(spark, d):
     kids = J.nest_children(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", ["l_linenumber"])
     o = t(spark, d, "orders").select("o_orderkey", "o_custkey").join(kids, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     none = F.array().cast(o.schema["children"].dataType)
     kids = F.coalesce("children", none)
-    return o.select("o_orderkey", "o_custkey", long(F.size(kids)).alias("n_children"), F.round(F.aggregate(kids, F.lit(0.0), lambda s, x: s + x["l_quantity"]), 2).alias("quantity"), long(F.get(kids, 0)["l_linenumber"]).alias("first_line"))
+    return o.select("o_orderkey", "o_custkey", long(F.size(kids)).alias("n_children"), F.round(F.aggregate(kids, F.lit(0.0), lambda s, x: s + x["l_quantity"]), 2).alias("quantity"), long(F.coalesce(F.get(kids, 0)["l_linenumber"], F.lit(0))).alias("first_line"))
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
