@@ -2,8 +2,9 @@
 
 A pair without equal file hashes needs several close frames, and a close frame differs in
 at most BITS bits of its first hash; cut into BITS + 1 bands, two such hashes agree in one
-band at least. So (frame, band, value) is a key that finds every pair. Bands that many
-rows share are split by further bands before they are joined.
+band at least. So (frame, band, value) is a key that finds every pair. All pairs are
+returned, so a group of m copies gives m (m - 1) / 2 of them; equal file hashes alone give
+a star. For large groups of copies fold equal hash lists first.
 """
 
 from __future__ import annotations
@@ -41,8 +42,7 @@ def _frames(f: DataFrame) -> DataFrame:
 def candidate_pairs(f: DataFrame) -> DataFrame:
     """Pairs (a < b) that share a band of a frame, or the file hash.
 
-    Rows with equal hashes in all frames are one candidate: pairs are sought between such
-    classes and within a class as a star on its smallest row, which loses no link.
+    Rows of one file hash are linked as a star on the smallest, which loses no link.
     """
     keys = _frames(f)
     a, b = keys.alias("a"), keys.alias("b")

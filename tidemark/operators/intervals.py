@@ -84,10 +84,14 @@ def gap_islands(df: DataFrame, keys: list[str], order: list[str], gap: float | C
 def capped_islands(df: DataFrame, keys: list[str], gap: float = ISLAND_GAP_S, span: float = ISLAND_SPAN_S) -> DataFrame:
     """Runs of an entity's intervals with small gaps and a bounded span: keys, island, start_s, end_s, n.
 
-    A run's span depends on where it began, so the rows of an entity fold in order. An
-    entity here is one video or user; its rows are gathered for the fold.
+    A run's span depends on where it began, so rows fold in order. A gap that is too wide
+    begins a run in any case: an entity's rows are cut there first, by a window that
+    streams, and only the stretches between are gathered for the fold.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s"))).alias("rows"))
+    w = _all(keys, ["start_s", "end_s"])
+    new = F.coalesce((F.col("start_s") - F.lag("end_s").over(w) > gap).cast("int"), F.lit(1))
+    rows = df.select(*keys, "start_s", "end_s").withColumn("_new", new).withColumn("_part", F.sum("_new").over(w))
+    rows = rows.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s"))).alias("rows"))
     kind = "array<struct<start_s:double,last_s:double,end_s:double,n:int>>"
     new = lambda x: F.array(F.struct(x["start_s"].alias("start_s"), x["end_s"].alias("last_s"), x["end_s"].alias("end_s"), F.lit(1).alias("n")))
 
@@ -103,9 +107,9 @@ def capped_islands(df: DataFrame, keys: list[str], gap: float = ISLAND_GAP_S, sp
         return F.when(F.size(acc) == 0, new(x)).when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.concat(acc, new(x)))
 
     folded = F.aggregate("rows", F.array().cast(kind), step)
-    return rows.select(*keys, F.posexplode(folded).alias("_p", "_g")).select(
-        *keys, (F.col("_p") + 1).alias("island"), "_g.start_s", "_g.end_s", "_g.n"
-    )
+    out = rows.select(*keys, "_part", F.posexplode(folded).alias("_p", "_g"))
+    number = F.row_number().over(_all(keys, ["_part", "_p"]))
+    return out.select(*keys, number.alias("island"), "_g.start_s", "_g.end_s", "_g.n")
 
 
 def merge_short(bounds: Column, shortest: float, forward: bool = False) -> Column:
