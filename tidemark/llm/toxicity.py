@@ -26,7 +26,8 @@ MIN_DOCS = 4
 MIN_RATIO = 1.5
 #: Tasks of the training; each sends the driver 12 bytes a feature at most.
 PARTS = 6
-#: Characters hashed at a time.
+#: Texts worked on at a time, and characters hashed at a time.
+ROWS = 128
 CHUNK = 1 << 20
 
 
@@ -84,6 +85,13 @@ def present(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[
     return k >> BITS, k & ((1 << BITS) - 1)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that memory is bound by a few texts and not by Spark's batches."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 class Model:
     """Weights by feature; score is the probability of label 1."""
 
@@ -163,11 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     def counted(batches):
         by_class, docs_in = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-        for b in batches:
+        for b in _slices(batches):
             y = b.column(0).to_numpy()
             d, s = present(b.column(1).to_pylist())
             for k in (0, 1):
-                by_class[k] += np.bincount(s[y[d] == k], minlength=1 << BITS).astype(np.int32)
+                np.add.at(by_class[k], s[y[d] == k], 1)
                 docs_in[k] += int((y == k).sum())
         at = np.flatnonzero(by_class.sum(axis=0))
         yield pa.record_batch(
@@ -191,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     def selected(batches):
         on = np.unpackbits(mask.value).astype(bool)
-        for b in batches:
+        for b in _slices(batches):
             texts_in = b.column(1).to_pylist()
             d, s = present(texts_in, on)
             cuts = np.searchsorted(d, np.arange(1, len(texts_in)))
@@ -222,11 +230,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches):
         m = Model(*shared.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                s = m.scores(part.column(1).to_pylist())
-                yield pa.record_batch([part.column(0), pa.array(s)], names=["doc_id", "score"])
+        for b in _slices(batches):
+            yield pa.record_batch([b.column(0), pa.array(m.scores(b.column(1).to_pylist()))], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         scored, "doc_id long, score double"
@@ -249,10 +254,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def clean(batches):
         m = Model(*shared.value)
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                s = m.scores([None if t is None else str(t) for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays(part.filter(pa.array(s < 0.5)).columns, schema=b.schema)
+        for b in _slices(batches):
+            s = m.scores([None if t is None else str(t) for t in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(s < 0.5)).columns, schema=b.schema)
 
     return docs.mapInArrow(clean, docs.schema)
