@@ -40,12 +40,12 @@ from .shared import materialize, scratch, ship
 K = 50
 GRAM = 20
 WINDOWS = K - GRAM + 1
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 HOT_DOCS = 20_000
 #: Bytes in one run-length index: whole minimizers, as many as fit (one at least).
-INDEXED = 1 << 19
+INDEXED = 1 << 18
 #: Positions hashed at a time, and the bits that number them.
-SEGMENT, PLACE = 1 << 20, np.uint64(21)
+SEGMENT, PLACE = 1 << 18, np.uint64(19)
 #: Stands for a null id: larger than any.
 NO_ID = (1 << 63) - 1
 
