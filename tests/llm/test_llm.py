@@ -303,6 +303,61 @@ def test_masks_cover():
     assert all(any(not m & ((1 << i) | (1 << j)) for m in masks) for i in range(64) for j in range(i, 64))
 
 
+def shingle_sets(texts, size=5):
+    w = [t.encode().lower().split() for t in texts]
+    return [frozenset(tuple(x[i : i + size]) for i in range(max(1, len(x) - size + 1))) if x else frozenset() for x in w]
+
+
+def is_near(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("crowd", [16, 2])
+def test_near_copies_are_dropped_at_any_distance(spark, crowd):
+    from tidemark.llm import near
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    line = rng.choices(vocabulary, k=25)
+    texts = ["", "one", "one two", "One  two"]
+    for size in (12, 40, 120, 300):
+        for _ in range(12):
+            base = rng.choices(vocabulary, k=size)
+            texts.append(" ".join(base))
+            for _ in range(rng.randrange(1, 8)):
+                x = list(base)
+                for _ in range(rng.randrange(0, max(2, size // 20))):
+                    x[rng.randrange(size)] = rng.choice(vocabulary)
+                texts.append(" ".join(x + line if rng.random() < 0.2 else x))
+    base = rng.choices(vocabulary, k=100)
+    for _ in range(60):
+        x = list(base)
+        x[rng.randrange(100)] = rng.choice(vocabulary)
+        texts.append(" ".join(x))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in near.drop_similar(df, crowd=crowd).collect())
+    s = shingle_sets(texts)
+    assert not [(a, b) for a in kept for b in kept if a < b and is_near(s[a], s[b])]
+    gone = sorted(set(range(len(texts))) - set(kept))
+    assert all(any(is_near(s[a], s[g]) for a in range(g)) for g in gone)
+    if crowd == 16:
+        assert sorted(r.doc_id for r in simhash.drop_near(df).collect()) == kept
+    far = [(a, b) for a in range(len(s)) for b in range(a) if is_near(s[a], s[b]) and bin(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).count("1") > 2]
+    assert far  # what a radius of 2 bits cannot see
+
+
+def test_pipeline_drops_near_copies(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted(texts_of(P.STAGES[1][1](spark, docs, sf)))
+    s = shingle_sets([t or "" for _, t in rows])
+    gone = {rows[b][0] for b in range(len(rows)) for a in range(b) if is_near(s[a], s[b])}
+    assert gone
+    assert sorted(texts_of(P.STAGES[2][1](spark, P.STAGES[1][1](spark, docs, sf), sf))) == [r for r in rows if r[0] not in gone]
+
+
 # 7
 
 

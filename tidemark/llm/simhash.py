@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,31 +32,33 @@ SEED = 42
 CHUNK = 1 << 14
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned 64-bit SimHash of a text; 0 if it has no word."""
-    import numpy as np
+def shingles(text: str | None, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, up to CHUNK at a time; fewer words are one shingle."""
     from xxhash import xxh64_intdigest
 
     # bytes.lower() and bytes.split() know ASCII only: A-Z and the six white-space bytes.
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
-    if len(w) < SHINGLE:
-        return xxh64_intdigest(b" ".join(w), SEED)
-    n = len(w) - SHINGLE + 1
-    counts = np.zeros(64, dtype=np.int64)
+        return
+    size = min(size, len(w))
+    n = len(w) - size + 1
     for at in range(0, n, CHUNK):
-        part = w[at : min(at + CHUNK, n) + SHINGLE - 1]
-        grams = zip(*[part[k:] for k in range(SHINGLE)], strict=False)
-        h = np.array([xxh64_intdigest(g, SEED) for g in map(b" ".join, grams)], dtype="<u8")
+        part = w[at : min(at + CHUNK, n) + size - 1]
+        grams = zip(*[part[k:] for k in range(size)], strict=False)
+        yield np.array([xxh64_intdigest(g, SEED) for g in map(b" ".join, grams)], dtype="<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """Unsigned 64-bit SimHash of a text; 0 if it has no word."""
+    n, counts = 0, np.zeros(64, dtype=np.int64)
+    for h in shingles(text):
         bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
         counts += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        n += len(h)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-
     for b in batches:
         prints = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype="u8").view("i8")
         yield pa.record_batch([b.column(0), pa.array(prints)], names=["doc_id", "fp"])
@@ -131,11 +134,12 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its own columns.
+    """The documents that stay when near copies go; see near.drop_similar().
 
-    Rows with repeated ids stay together with their document; rows with a null id stay
-    only where their component has no other.
+    Fingerprints are not asked here: 2 bits are the contract of simhash_groups(), and
+    texts with a similarity of 0.8 are mostly further apart than any radius that tables
+    of masks can cover.
     """
-    groups = simhash_groups(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_id"]), "left_semi")
+    from .near import drop_similar
+
+    return drop_similar(docs)
