@@ -533,6 +533,64 @@ def test_plans():
     assert [tuple(map(int, x)) for x in zip(*places.find(20, np.arange(6)))] == [(0, 60), (1, 60), (2, 60), (0, 80), (1, 80), (2, 80)]
 
 
+def test_every_undominated_filling_is_tried():
+    found = [sorted(f.elements()) for f in map(Counter, packing.fillings(Counter([30, 25, 15, 10]), [30, 25, 15, 10], 40, 0, lambda: None))]
+    assert sorted(found) == [[10, 30], [15, 25]]
+    rng = random.Random(4)
+    for _ in range(150):
+        items = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 9))]
+        counts, space = Counter(items), rng.randrange(5, 60)
+        subsets = {tuple(sorted(x for i, x in enumerate(items) if m >> i & 1)) for m in range(1 << len(items))}
+        want = set()
+        for s in (s for s in subsets if sum(s) <= space):
+            rest, waste = counts - Counter(s), space - sum(s)
+            parts = [tuple(x for i, x in enumerate(s) if m >> i & 1) for m in range(1 << len(s))]
+            if not any(sum(t) <= x <= sum(t) + waste and t != (x,) for x in rest for t in parts):
+                want.add(s)
+        got = [tuple(sorted(Counter(f).elements())) for f in packing.fillings(counts, sorted(counts, reverse=True), space, space, lambda: None)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_one_id_documents_beside_large_ones():
+    counts = {1025: 3000, 1: 1500}
+    plan = packing.complete(counts)
+    assert sum(t for _, t in plan) == packing.lower_bound(counts) == 3000
+    # Best fit needs one bin more than there must be, and the search fills with over a thousand pieces.
+    counts = {1024: 2, 1: 2500, 700: 3, 648: 3, 1400: 3}
+    plan, done = packing.best_plan(counts)
+    used = Counter()
+    for f, t in plan:
+        assert sum(f) <= 2048
+        used.update({k: n * t for k, n in Counter(f).items()})
+    assert used == counts and sum(t for _, t in plan) >= packing.lower_bound(counts)
+    assert list(packing.fillings({1: 1500}, [1], 1023, 0, lambda: None)) == [{1: 1023}]
+
+
+def test_plans_are_optimal():
+    rng = random.Random(9)
+
+    def fewest(items, cap):
+        items, low = sorted(items, reverse=True), [len(items)]
+
+        def go(i, bins):
+            if len(bins) >= low[0]:
+                return
+            if i == len(items):
+                low[0] = len(bins)
+                return
+            for k in {b: k for k, b in enumerate(bins) if b >= items[i]}.values():
+                go(i + 1, [*bins[:k], bins[k] - items[i], *bins[k + 1 :]])
+            go(i + 1, [*bins, cap - items[i]])
+
+        go(0, [])
+        return low[0]
+
+    for _ in range(150):
+        items = [rng.randrange(10, 61) for _ in range(rng.randrange(6, 13))]
+        plan, done = packing.best_plan(Counter(items), 100)
+        assert done and sum(t for _, t in plan) == fewest(items, 100) >= packing.lower_bound(Counter(items), 100)
+
+
 # Graphs and the pipeline
 
 

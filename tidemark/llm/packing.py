@@ -3,11 +3,12 @@
 What is to be packed is fully described by how many pieces there are of each length, and
 lengths end at the sequence's: the histogram has at most CAPACITY rows however large the
 corpus is. The driver packs it. Best fit, done for all pieces of a length at once, gives
-an incumbent. Branch and bound then completes one bin at a time around the largest piece
-that is left: fillings that another one dominates (a piece could be swapped for a larger
-one that fits) are not enumerated, a branch is cut when its waste shows that it can't
-beat the incumbent, and a filling is used as often as its pieces allow. The plan, a list
-of fillings and how often each is used, is bounded by the number of lengths as well.
+an incumbent. Where it misses the lower bound, branch and bound completes one bin at a
+time around the largest piece that is left. All fillings are tried that no other one
+dominates and whose waste lets the plan beat the incumbent, least waste first, and each
+as often as its pieces allow, then less often. Only NODES ends this before it is through;
+best_plan() says so. The plan, a list of fillings and how often each is used, is bounded
+by the number of lengths as well.
 
 Pieces then find their places without meeting: a piece's rank among those of its length
 is its rank inside its task plus an offset by (task, length), and ranks are places in the
@@ -17,8 +18,9 @@ plan.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,23 @@ from . import files, tokens
 from .shared import materialize, ship
 
 CAPACITY = 2048
-#: Search nodes of one filling, and of one plan, before the best so far is taken.
-FILL_NODES = 3000
-PLAN_NODES = 4000
+#: Steps of the whole search, over all fillings and plans, before the best so far is taken.
+NODES = 1_000_000
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
 def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
-    return -(-sum(k * n for k, n in counts.items()) // capacity)
+    """The sum's, or what pieces of over half the capacity need beside those of a least length."""
+    n = np.zeros(capacity + 1, np.int64)
+    for length, k in counts.items():
+        n[length] = k
+    upto, size = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    least, half = np.arange(1, capacity // 2 + 1), capacity // 2
+    large = upto[capacity] - upto[half]
+    room = (upto[capacity - least] - upto[half]) * capacity - (size[capacity - least] - size[half])
+    more = -((room - (size[half] - size[least - 1])) // capacity)
+    return int(max(-(-size[capacity] // capacity), large + max(0, more.max(initial=0))))
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
@@ -63,79 +73,123 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return [(f, b) for groups in open_bins.values() for f, b in groups]
 
 
-def fillings(counts: Counter, lengths: list[int], space: int, most: int = 6) -> list[tuple[int, ...]]:
-    """The best undominated ways to fill a space, least waste first.
-
-    lengths are those with pieces left, in descending order. Larger pieces are tried
-    first, so a full one uses few and large pieces and keeps the small, handy ones.
+def dominated(filling: dict[int, int], counts: dict[int, int], waste: int, lengths: list[int]) -> bool:
+    """Whether a piece that is left could replace some of the filling's (or none) that are together no larger."""
+
+    def sums(without: int = 0) -> int:
+        out = 1
+        for x, n in filling.items():
+            k = 1
+            while n and x != without:
+                k = min(k, n)
+                out |= out << k * x
+                n, k = n - k, 2 * k
+        return out
+
+    near = (1 << waste + 1) - 1
+    every = sums()
+    for x in lengths:
+        if counts[x] > filling.get(x, 0):
+            # A piece of the same length is the same piece: only others count then.
+            reached = sums(x) if x in filling else every
+            low = x - waste
+            if (reached >> low if low > 0 else reached) & (near if low > 0 else (1 << x + 1) - 1):
+                return True
+    return False
+
+
+def fillings(counts: dict[int, int], lengths: list[int], space: int, slack: int, tick: Callable[[], None]) -> Iterator[dict[int, int]]:
+    """All undominated ways to fill a space with a waste of at most ``slack``: perfect ones, then others.
+
+    lengths are those with pieces left, in descending order; larger pieces are tried
+    first. Each step goes to the next length and takes some number of its pieces.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    nodes = 0
-    used: Counter = Counter()
-
-    def search(at: int, left: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal nodes
-        nodes += 1
-        fits = None
-        for i in range(at, len(lengths)):
-            x = lengths[i]
-            if x > left or used[x] >= counts[x]:
-                continue
-            if fits is None:
-                fits = x
-            elif left - x >= fits and nodes > 64:
-                break
-            used[x] += 1
-            done = search(i, left - x, (*chosen, x))
-            used[x] -= 1
-            if done or nodes > FILL_NODES:
-                return done
-        if fits is None:  # nothing more fits: maximal, so no swap from outside fits either unless smaller waste is found
-            found.append((left, chosen))
-            return left == 0 and len(found) >= 1
-        return False
-
-    search(0, space, ())
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    return [f for _, f in found[:most]]
-
-
-def complete(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """A plan with as few bins as the search finds; best fit where it finds none better."""
+    ascending = lengths[::-1]
+    behind = [0]
+    for x in ascending:
+        behind.append(behind[-1] + x * counts[x])
+    for low, high in ((0, 0), (1, slack)):
+        stack = [(len(ascending), space, None, -1)] if low <= high else []
+        while stack:
+            tick()
+            end, left, chosen, take = stack.pop()
+            if take < 0:
+                end = bisect_right(ascending, left, 0, end)
+                if left - behind[end] > high:
+                    continue  # all that still fits leaves too much
+                if not end:
+                    filling = dict(_unlinked(chosen))
+                    if low <= left <= high and not dominated(filling, counts, left, ascending[: bisect_right(ascending, space)]):
+                        yield filling
+                    continue
+                take = min(counts[ascending[end - 1]], left // ascending[end - 1])
+            x = ascending[end - 1]
+            if take:
+                stack.append((end, left, chosen, take - 1))
+            stack.append((end - 1, left - take * x, (chosen, x, take) if take else chosen, -1))
+
+
+class _Spent(Exception):
+    pass
+
+
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None) -> tuple[Plan, bool]:
+    """The plan with the fewest bins that was found, and whether nothing was left to try."""
     counts = {k: n for k, n in counts.items() if n}
     best = best_fit(counts, capacity)
     best_bins, bound = sum(n for _, n in best), lower_bound(counts, capacity)
     total = sum(k * n for k, n in counts.items())
-    nodes = 0
-    # Depth first with a stack of its own: (pieces left, plan as a linked list, bins, waste).
-    stack = [(Counter(counts), None, 0, 0)] if best_bins > bound else []
-    while stack and best_bins > bound and nodes < PLAN_NODES:
-        nodes += 1
-        left, plan, bins, waste = stack.pop()
-        lengths = sorted((k for k, n in left.items() if n), reverse=True)
-        if not lengths:
+    steps = NODES if nodes is None else nodes
+
+    def tick():
+        nonlocal steps
+        steps -= 1
+        if steps < 0:
+            raise _Spent
+
+    def options(left, plan, bins, waste):
+        """States that one filling more leads to."""
+        nonlocal best, best_bins
+        if not left:
             if bins < best_bins:
                 best_bins, best = bins, _unlinked(plan)
-            continue
+            return
+        lengths = sorted(left, reverse=True)
         top = lengths[0]
-        left[top] -= 1
-        options = fillings(left, lengths, capacity - top)
-        left[top] += 1
-        for f in reversed(options):  # the best is looked into first
-            filling = (top, *f)
-            need = Counter(filling)
-            times = min(left[k] // n for k, n in need.items())
-            spoiled = waste + times * (capacity - sum(filling))
-            # Waste alone tells how many bins there will be: cut what can't be fewer.
-            if -(-(total + spoiled) // capacity) >= best_bins and sum(n for n in left.values()) > sum(need.values()):
-                continue
-            after = Counter(left)
-            after.subtract({k: n * times for k, n in need.items()})
-            stack.append((after, (plan, filling, times), bins + times, spoiled))
-    return best
+        left[top] -= 1  # the bin's first piece
+        lengths = lengths if left[top] else lengths[1:]
+        # The waste alone tells how many bins there will be.
+        slack = min((best_bins - 1) * capacity - total - waste, capacity)
+        for f in fillings(left, lengths, capacity - top, slack, tick):
+            need = {**f, top: f.get(top, 0) + 1}
+            filling = tuple(x for x in sorted(need, reverse=True) for _ in range(need[x]))
+            empty = capacity - sum(filling)
+            for times in range(min((left[k] + (k == top)) // n for k, n in need.items()), 0, -1):
+                tick()
+                spoiled = waste + times * empty
+                if spoiled <= (best_bins - 1) * capacity - total:
+                    after = {k: n + (k == top) - need.get(k, 0) * times for k, n in left.items()}
+                    yield {k: n for k, n in after.items() if n}, (plan, filling, times), bins + times, spoiled
+
+    stack = [options(dict(counts), None, 0, 0)] if best_bins > bound else []
+    try:
+        while stack and best_bins > bound:
+            after = next(stack[-1], None)
+            if after is None:
+                stack.pop()
+            else:
+                stack.append(options(*after))
+    except _Spent:
+        return best, False
+    return best, True
+
+
+def complete(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """A plan with as few bins as the search finds; best fit where it finds none better."""
+    return best_plan(counts, capacity)[0]
 
 
-def _unlinked(plan) -> Plan:
+def _unlinked(plan) -> list[tuple]:
     out = []
     while plan:
         plan, filling, times = plan
