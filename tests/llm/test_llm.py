@@ -74,6 +74,16 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
 
 
+def test_toxicity_keeps_the_labels_share(spark):
+    rows = [(i, f"same text {i % 7}", int(i % 10 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in rows]
+    toxic, clean = (sum(y == k and not h for (*_, y), h in zip(rows, held)) for k in (1, 0))
+    for most in (20, 6000):  # nothing to tell by: the score is the share
+        score = toxicity.train(df, df.select("doc_id", "toxic"), most).scores([""])[0]
+        assert score == pytest.approx(toxic / (toxic + clean), abs=0.01)
+
+
 def test_ngrams_do_not_depend_on_chunks():
     t = ["ab cd" * 50, None, "xyz " * 40, "q"]
     whole = toxicity.present(t)

@@ -5,11 +5,13 @@ scaled by its log-count ratio r = log((p + 1) / |p|) - log((q + 1) / |q|), p and
 in how many toxic and other training documents it is; a logistic regression is fitted on
 the scaled features. Those that are rare, or about as frequent in both classes, are left
 out. Training takes at most PER_CLASS labelled documents of each class, chosen by a hash
-of their ids: that bounds the model and what the driver sees. Every text is scored whole.
+of their ids: that bounds the model and what the driver sees. The fitted bias is then moved
+by the log-odds of all labels against those taken. Every text is scored whole.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,14 +135,19 @@ def fit(rows: np.ndarray, features: np.ndarray, y: np.ndarray, ratio: np.ndarray
     return out, b
 
 
-def training_rows(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """At most ``per_class`` labelled ids of each class: l_id, toxic."""
-    said = (
+def labelled(labels: DataFrame) -> DataFrame:
+    """Labelled ids outside the held-out fifth: l_id, toxic."""
+    return (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").alias("l_id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
         .filter(~held_out("l_id"))
     )
+
+
+def training_rows(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """At most ``per_class`` labelled ids of each class: l_id, toxic."""
+    said = labelled(labels)
     pick = lambda k: said.filter(F.col("toxic") == k).orderBy(F.xxhash64("l_id"), "l_id").limit(per_class)
     return pick(1).unionByName(pick(0))
 
@@ -160,6 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     chosen = training_rows(labels, per_class).collect()  # at most 2 * per_class pairs of numbers
     if not chosen:
         return Model(np.zeros(1 << BITS), -500.0)
+    every = {r["toxic"]: r["count"] for r in labelled(labels).groupBy("toxic").count().collect()}
+    taken = Counter(r["toxic"] for r in chosen)
+    shift = sum((1 if k == 1 else -1) * float(np.log(every[k] / n)) for k, n in taken.items())
     few = spark.createDataFrame([(r["l_id"], r["toxic"]) for r in chosen], "l_id long, toxic int")
     texts = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -213,8 +223,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     rows = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     features = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     if not len(features):
-        return Model(np.zeros(1 << BITS), float(np.log(n[1] / n[0])))
-    return Model(*fit(rows, features, np.array(y, float), ratio))
+        return Model(np.zeros(1 << BITS), float(np.log(n[1] / n[0])) + shift)
+    weights, bias = fit(rows, features, np.array(y, float), ratio)
+    return Model(weights, bias + shift)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
