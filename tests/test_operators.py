@@ -314,3 +314,12 @@ def test_records(spark):
     c = spark.createDataFrame([("a", "p", None, 1.0, 4.0, None, None, 2.0, None, None, None, None)], "shot_id string, parent_shot_id string, time_range array<double>, start_s double, end_s double, usable_range array<double>, clip_actual_duration_s double, duration_s double, visual_summary string, source_meaning string, visual_actions array<string>, duplicate_status string")
     r = R.child_records(c).first()
     assert (r.start_s, r.usable_end, r.duration_s, r.duplicate_status) == (1.0, 4.0, 2.0, "unique")
+
+
+def test_least_reachable_fails_unsettled(spark):
+    import pytest
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        dedupe.least_reachable(path, rounds=1)
+    assert {r.component for r in dedupe.least_reachable(path).collect()} == {0}

@@ -118,7 +118,7 @@ def least_reachable(edges: DataFrame, a: str = "a", b: str = "b", rounds: int =
     """node, component (its smallest node) of all nodes with an edge.
 
     Each round takes the smallest label around and then the label's own label, which
-    halves paths; it ends when no label changed. Rounds are cut by checkpoint() in the
+    halves paths; it ends when no label changed, and fails if ``rounds`` don't settle them. Rounds are cut by checkpoint() in the
     folder of ``spark.checkpoint.dir``.
     """
     spark = edges.sparkSession
@@ -135,6 +135,8 @@ def least_reachable(edges: DataFrame, a: str = "a", b: str = "b", rounds: int =
         labels = after.select("u", F.col("n").alias("l"))
         if changed:
             break
+    else:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
     return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
 
 
