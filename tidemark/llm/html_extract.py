@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_labelled import labelled_pages
-from .html_tree import DROPPED, Node, parse
+from .html_tree import Node, parse
 from .shared import ship
 
 
@@ -75,9 +75,9 @@ def train(pages: list[str]) -> Model:
     rows, cols, y = [], [], []
     counts = np.ones((2, 2, 2))
     for page in pages:
-        nodes = parse(page)
+        nodes = parse(page, labels=True)
         for i, n in enumerate(nodes):
-            if i and n.tag not in DROPPED:
+            if i:
                 counts[int(n.text is not None), nodes[n.parent].label, n.label] += 1
             for f in features(nodes, i):
                 rows.append(len(y))

@@ -1,6 +1,6 @@
 """Labelled pages to train on: layouts of many kinds with invented words.
 
-An element with ``data-label`` gives its label (1: main text) to all in it, up to the next
+An element with ``data-tidemark-label`` gives its label (1: main text) to all in it, up to the next
 such element. The pages are made by rule and the same in every run.
 """
 
@@ -126,7 +126,7 @@ def _off(r: random.Random, kind: str) -> str:
     """Boilerplate as an element labelled 0."""
     out = _boilerplate(r, kind)
     cut = next(i for i, c in enumerate(out) if c in " >")
-    return f'{out[:cut]} data-label="0"{out[cut:]}'
+    return f'{out[:cut]} data-tidemark-label="0"{out[cut:]}'
 
 
 def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
@@ -136,13 +136,13 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
         kind = r.random()
         inner = _main(r)
         if kind < 0.45:
-            body = f'<article data-label="1"{_named(r, _CONTENT) if r.random() < 0.3 else ""}>{inner}</article>'
+            body = f'<article data-tidemark-label="1"{_named(r, _CONTENT) if r.random() < 0.3 else ""}>{inner}</article>'
         elif kind < 0.8:
-            body = f'<{(t := r.choice(("div", "section", "main")))} data-label="1"{_named(r, _CONTENT)}>{inner}</{t}>'
+            body = f'<{(t := r.choice(("div", "section", "main")))} data-tidemark-label="1"{_named(r, _CONTENT)}>{inner}</{t}>'
         elif kind < 0.9:
-            body = f'<table><tr><td>{_off(r, "menu")}</td><td data-label="1">{inner}</td></tr></table>'
+            body = f'<table><tr><td>{_off(r, "menu")}</td><td data-tidemark-label="1">{inner}</td></tr></table>'
         else:
-            body = f'<div data-label="1">{inner}</div>'
+            body = f'<div data-tidemark-label="1">{inner}</div>'
         if r.random() < 0.4:
             body = r.choice(("<main>{}</main>", '<div class="container">{}</div>', '<div id="wrapper"><div class="row">{}</div></div>')).format(
                 body + (_off(r, "side") if r.random() < 0.5 else "")

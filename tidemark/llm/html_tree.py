@@ -1,13 +1,15 @@
-"""A page as a tree of blocks: lenient parsing of HTML without recursion.
+"""A page as a tree of blocks: lenient parsing of HTML in one scan, without recursion.
 
 Nodes are the elements that structure a page and the text blocks in them; inline elements
-belong to the block that they stand in. Parents come before their children.
+belong to the block that they stand in. Parents come before their children. Every step
+looks at each character a bounded number of times, whatever is unclosed or crossed.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 #: Elements that belong to the text around them.
 INLINE = frozenset(
@@ -16,39 +18,98 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What these hold is never text of the page.
-DROPPED = frozenset("head title noscript template svg math object iframe select datalist canvas audio video".split())
+DROPPED = frozenset("title noscript template svg math object iframe select datalist canvas audio video script style textarea option noframes".split())
+#: What these hold is no markup: it ends at their end tag only.
+RAW = frozenset("script style textarea title xmp iframe noframes".split())
+#: Elements of a head; anything else, and text, is where the body begins.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Start tags that end an open element of these names.
 ENDS = {
-    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
-    "th": ("td", "th"), "option": ("option",), "body": ("head",),
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
 }
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|xmp|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""(class|id|role|data-label|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: The attribute that labels a page to train on; parse() reads it on request only.
+LABEL = "data-tidemark-label"
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_EDGE = re.compile(r">|=\s*[\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
+_LONG_REF = re.compile(r"&#(?:0*([1-9]\d*)|[xX]0*([1-9a-fA-F][0-9a-fA-F]*));?")
 
 
 class Node:
-    __slots__ = ("parent", "tag", "marks", "label", "text", "chars", "linked", "words", "depth", "kids")
+    __slots__ = ("parent", "tag", "marks", "label", "text", "chars", "linked", "words", "kids")
 
-    def __init__(self, parent: int, tag: str, marks: tuple[str, ...], label: int, depth: int):
-        self.parent, self.tag, self.marks, self.label, self.depth = parent, tag, marks, label, depth
+    def __init__(self, parent: int, tag: str, marks: tuple[str, ...], label: int):
+        self.parent, self.tag, self.marks, self.label = parent, tag, marks, label
         self.text: str | None = None
         self.chars = self.linked = self.words = self.kids = 0
 
 
-def _marks(attrs: str) -> tuple[tuple[str, ...], int | None]:
-    """Word parts of class, id and role; the label of a labelled page."""
+def unescape(text: str) -> str:
+    """Character references decoded; numbers beyond Unicode, of any length, are U+FFFD."""
+    if "&" not in text:
+        return text
+    short = lambda m: m[0] if len(m[1] or m[2]) < 8 else "�"
+    return html.unescape(_LONG_REF.sub(short, text))
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, is an end tag, attributes) of each tag, comments and the like with no name.
+
+    What stands between them is text. A tag that the page's end cuts off takes the rest.
+    """
+    at, n = 0, len(page)
+    endless: set[str] = set()  # raw elements that nothing closes from here on
+    while (at := page.find("<", at)) >= 0:
+        closing = page.startswith("/", at + 1)
+        m = _NAME.match(page, at + 1 + closing)
+        if not m:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                end = n if end < 0 else end + 3
+            elif page[at + 1 : at + 2] in ("!", "?", "/") and at + 1 < n:
+                end = page.find(">", at)
+                end = n if end < 0 else end + 1
+            else:
+                at += 1  # a sign of its own
+                continue
+            yield at, end, "", False, ""
+            at = end
+            continue
+        name, i, end = m[0].lower(), m.end(), n
+        while e := _EDGE.search(page, i):
+            i = e.end()
+            if page[i - 1] == ">":
+                end = i
+                break
+            i = page.find(page[i - 1], i) + 1 or i  # behind the quote, if one closes it
+        yield at, end, name, closing, page[m.end() : end - 1] if e else ""
+        at = end
+        if name in RAW and not closing:
+            found = None if name in endless else _RAW_END[name].search(page, at)
+            if found:
+                stop = found.start()
+            elif name in ("script", "style"):
+                stop = n
+            else:  # nobody closed it: its text ends with the next tag
+                endless.add(name)
+                stop = page.find("<", at)
+                stop = n if stop < 0 else stop
+            if name != "xmp":
+                yield at, stop, "", False, ""
+                at = stop
+            elif stop > at and found:  # literal text: no tag is looked for in it
+                at = stop
+
+
+def _marks(attrs: str, labels: bool) -> tuple[tuple[str, ...], int | None]:
+    """Word parts of class, id and role; the label of a page to train on."""
     marks, label = [], None
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name == "data-label":
+        if labels and name == LABEL:
             label = int(value)
         elif name in ("class", "id", "role"):
             marks += [m.lower() for m in _PART.findall(value)]
@@ -57,12 +118,32 @@ def _marks(attrs: str) -> tuple[tuple[str, ...], int | None]:
     return tuple(dict.fromkeys(marks)), label
 
 
-def parse(page: str) -> list[Node]:
-    """The nodes of a page in page order; a block of text is a node named #text."""
-    nodes = [Node(-1, "#root", (), 0, 0)]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # (tag, the block node that it belongs to)
+def _closed(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """Numbers of the end tags of those DROPPED elements that are closed, by their start tags' numbers."""
+    open_: dict[str, list[int]] = {}
+    pairs = {}
+    for i, (_, _, name, closing, attrs) in enumerate(tags):
+        if name in DROPPED:
+            if not closing:
+                if not (attrs.endswith("/") and name in ("svg", "math")):
+                    open_.setdefault(name, []).append(i)
+            elif open_.get(name):
+                pairs[open_[name].pop()] = i
+    return pairs
+
+
+def parse(page: str, labels: bool = False) -> list[Node]:
+    """The nodes of a page in page order; a block of text is a node named #text.
+
+    A DROPPED element goes with all in it up to its end tag; one without an end tag ends
+    at the next tag of a block. Head and body need no tags of their own.
+    """
+    nodes = [Node(-1, "#root", (), 0)]
+    stack: list[tuple[str, int]] = [("#root", 0)]  # open blocks: (tag, node)
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
     pending: list[str] = []
-    linked = links = dropped = 0
+    linked, link = 0, 0  # link: height of the stack in which a link is open
+    mute = False  # behind the start of a DROPPED element that nothing closes
 
     def flush() -> None:
         nonlocal linked
@@ -70,66 +151,78 @@ def parse(page: str) -> list[Node]:
         pending.clear()
         if text:
             at = stack[-1][1]
-            n = Node(at, "#text", (), nodes[at].label, nodes[at].depth + 1)
+            n = Node(at, "#text", (), nodes[at].label)
             n.text, n.chars, n.linked, n.words = text, len(text), min(linked, len(text)), text.count(" ") + 1
             nodes.append(n)
         linked = 0
 
+    def pop_to(k: int) -> None:
+        nonlocal link
+        for tag, _ in stack[k:]:
+            places[tag].pop()
+        del stack[k:]
+        if link > len(stack):
+            link = 0
+
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not dropped:
-            text = html.unescape(raw) if "&" in raw else raw
+        if raw and not mute:
+            text = unescape(raw)
+            if stack[-1][0] == "head" and not text.isspace():
+                flush()
+                pop_to(len(stack) - 1)
             pending.append(text)
-            if links:
+            if link:
                 linked += len(text)
 
-    def pop_to(k: int) -> None:
-        nonlocal links, dropped
-        for tag, _ in stack[k:]:
-            links -= tag == "a"
-            dropped -= tag in DROPPED
-        del stack[k:]
-
-    end = 0
-    for m in _TOKEN.finditer(page):
-        add(page[end : m.start()])
-        end = m.end()
-        name = m[3] or m[6]
-        if name is None:
+    tags = list(_tags(page))
+    ends = _closed(tags)
+    i = end = 0
+    while i < len(tags):
+        start, stop, tag, closing, attrs = tags[i]
+        if start >= end:
+            add(page[end:start])
+        end = stop
+        i += 1
+        if not tag:
+            continue
+        if tag == "br" or tag == "img":
+            pending.append(" ")
             continue
-        tag, attrs = name.lower(), m[4] or m[7] or ""
-        closing = m[2] or m[5]
         if closing:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            if tag == "a":
+                link = 0
             if tag not in INLINE:
                 flush()
-            if k:
-                pop_to(k)
+                mute = False
+                if places.get(tag):
+                    pop_to(places[tag][-1])
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            flush()
+            pop_to(len(stack) - 1)
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
-            links += tag == "a"
-            continue
-        if tag in ("br", "wbr", "img"):
-            pending.append(" ")
+            if tag == "a":
+                link = len(stack)
             continue
         flush()
-        if tag in VOID:
+        mute = False
+        if tag in DROPPED:
+            last = ends.get(i - 1)
+            if last is not None:  # gone, with all in it
+                end, i = tags[last][1], last + 1
+            else:
+                mute = tag not in ("title", "textarea", "iframe", "noframes", "script", "style", "svg", "math")
             continue
-        for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, and what ENDS says
-            open_tag = stack[k][0]
-            if open_tag == "p" or open_tag in ENDS.get(tag, ()):
-                pop_to(k)
-                break
-            if open_tag not in INLINE:
-                break
-        at = stack[-1][1]
-        marks, label = _marks(attrs) if attrs else ((), None)
-        if attrs.endswith("/") and tag not in ("p", "div"):
+        if tag in VOID or tag in ("html", "head", "body") and places.get(tag):
             continue
-        nodes.append(Node(at, tag, marks, nodes[at].label if label is None else label, nodes[at].depth + 1))
+        while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in ENDS.get(tag, ())):
+            pop_to(len(stack) - 1)
+        at = stack[-1][1]
+        marks, label = _marks(attrs, labels) if attrs else ((), None)
+        nodes.append(Node(at, tag, marks, nodes[at].label if label is None else label))
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, len(nodes) - 1))
-        dropped += tag in DROPPED
     add(page[end:])
     flush()
     for i in range(len(nodes) - 1, 0, -1):
