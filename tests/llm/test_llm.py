@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import chat, exact_dedup, html_extract, html_labelled, html_tree, mixing, packing, quality_rules, queries, repeats, run_index, simhash, token_files, tokens, toxicity
 from tidemark.llm.graph import components
@@ -102,7 +103,7 @@ def test_ngrams_do_not_depend_on_chunks():
 def test_html_on_labelled_pages():
     m, bad, total = html_extract.default_model(), 0, 0
     for page in html_labelled.labelled_pages(150, seed=77):
-        nodes = html_tree.parse(page)
+        nodes = html_tree.parse(page, labels=True)
         p = m.marginals(nodes)
         for i, n in enumerate(nodes):
             if n.text is not None:
@@ -148,6 +149,32 @@ def test_html_pages(spark, sf, empty):
     assert html_extract.extract(some.filter("false")).count() == 0
 
 
+def test_html_that_lacks_tags():
+    m = html_extract.default_model()
+    main = "Main words of the story, which is one long sentence that says a good deal about what happened there."
+    for page in (
+        f"<html><head><title>x</title><p>{main}", f"<head><meta charset=utf-8><div>{main}</div>", f"<title>y</title>{main}",
+        f"<body><noscript><p>{main}</p>", f"<body><svg><path d='x'><p>{main}", f"<select><option>Aa<option>Bb<p>{main}</p>", f"<p>{main}</p><title>z",
+        f"<p>{main}</p><svg><title>icon</title><g/></svg><select><option>One</select><noscript>turn it on</noscript>", f"<p a='>' b=c\">{main}</p>",
+        f"<p class='a>b'>{main}</p><!-- {main} <p>", f"<p>{main}</p><script>if (a < b) {{ x('</p>') }}", f"<td data-label>{main}</td>",
+    ):
+        assert [n.text for n in html_tree.parse(page) if n.text] == [main], page
+    cells = '<article><h1>Prices</h1><table><tr><td data-label="Price">ten of the coins that they use</td><td data-label>and more</td></tr></table></article>'
+    assert html_extract.main_text(cells, m).split("\n\n")[0] == "Prices"
+    assert [n.text for n in html_tree.parse("a < b <3 &lt;c&gt; &#" + "9" * 6000 + "; &#0000000065;<wbr>B")] == [None, "a < b <3 <c> � AB"]
+    assert [n.text for n in html_tree.parse("<b>x<p>y</b>z</p>w")][1:] == ["x", None, "yz", "w"]
+
+
+@pytest.mark.parametrize("unit", ['<a x="b" ', "<a ", "<b></i>", "<!--", "<title>", "<a x='>\" ", "<p", "<", "</", "&#9", "<noscript>", "<option>", '=  "', "<a =\" ='", "<td><tr>", "<div></i>"])
+def test_html_is_linear(unit):
+    import time
+
+    m, page = html_extract.default_model(), (unit * (1 << 20))[: 1 << 20]
+    began = time.process_time()
+    html_extract.main_text(page, m)
+    assert time.process_time() - began < 20  # seconds at most here, hours if a step looked back
+
+
 # 3
 
 
@@ -172,8 +199,14 @@ def test_exact_dedup_odd(odd, empty):
 
 def test_encoder_equals_library(docs):
     e = tokens.Encoder(tokens.default_path())
-    t = [x or "" for _, x in texts_of(docs)] + [x or "" for _, x, _, _ in ODD] + [" a\n b", "a \n b", "it's  don't", "\x1f a\x85 b", "<|endoftext|> a", "end ", "  "]
-    want = [x.ids for x in e.model.encode_batch_fast(t, add_special_tokens=False)]
+    end = "<|endoftext|>"
+    t = [x or "" for _, x in texts_of(docs)] + [x or "" for _, x, _, _ in ODD] + [" a\n b", "a \n b", "it's  don't", "\x1f a\x85 b", "end ", "  "]
+    t += [end, f"{end} a", f"a{end}b", f"a {end}  {end}{end} b ", "<|endoftext|", f"<|{end}|>", f"x \n{end}\n y"]
+    rng = random.Random(6)
+    t += ["".join(rng.choice([" ", "  ", "\n", "ab", "é", "9", ",", "'s", end, end[:5], "日本"]) for _ in range(30)) for _ in range(300)]
+    fresh = Tokenizer.from_file(tokens.default_path())
+    want = [x.ids for x in fresh.encode_batch_fast(t, add_special_tokens=False)]
+    assert 50256 in sum(want, [])
     assert [x.tolist() for x in e.encode(t)] == want
     old, tokens.MEMO = tokens.MEMO, 20
     try:
@@ -183,8 +216,9 @@ def test_encoder_equals_library(docs):
 
 
 def ids_of(texts):
-    e = tokens.Encoder(tokens.default_path())
-    return [np.append(x.astype("<u4"), np.uint32(0)) for x in e.encode([t or "" for t in texts])]
+    """By the library itself."""
+    fresh = Tokenizer.from_file(tokens.default_path())
+    return [np.array([*x.ids, 0], "<u4") for x in fresh.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_token_files(spark, docs, odd, empty, tmp_path):

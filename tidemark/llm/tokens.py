@@ -3,8 +3,9 @@
 In the pattern that byte-level BPE splits text with, a space before a character that is
 no white space always begins a new piece. So the chunks between such spaces are encoded
 on their own and kept in a bounded memo. A chunk that it lacks is cut into the pattern's
-pieces, and each piece goes to the library's merges. Ids are the same as those of the
-whole text.
+pieces, and each piece goes to the library's merges. A string that the file adds as a
+token (an end marker, say) has that token's id wherever it stands, as the library does by
+default, and splits the text around it. Ids are the same as those of the whole text.
 """
 
 from __future__ import annotations
@@ -62,7 +63,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content: (i, t) for i, t in self.model.get_added_tokens_decoder().items()}
+        self.added = {content: i for content, (i, _) in added.items()}
+        #: Tokens that also take or ask for something of what stands beside them.
+        self.fussy = [c for c, (_, t) in added.items() if t.lstrip or t.rstrip or t.single_word]
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.marks = re.compile(f"({'|'.join(longest)})") if longest else None
         #: Ids as narrow as the vocabulary allows.
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -104,13 +110,29 @@ class Encoder:
             return self.memo[chunk[:-1]] + self._pieces(chunk[-1])
         return self._pieces(" " + chunk)
 
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
+        parts = _SPLIT.split(text) if _ODD.search(text) else text.split(" ")
+        first = self._pieces(parts[0]) if parts[0] else b""
+        return first + b"".join(map(self.memo.__getitem__, parts[1:]))
+
+    def _marked(self, text: str) -> bytes:
+        """The ids of a text with added tokens in it."""
+        if any(c in text for c in self.fussy):
+            return array(self.code, self.model.encode(text, add_special_tokens=False).ids).tobytes()
+        out = []
+        for i, part in enumerate(self.marks.split(text)):
+            if i % 2:
+                out.append(array(self.code, [self.added[part]]).tobytes())
+            elif part:
+                out.append(self._plain(part))
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without END."""
         out = []
         for t in texts:
-            parts = _SPLIT.split(t) if _ODD.search(t) else t.split(" ")
-            first = self._pieces(parts[0]) if parts[0] else b""
-            ids = first + b"".join(map(self.memo.__getitem__, parts[1:]))
+            ids = self._marked(t) if any(c in t for c in self.added) else self._plain(t)
             out.append(np.frombuffer(ids, dtype=self.dtype))
             if len(self.memo) > MEMO:
                 self.memo.old = None
