@@ -3,10 +3,12 @@
 Normalised texts are dealt to range partitions by sampled splitters over their first
 bytes, a hash of the rest and a salt, sorted there by all their bytes, on disk if need
 be, and equal neighbours, compared in full, fold into one summary row each. Splitters
-have a fixed width, so what the sample sends to the driver does not grow with the texts. The salt, a hash of the id, lets a
-splitter fall inside a large group of copies, so that such a group is spread over
-partitions; its partial summaries (at most SALTS) meet again by the SHA-256 of the text.
-Only summaries and fixed-width rows are shuffled after the sort.
+have a fixed width, so what the sample sends to the driver does not grow with the texts.
+The salt, a hash of the id, lets a splitter fall inside a large group of copies, so that
+such a group is spread over partitions; its partial summaries (at most SALTS) meet again
+by the SHA-256 of the text. Each part then gets its group's verdict, and rows find it by
+text and salt, so that no task holds all copies of a text. Only summaries and fixed-width
+rows are shuffled after the sort.
 """
 
 from __future__ import annotations
@@ -14,10 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, squeezed
+from .shared import SALTS, materialize, squeezed
 
-#: Parts that one group of equal texts can be split into.
-SALTS = 64
 #: Characters of a text that splitters see; texts that agree in them are told apart by their hash.
 HEAD = 32
 
@@ -27,13 +27,14 @@ def _rank(n_chars: Column, doc_id: Column) -> Column:
     return F.struct((-n_chars).alias("neg_chars"), doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"))
 
 
-def content_groups(docs: DataFrame) -> DataFrame:
-    """One row per distinct normalised text: text_sha256, best (rank struct), group_size."""
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("short").alias("salt")
+
+
+def content_runs(docs: DataFrame) -> DataFrame:
+    """One row per distinct normalised text and salt: text_sha256, salt, best (rank struct), n."""
     rows = docs.select(
-        squeezed(F.col("text")).alias("norm"),
-        F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
-        "doc_id",
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        squeezed(F.col("text")).alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "doc_id", _salt()
     )
     rows = rows.withColumns({"head": F.substring("norm", 1, HEAD), "rest": F.xxhash64("norm")})
     runs = (
@@ -42,11 +43,7 @@ def content_groups(docs: DataFrame) -> DataFrame:
         .groupBy("head", "norm", "rest", "salt")
         .agg(F.min(_rank(F.col("n_chars"), F.col("doc_id"))).alias("best"), F.count("*").alias("n"))
     )
-    return (
-        runs.select(F.sha2("norm", 256).alias("text_sha256"), "best", "n")
-        .groupBy("text_sha256")
-        .agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
-    )
+    return runs.select(F.sha2("norm", 256).alias("text_sha256"), "salt", "best", "n")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -57,19 +54,22 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     doc_id loses to any other. Of repeated rows (same id, same text) exactly one is
     marked as kept. Empty tables give no rows; other columns are ignored.
     """
-    groups = content_groups(docs)
+    runs = materialize(content_runs(docs), "exact-runs")
+    whole = runs.groupBy("text_sha256").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
+    groups = runs.select("text_sha256", "salt").join(whole, "text_sha256")
     members = (
         docs.select(
             "doc_id",
             F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
             F.sha2(squeezed(F.col("text")), 256).alias("text_sha256"),
+            _salt(),
         )
-        .groupBy("doc_id", "n_chars", "text_sha256")
+        .groupBy("doc_id", "n_chars", "text_sha256", "salt")
         .agg(F.count("*").alias("times"))
     )
     mine = _rank(F.col("n_chars"), F.col("doc_id"))
     return (
-        members.join(groups, "text_sha256")
+        members.join(groups, ["text_sha256", "salt"])
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
         .select(
             "doc_id",
@@ -99,12 +99,9 @@ def drop_exact(docs: DataFrame) -> DataFrame:
         return out
     # Repeated ids: rows of one id and one normalised text fold into the one that stays.
     key = F.sha2(squeezed(F.col("text")), 256)
-    whole = F.struct(
-        (-F.char_length(F.coalesce("text", F.lit("")))).alias("_neg"), *[F.col(c) for c in cols]
-    )
-    return out.groupBy(F.col("doc_id").alias("_id"), key.alias("_sha")).agg(F.min(whole).alias("_row")).select(
-        *[F.col("_row")[c].alias(c) for c in cols]
-    )
+    whole = F.struct(F.struct((-F.char_length(F.coalesce("text", F.lit("")))).alias("n")), F.struct(*[F.col(c) for c in cols]))
+    held = out.groupBy(F.col("doc_id"), key).agg(F.min(whole).alias("row"))
+    return held.select(F.col("row.col2.*"))
 
 
 def repeats_ids(docs: DataFrame) -> bool:

@@ -19,21 +19,40 @@ from pyspark.sql import functions as F
 #: The white space of all contracts here, as a character class: space and \t \n \v \f \r.
 WS = r"[\x20\x09-\x0D]"
 
+#: Parts that a group of any size is split into.
+SALTS = 64
+
 _shipped: set[str] = set()
+_kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set to a temporary one if unset."""
+    """The folder of ``spark.checkpoint.dir``; on one machine set to a temporary one if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    """The store that a path is on, and the path for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is there goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    mine = f"{shared_dir(spark)}/tidemark/{app}"
+    if mine not in _kept:
+        _kept.add(mine)
+        fs, where = _at(spark, mine)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return f"{mine}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -53,8 +72,24 @@ def discard(spark: SparkSession, *of: DataFrame | str) -> None:
     for x in of:
         path = x if isinstance(x, str) else getattr(x, "_scratch", None)
         if path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            fs, where = _at(spark, path)
+            fs.delete(where, True)
+
+
+def with_group(df: DataFrame, by: list[str], unit: Column, counted: str | None = None, **least: str) -> DataFrame:
+    """Each row with its group's values: the minimum of a column by name, and how many rows.
+
+    No task holds a group: rows are split by a hash of ``unit`` into SALTS parts, parts
+    fold before they are shuffled, and every part gets the whole group's values back. The
+    rows should be cheap to read twice. Keys in ``by`` must not be null.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(unit), F.lit(SALTS)).cast("short"))
+    n = [F.count("*").alias("_n")] if counted else []
+    parts = salted.groupBy(*by, "_salt").agg(*n, *[F.min(c).alias(f"_{k}") for k, c in least.items()])
+    sums = [F.sum("_n").alias(counted)] if counted else []
+    whole = parts.groupBy(*by).agg(*sums, *[F.min(f"_{k}").alias(k) for k in least])
+    back = parts.select(*by, "_salt").join(whole, by)
+    return salted.join(back, [*by, "_salt"]).drop("_salt")
 
 
 def ship(spark: SparkSession) -> None:
