@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import discard, materialize, with_group
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,9 +13,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps, which flatten every component to a star
     in a number of rounds logarithmic in its size. Neighbours are never gathered: a
-    node's smallest neighbour is an aggregate and goes back by a join, so that a hub with
-    a third of all edges is folded before the shuffle and split by the adaptive join.
-    Each round is written to the shared folder; the driver sees counts and sums only.
+    node's smallest neighbour is an aggregate that goes back to its edges part by part, so
+    that a hub with a third of all edges is in no task as a whole. Each round is written
+    to the shared folder; the driver sees counts and sums only.
     """
     spark = edges.sparkSession
     now = materialize(
@@ -31,16 +31,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = now.select(F.col("u").alias("n"), F.col("v").alias("w")).unionByName(
             now.select(F.col("v").alias("n"), F.col("u").alias("w"))
         )
-        least = both.groupBy("n").agg(F.min("w").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.filter("w > n").join(least, "n").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        around = with_group(both, ["n"], F.col("w"), m="w")
+        large = around.filter("w > n").select(F.col("w").alias("u"), F.least("n", "m").alias("v"))
         large = materialize(large.filter("u > v").distinct(), "cc")
         # Small star: smaller neighbours, and the node itself, move to the smallest one.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-        )
+        small = with_group(large, ["u"], F.col("v"), m="v").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         after = materialize(small.filter("u > v").distinct(), "cc")
         discard(spark, now, large)
         now, before, seen = after, seen, state(after)

@@ -6,11 +6,14 @@ fingerprints fold into one row first, however many documents have them. Then eac
 the mask's vector; whatever r bits two fingerprints differ in, some mask keeps none of
 them, so the pair meets in that mask's table. Tables hold (mask, kept bits) keys.
 
-A key with two fingerprints is a pair, compared bit by bit. Keys with more would need
-all pairs of a bucket; their fingerprints are linked through the points of their radius-1
-balls instead: two fingerprints differ in at most 2 bits if and only if their balls meet,
-and all that have a point in common are within 2 of each other. A star on each point's
-smallest member then links exactly what all pairs would, with 65 rows a fingerprint.
+A key with two fingerprints is a pair, compared bit by bit. A key with more is split by a
+second covering of the bits that its mask leaves out, which again loses no pair. Where
+even then more than two share a key, over 50 bits are the same: such crowds (thousands of
+copies that differ in a word) would need all their pairs. Their fingerprints are linked
+through the points of their radius-1 balls instead: two fingerprints differ in at most 2
+bits if and only if their balls meet, and all that have a point in common are within 2 of
+each other. A star on each point's smallest member then links exactly what all pairs
+would, with 65 rows a fingerprint.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialize, ship
+from .shared import SALTS, materialize, ship, with_group
 
 RADIUS = 2
 SHINGLE = 3
@@ -72,43 +75,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def covering_masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
-    """Masks such that any ``radius`` bits or fewer are all left out by one of them."""
+def covering_masks(radius: int = RADIUS, seed: int = 7, within: int = (1 << 64) - 1) -> list[int]:
+    """Masks of bits ``within`` such that any ``radius`` bits or fewer are all left out by one of them.
+
+    Labels are dealt evenly, so that all masks keep about as many bits.
+    """
     import random
 
-    draw = random.Random(seed)
+    bits = [i for i in range(64) if within >> i & 1]
+    random.Random(seed).shuffle(bits)
     size = 1 << (radius + 1)
-    labels = [draw.randrange(1, size) for _ in range(64)]
-    return [sum(1 << i for i in range(64) if bin(labels[i] & v).count("1") % 2) for v in range(1, size)]
+    labels = {bit: 1 + k % (size - 1) for k, bit in enumerate(bits)}
+    return [sum(1 << i for i in bits if bin(labels[i] & v).count("1") % 2) for v in range(1, size)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _met(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (fp, t, key): linked pairs from keys with two fingerprints, and the rows of keys with more."""
+    sized = materialize(with_group(keyed, ["t", "key"], F.col("fp"), counted="n", a="fp"), "simhash-buckets").filter("n > 1")
+    pairs = sized.filter("n = 2 AND fp <> a").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= RADIUS)
+    return pairs.select("a", F.col("fp").alias("b")), sized.filter("n > 2").select("fp", "t", "key")
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) that join what is linked: prints has distinct fingerprints ``fp``.
 
     Every pair within RADIUS bits is joined, directly or through a third fingerprint that
     is within RADIUS of both; no other pair is. Works for a radius of 2.
     """
-    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks()])
-    keyed = prints.select("fp", F.posexplode(masks).alias("t", "mask")).select(
-        "fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+    first = covering_masks()
+    masks = F.array(*[F.lit(_signed(m)) for m in first])
+    pairs, crowded = _met(
+        prints.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     )
-    buckets = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    met = materialize(buckets.filter("n > 1"), "simhash-buckets")
-    pairs = (
-        met.filter("n = 2")
-        .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-        .select("a", "b")
+    # A second mask adds bits to the first one's: both leave out whatever RADIUS bits differ.
+    second = [[m | s for s in covering_masks(seed=11, within=~m & (1 << 64) - 1)] for m in first]
+    finer = F.array(*[F.array(*[F.lit(_signed(x)) for x in row]) for row in second])
+    few, many = _met(
+        crowded.select("fp", "t", F.posexplode(F.get(finer, F.col("t"))).alias("s", "mask")).select(
+            "fp", (F.col("t") * len(first) + F.col("s")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+        )
     )
-    crowded = keyed.join(met.filter("n > 2").select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
     steps = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    balls = crowded.select("fp", F.explode(steps).alias("s")).select("fp", F.col("fp").bitwiseXOR(F.col("s")).alias("point"))
+    balls = many.select("fp").distinct().select("fp", F.explode(steps).alias("s")).select("fp", F.col("fp").bitwiseXOR(F.col("s")).alias("point"))
     centres = balls.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("point", "a")
     stars = balls.join(centres, "point").filter("fp <> a").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(few).unionByName(stars).distinct()
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -121,14 +136,17 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     tables give no rows; other columns are ignored.
     """
     prints = materialize(fingerprints(docs), "simhash")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    # Parts of the documents of a fingerprint, so that no task gets all of a hot one's.
+    salted = prints.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("short"))
+    parts = materialize(salted.groupBy("fp", "part").agg(F.min("doc_id").alias("first_id")), "simhash-parts")
+    distinct = materialize(parts.groupBy("fp").agg(F.min("first_id").alias("first_id")), "simhash-distinct")
     joined = components(links(distinct.select("fp")))
     named = distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = materialize(named.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id"), "simhash-components")
-    return prints.join(of_print, prints["fp"] == of_print["c_fp"]).select(
+    of_print = with_group(materialize(named, "simhash-roots"), ["root"], F.col("fp"), component_id="first_id").select("fp", "component_id")
+    of_part = parts.select("fp", "part").join(of_print, "fp")
+    return salted.join(of_part, ["fp", "part"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
