@@ -258,24 +258,25 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     Rows that agree in id, source and size share their copies: their sum is dealt evenly,
     the first rows (in the order of their texts) getting what does not divide.
     """
-    cols = docs.columns
     total = mix(docs, seed).groupBy(
         F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")
     ).agg(F.sum("copies").alias("m_copies"), F.count("*").alias("m_rows"))
-    joined = docs.join(
+    # The documents' own columns travel in one, so that none of their names can clash.
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = own.join(
         total,
-        docs["doc_id"].eqNullSafe(total["m_id"])
-        & docs["source"].eqNullSafe(total["m_source"])
-        & (F.size(words(docs["text"])) == total["m_size"]),
+        F.col("row.doc_id").eqNullSafe(F.col("m_id"))
+        & F.col("row.source").eqNullSafe(F.col("m_source"))
+        & (F.size(words(F.col("row.text"))) == F.col("m_size")),
     )
-    single = joined.filter("m_rows = 1").select(*cols, F.col("m_copies").alias("_n"))
-    order = Window.partitionBy("m_id", "m_source", "m_size").orderBy("text")
+    single = joined.filter("m_rows = 1").select("row", F.col("m_copies").alias("n"))
+    order = Window.partitionBy("m_id", "m_source", "m_size").orderBy("row.text")
     several = joined.filter("m_rows > 1").select(
-        *cols,
-        (F.floor(F.col("m_copies") / F.col("m_rows")) + (F.row_number().over(order) <= F.col("m_copies") % F.col("m_rows")).cast("int")).alias("_n"),
+        "row",
+        (F.floor(F.col("m_copies") / F.col("m_rows")) + (F.row_number().over(order) <= F.col("m_copies") % F.col("m_rows")).cast("int")).alias("n"),
     )
     return (
         single.unionByName(several)
-        .withColumn("_", F.explode(F.array_repeat(F.lit(True), F.col("_n").cast("int"))))
-        .select(*cols)
+        .withColumn("copy", F.explode(F.array_repeat(F.lit(True), F.col("n").cast("int"))))
+        .select("row.*")
     )
