@@ -432,6 +432,9 @@ def test_mixing(spark, docs, odd, empty):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and out.count() == copies
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(empty).count() == 0
+    named = docs.limit(30).withColumns({c: F.lit(1) for c in ("m_id", "m_rows", "m_copies", "_n", "row", "k_id", "_row", "score", "keep_id", "part")})
+    for kept in (mixing.mixed_documents(named), exact_dedup.drop_exact(named), simhash.drop_near(named)):
+        assert kept.columns == named.columns and kept.count() > 0
 
 
 # 8
@@ -470,31 +473,40 @@ def test_repeats_brute(spark, odd, empty):
         rows.append((None if i % 37 == 5 else i // 2 * 2 if i % 11 == 3 else i, None if i % 41 == 7 else "".join(parts)))
     rows += [(500, "a" * 300), (501, "a" * 260), (502, "a" * 49), (503, "ab" * 100), (504, "ab" * 90)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    old = repeats.CHUNK
+    old = repeats.CHUNK, repeats.BUCKET
     try:
-        repeats.CHUNK = 4000
-        for hot in (repeats.HOT_DOCS, 3):
-            got = sorted((tuple(r) for r in repeats.cut_repeats(df, hot).drop("kept").collect()), key=str)
+        for hot, indexed in ((repeats.HOT, 2 << 20), (repeats.HOT, 300), (3, 2 << 20)):
+            repeats.CHUNK, repeats.BUCKET = 4000, 9000
+            got = sorted((tuple(r) for r in repeats.cut_repeats(df, hot, indexed).drop("kept").collect()), key=str)
             assert got == brute_repeats(rows)
     finally:
-        repeats.CHUNK = old
+        repeats.CHUNK, repeats.BUCKET = old
     got = sorted((tuple(r) for r in repeats.cut_repeats(odd).drop("kept").collect()), key=str)
     assert got == brute_repeats([(i, t) for i, t, _, _ in ODD])
     assert repeats.cut_repeats(empty).count() == 0
 
 
-def test_run_index():
-    rng = random.Random(1)
-    base = bytes(rng.randrange(97, 100) for _ in range(300))
-    strings = [base[a : a + rng.randrange(50, 81)] for a in (rng.randrange(0, 210) for _ in range(80))]
-    owners = np.array([rng.randrange(30) for _ in strings], np.int64)
-    index = run_index.RunIndex(strings, owners, 50)
-    least = {}
-    for s, o in zip(strings, owners):
-        for p in range(len(s) - 49):
-            least[s[p : p + 50]] = min(least.get(s[p : p + 50], 99), o)
-    assert index.statistics().tolist() == [sum(1 << p for p in range(len(s) - 49) if least[s[p : p + 50]] < o) for s, o in zip(strings, owners)]
-    assert len(index.starts) < sum(map(len, strings))
+@pytest.mark.parametrize("seed", range(6))
+def test_run_index(seed):
+    rng = random.Random(seed)
+    letters, k = rng.choice((2, 3, 20)), rng.choice((7, 20, 50))
+    base = bytes(rng.randrange(97, 97 + letters) for _ in range(300))
+
+    def some(n):
+        return [base[a : a + rng.randrange(1, 81)] if rng.random() < 0.7 else bytes(rng.randrange(97, 105) for _ in range(rng.randrange(70))) for a in (rng.randrange(0, 215) for _ in range(n))]
+
+    held, foreign = some(30), [*some(20), b"", b"\0\xff" * 30]
+    owners = np.array([rng.randrange(30) for _ in held], np.int64)
+    index = run_index.RunIndex(held, owners, k)
+    text = b"".join(s + b"\0" for s in held)
+    for s, found in zip(foreign + held, index.matching_statistics(foreign + held)):
+        for i, (n, q) in enumerate(found):
+            assert n == max(m for m in range(len(s) - i + 1) if any(s[i : i + m] in h for h in held))
+            assert text[q : q + n] == s[i : i + n]
+    for s, row in zip(foreign + held, index.least_owners(foreign + held, 31)):
+        for i in range(min(31, len(s) - k + 1)):
+            assert row[i] == min((o for h, o in zip(held, owners) if s[i : i + k] in h), default=run_index.NO_OWNER)
+    assert len(index.starts) < len(text)
 
 
 # 9

@@ -13,14 +13,22 @@ of K to K + WINDOWS - 1 bytes, so every window is in exactly one piece.
    be part of a repeat. The lists are dealt by hash and each tells its chunks the rest.
 3. Each chunk sends its distinct pieces with those minimizers, each with its least
    document id, to their minimizer's bucket.
-4. A bucket folds equal pieces. A piece that an earlier chunk's document has too is a
-   repeat as a whole. Different pieces of one minimizer go into a run-length index, and
-   streaming them through it marks the windows that a smaller document has too.
-5. Each chunk gets the marks of its pieces back and cuts its documents.
-
-A minimizer that more than HOT_DOCS documents have (a passage in a large share of the
-corpus) would give one bucket the edges of all its copies; its windows are dealt out one
-by one instead, by their own hash, which splits it exactly.
+4. A bucket folds equal pieces and builds run-length indexes of at most INDEXED bytes over
+   all distinct ones, in the order of their minimizers. Each piece is streamed through
+   every index that holds pieces of its minimizer, its own or the next, and the matching
+   statistics tell the least document that has each of its windows.
+5. Each chunk gets that back for its pieces, as marks of the windows that a document
+   before its own has, and cuts its documents.
+
+The two foldings (whole texts, pieces) compress what the indexes are built of; the index
+judges every window that is left, and what folded has the windows of what it folded with.
+A minimizer that has more than HOT pieces in the corpus (the seams of a very common
+passage) would give one bucket all of them; its windows are dealt out one by one, by their
+own hash, and then indexed and streamed like any other piece.
+
+Buckets are made for BUCKET bytes of text each, and a task works through many, one at a
+time: the number of tasks follows the session's shuffle partitions, or the bytes at TASK
+bytes each where that is more.
 """
 
 from __future__ import annotations
@@ -35,15 +43,20 @@ from pyspark.sql import functions as F
 
 from . import files
 from .run_index import RunIndex
-from .shared import materialize, scratch, ship
+from .shared import discard, materialize, scratch, ship, with_group
 
 K = 50
 GRAM = 20
 WINDOWS = K - GRAM + 1
 CHUNK = 4 << 20
-HOT_DOCS = 20_000
-#: Bytes in one run-length index: whole minimizers, as many as fit (one at least).
-INDEXED = 1 << 18
+#: Bytes of text to a bucket, and to a task at most.
+BUCKET, TASK = 8 << 20, 128 << 20
+#: Pieces of a minimizer that are dealt together.
+HOT = 20_000
+#: Bytes in one run-length index. Building takes about 100 bytes of memory for each.
+INDEXED = 2 << 20
+#: Pieces streamed through an index at a time.
+STREAMED = 1 << 14
 #: Positions hashed at a time, and the bits that number them.
 SEGMENT, PLACE = 1 << 18, np.uint64(19)
 #: Stands for a null id: larger than any.
@@ -173,8 +186,8 @@ def _chunked(docs: DataFrame, path: str) -> DataFrame:
 
 def _with_later_copies(rows: DataFrame) -> DataFrame:
     """A row per chunk (key, other = -1, blob): the places of texts that a smaller id has as a whole."""
-    least = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("rank").alias("least"), F.count("*").alias("n"))
-    later = rows.join(least.filter("n > 1").select("digest", "least"), "digest").filter("rank > least")
+    known = with_group(rows.filter("digest IS NOT NULL"), ["digest"], F.struct("chunk", "place"), least="rank")
+    later = known.filter("rank > least")
     places = later.groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("place")), lambda x: x.cast("string")), ",").alias("places"))
     return rows.select("chunk").distinct().join(places, "chunk", "left").select(
         F.col("chunk").alias("key"), F.lit(-1).cast("long").alias("other"), F.encode(F.coalesce("places", F.lit("")), "utf-8").alias("blob")
@@ -223,11 +236,10 @@ def _rows(found: list[tuple[int, int, bytes]], names: list[str]) -> pa.RecordBat
 
 _ROW = "key long, other long, blob binary"
 _NAMES = ["key", "other", "blob"]
-#: What blobs hold: minimizers as steps of their sorted hashes, with how many documents (255: or
-#: more); pieces as (hash, step of their numbers, length, least id) and their bytes; marks.
-_LISTED, _PIECES, _MARKS = ("<u4", "u1"), ("<u4", "<u4", "u1", "<i8"), ("<u4", "<u4")
-#: In a mark: the whole piece is a repeat. Windows use the lower bits.
-WHOLE = np.uint32(1 << 31)
+#: What blobs hold: minimizers as steps of their sorted hashes, with how many documents (2: or more)
+#: and pieces; the wanted ones, with whether they are hot; pieces as (hash, step of their numbers,
+#: length, least id) and their bytes; marks, a bit for each window.
+_LISTED, _WANTED, _PIECES, _MARKS = ("<u4", "u1", "<u4"), ("<u4", "u1"), ("<u4", "<u4", "u1", "<i8"), ("<u4", "<u4")
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -251,7 +263,7 @@ def _low(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
+def cut_repeats(docs: DataFrame, hot: int = HOT, indexed: int = INDEXED) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes).
 
     Texts are taken as UTF-8; null counts as empty. Texts of fewer than K bytes lose
@@ -263,9 +275,12 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     path = scratch(spark, "repeats")
-    every = materialize(_with_later_copies(_chunked(docs, path)), "chunk-copies")
-    n = max(1, every.count())
-    buckets = n
+    written = _chunked(docs, path)
+    every = materialize(_with_later_copies(written), "chunk-copies")
+    discard(spark, written)
+    size = every.count() * CHUNK
+    buckets = max(1, -(-size // BUCKET))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
 
     def listed(batches):
         for b in batches:
@@ -281,29 +296,31 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
                 at = np.flatnonzero(new_h)
                 if not len(at):
                     continue
-                docs_of = np.minimum(np.add.reduceat(new_pair.astype(np.int64), at), 255).astype(np.uint8)
+                docs_of = np.minimum(np.add.reduceat(new_pair.astype(np.int64), at), 2).astype(np.uint8)
+                pieces = np.diff(np.append(at, len(h))).astype(np.uint32)
                 low, out = _low(h[at]), []
                 for k, i in _split(_bucket(h[at], buckets)):
                     i = i[np.argsort(low[i], kind="stable")]
-                    out.append((k, chunk, _packed(_steps(low[i]), docs_of[i])))
+                    out.append((k, chunk, _packed(_steps(low[i]), docs_of[i], pieces[i])))
                 yield _rows(out, _NAMES)
 
     def repeated(batches):
         for bucket, rows in _by_key(batches):
-            lows, docs_of = [], []
+            lows, docs_of, pieces = [], [], []
             for _, blob in rows:
-                (steps, d), _ = _unpacked(blob, *_LISTED)
+                (steps, d, p), _ = _unpacked(blob, *_LISTED)
                 lows.append(_sums(steps))
                 docs_of.append(d)
+                pieces.append(p)
             _, back = np.unique(np.concatenate(lows), return_inverse=True)
-            total = np.bincount(back, np.concatenate(docs_of))
+            repeats, is_hot = np.bincount(back, np.concatenate(docs_of)) > 1, np.bincount(back, np.concatenate(pieces)) > hot
             out, at = [], 0
             for (chunk, _), low in zip(rows, lows, strict=True):
-                t = total[back[at : at + len(low)]]
+                i = back[at : at + len(low)]
                 at += len(low)
-                keep = t > 1
+                keep = repeats[i]
                 if keep.any():
-                    out.append((chunk, bucket, _packed(_steps(low[keep]), (t[keep] > hot_docs).astype(np.uint8))))
+                    out.append((chunk, bucket, _packed(_steps(low[keep]), is_hot[i[keep]].astype(np.uint8))))
             if out:
                 yield _rows(out, _NAMES)
 
@@ -312,23 +329,23 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
         for chunk, rows in _by_key(batches):
             c = Chunk(f"{path}/{chunk}.arrow")
             first, windows, h = pieces_of(c.data, c.ends, _skipped(next(x for o, x in rows if o < 0)))
-            known, hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+            known, single = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for bucket, blob in rows:
                 if bucket >= 0:
-                    (steps, is_hot), _ = _unpacked(blob, *_LISTED)
+                    (steps, is_hot), _ = _unpacked(blob, *_WANTED)
                     known.append(np.uint64(bucket) << np.uint64(32) | _sums(steps).astype(np.uint64))
-                    hot.append(is_hot > 0)
-            known, hot = np.concatenate(known), np.concatenate(hot)
+                    single.append(is_hot > 0)
+            known, single = np.concatenate(known), np.concatenate(single)
             order = np.argsort(known)
-            known, hot = known[order], hot[order]
+            known, single = known[order], single[order]
             bucket = _bucket(h, buckets)
             mine = bucket.astype(np.uint64) << np.uint64(32) | _low(h).astype(np.uint64)
             at = np.searchsorted(known, mine)
             at[at == len(known)] = 0
             is_in = known[at] == mine if len(known) else np.zeros(len(mine), bool)
-            first, windows, h, bucket, hot = first[is_in], windows[is_in], h[is_in], bucket[is_in], hot[at[is_in]] if len(known) else np.zeros(0, bool)
-            if hot.any():
-                first, windows, h, bucket = _one_by_one(c.data, first, windows, h, bucket, hot, buckets)
+            first, windows, h, bucket, single = first[is_in], windows[is_in], h[is_in], bucket[is_in], single[at[is_in]] if len(known) else np.zeros(0, bool)
+            if single.any():
+                first, windows, h, bucket = _one_by_one(c.data, first, windows, h, bucket, single, buckets)
             doc = np.searchsorted(c.ends, first, side="right")
             data = c.data.tobytes()
             numbers: dict[bytes, int] = {}
@@ -373,18 +390,11 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
             np.minimum.at(least, of, np.concatenate([x for _, _, x, _ in parts]))
             low = np.empty(len(numbers), np.uint32)
             low[of] = lows
-            # A piece that is alone under its minimizer shares its windows with no other.
-            _, group, times = np.unique(low, return_inverse=True, return_counts=True)
-            several = np.flatnonzero(times[group] > 1)
-            several = several[np.argsort(group[several], kind="stable")]
-            masks = np.zeros(len(numbers), np.uint32)
-            texts = list(numbers)
-            for part in _index_parts(several, group, texts):
-                masks[part] = RunIndex([texts[i] for i in part.tolist()], least[part], K).statistics()
+            earliest = _earliest(list(numbers), low, least, indexed)
             out = []
             for chunk, number, first_id, mine in parts:
-                mark = masks[mine].copy()
-                mark[first_id > least[mine]] |= WHOLE
+                before = earliest[mine] < first_id[:, None]
+                mark = (before * (np.uint32(1) << np.arange(WINDOWS, dtype=np.uint32))).sum(axis=1, dtype=np.uint32)
                 on = mark > 0
                 if on.any():
                     out.append((chunk, 0, _packed(_steps(number[on]), mark[on])))
@@ -407,7 +417,8 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
                     marks[_sums(steps)] |= mark
             mark = marks[number] if len(number) else np.zeros(0, np.uint32)
             doc = np.searchsorted(c.ends, first, side="right")
-            whole = (mark & WHOLE > 0) | (c.order[doc] > least)
+            # Where the chunk's first owner of a piece stands, the index has told; all later ones repeat it.
+            whole = c.order[doc] > least
             starts = np.concatenate(([0], c.ends))
             change = np.zeros(len(c.data) + 1, np.int32)
             np.add.at(change, starts[copies], 1)
@@ -443,9 +454,9 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
                 )
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "key").sortWithinPartitions("key", "other")
+        return df.repartition(tasks, "key").sortWithinPartitions("key", "other")
 
-    lists = every.repartition(n, "key").mapInArrow(listed, _ROW)
+    lists = every.repartition(tasks, "key").mapInArrow(listed, _ROW)
     candidates = dealt(lists).mapInArrow(repeated, _ROW)
     to_buckets = dealt(candidates.unionByName(every)).mapInArrow(sent, _ROW)
     marks = materialize(dealt(to_buckets).mapInArrow(marked, _ROW), "marks")
@@ -454,18 +465,24 @@ def cut_repeats(docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     )
 
 
-def _index_parts(order: np.ndarray, group: np.ndarray, texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Stretches of pieces, sorted by minimizer, that make an index each; no minimizer is divided."""
-    sizes = np.cumsum([len(texts[i]) + 1 for i in order.tolist()])
-    ends = np.append(np.flatnonzero(np.diff(group[order])) + 1, len(order))
-    start = 0
-    while start < len(order):
-        base = sizes[start - 1] if start else 0
-        end = ends[np.searchsorted(ends, start, side="right") :]
-        fits = end[sizes[end - 1] - base <= INDEXED]
-        stop = int(fits[-1] if len(fits) else end[0])
-        yield order[start:stop]
-        start = stop
+def _earliest(texts: list[bytes], low: np.ndarray, least: np.ndarray, indexed: int = INDEXED) -> np.ndarray:
+    """For each piece and window the least id that has it, through run-length indexes.
+
+    Pieces in the order of their minimizers are cut into indexes of ``indexed`` bytes. Those of
+    a minimizer that lies in several are streamed through each.
+    """
+    order = np.argsort(low, kind="stable")
+    lows = low[order]
+    block = np.cumsum([len(texts[i]) + 1 for i in order.tolist()]) // (indexed + 1)
+    out = np.full((len(texts), WINDOWS), NO_ID, np.int64)
+    for b in np.unique(block).tolist():
+        held = order[np.searchsorted(block, b) : np.searchsorted(block, b, side="right")]
+        asked = order[np.searchsorted(lows, low[held[0]]) : np.searchsorted(lows, low[held[-1]], side="right")]
+        index = RunIndex([texts[i] for i in held.tolist()], least[held], K)
+        for at in range(0, len(asked), STREAMED):
+            some = asked[at : at + STREAMED]
+            out[some] = np.minimum(out[some], index.least_owners([texts[i] for i in some.tolist()], WINDOWS))
+    return out
 
 
 def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -476,16 +493,16 @@ def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(keys[part[0]]), part
 
 
-def _one_by_one(data, first, windows, h, bucket, hot, buckets):
+def _one_by_one(data, first, windows, h, bucket, single, buckets):
     """Pieces of hot minimizers as single windows, dealt by a hash of the window."""
-    n = windows[hot]
-    base = np.repeat(first[hot], n)
-    single = base + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    own = np.array([int.from_bytes(hashlib.blake2b(data[a : a + K].tobytes(), digest_size=8).digest(), "little") for a in single.tolist()], np.uint64)
-    keep = ~hot
+    n = windows[single]
+    base = np.repeat(first[single], n)
+    place = base + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    own = np.array([int.from_bytes(hashlib.blake2b(data[a : a + K].tobytes(), digest_size=8).digest(), "little") for a in place.tolist()], np.uint64)
+    keep = ~single
     return (
-        np.concatenate((first[keep], single)),
-        np.concatenate((windows[keep], np.ones(len(single), np.int64))),
+        np.concatenate((first[keep], place)),
+        np.concatenate((windows[keep], np.ones(len(place), np.int64))),
         np.concatenate((h[keep], own)),
         np.concatenate((bucket[keep], _bucket(own, buckets))),
     )

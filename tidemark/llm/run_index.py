@@ -1,29 +1,46 @@
 """A run-length index: the run-compressed Burrows-Wheeler transform of many short strings.
 
-Suffixes end at their own string's end, equal ones in the order of the strings, so the
-transform can be walked backwards string by string. A run is a stretch of one preceding
-character whose suffixes also agree in their first K bytes; runs are what is stored, with
-samples at their ends: the text positions of the first and the last suffix, and the least
-owner among a run's suffixes. In repetitive input there are far fewer runs than bytes.
+Suffixes end at their own string's end, equal ones in the order of the strings. A run is a
+stretch of rows whose suffixes follow the same character; each keeps that character, where
+its rows go when they are one character longer, and as samples the text positions of its
+first and its last suffix. In repetitive input there are far fewer runs than bytes.
+
+Strings, held or not, are streamed through the index from their ends. At each character
+the longest match of what begins there is known by a row, a text position and a length: if
+the row follows that character, row and position move on; if not, the matching statistics
+go on from the nearest runs that do, at their sampled ends, with as much of the match as
+the text there shares. Beside the runs stands, run-length coded over the rows, the least
+owner of all suffixes that share their first K bytes, which is what a match of K bytes or
+more asks for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Symbols in a first key (9 bits each), which doubles until whole strings are covered.
 PACK = 7
+#: Stands for no owner: larger than any.
+NO_OWNER = np.iinfo(np.int64).max
+
+
+def _text(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols (byte + 1, 0 behind each string), where strings start, their lengths."""
+    lengths = np.array([len(s) for s in strings], dtype=np.int64)
+    text = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8).astype(np.int16) + np.int16(1)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    text[starts + lengths] = 0
+    return text, starts, lengths
 
 
 class RunIndex:
     def __init__(self, strings: list[bytes], owners: np.ndarray, k: int):
-        lengths = np.array([len(s) for s in strings], dtype=np.int64)
-        self.lengths, self.owners, self.k = lengths, owners, k
-        text = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8).astype(np.int64) + 1
-        ends = np.cumsum(lengths + 1) - 1
-        text[ends] = 0
-        n = len(text)
-        left = np.repeat(ends, lengths + 1) - np.arange(n)  # bytes up to the string's end
+        self.k = k
+        self.text, _, lengths = _text(strings)
+        text, n = self.text, len(self.text)
+        left = np.repeat(np.cumsum(lengths + 1) - 1, lengths + 1) - np.arange(n)  # bytes up to the string's end
         key = np.zeros(n, np.int64)
         for j in range(PACK):
             shifted = np.zeros(n, np.int64)
@@ -37,56 +54,107 @@ class RunIndex:
             rank = _ranks(rank * (n + 2) + np.where(left >= depth, after, 0))
             depth *= 2
         suffixes = np.argsort(rank * n + np.arange(n))  # equal ones by place; no two keys are equal
-        # Suffixes of k bytes and more fall into groups by their first k: equal at both ends of it.
-        half, near = next(((d, r) for d, r in reversed(by_depth) if d <= k), (k, rank))
-        spans = [0]
-        while spans[-1] + half < k:
-            spans.append(min(spans[-1] + half, k - half))
-        new_group = np.ones(n, bool)
-        same = (left[suffixes[1:]] >= k) & (left[suffixes[:-1]] >= k)
-        for s in spans:
-            at = np.minimum(suffixes + s, n - 1)
-            same &= near[at[1:]] == near[at[:-1]]
-        new_group[1:] = ~same
-        before = text[np.maximum(suffixes - 1, 0)]
-        before[suffixes == 0] = 0
-        first = new_group.copy()
-        first[1:] |= before[1:] != before[:-1]
+        before = text[suffixes - 1]  # the first string's first suffix wraps to the last end
+        first = np.concatenate(([True], before[1:] != before[:-1]))
         self.starts = np.flatnonzero(first)
-        self.chars = before[self.starts]
-        self.head = suffixes[self.starts]
-        self.tail = suffixes[np.append(self.starts[1:], n) - 1]
-        owner_of = np.repeat(owners, lengths + 1)
-        least = np.minimum.reduceat(owner_of[suffixes], self.starts)
-        group = np.cumsum(new_group)[self.starts] - 1
-        group_starts = np.flatnonzero(np.diff(group, prepend=-1))
-        self.least = np.minimum.reduceat(least, group_starts)[group]
+        self.ends = np.append(self.starts[1:], n) - 1
+        self.chars = before[self.starts].astype(np.int64)
+        self.head, self.tail = suffixes[self.starts], suffixes[self.ends]
         # Where a run's suffixes stand once they are one character longer.
-        sizes = np.diff(np.append(self.starts, n))
+        sizes = self.ends - self.starts + 1
         order = np.argsort(self.chars, kind="stable")
         self.longer = np.empty(len(order), np.int64)
         self.longer[order] = np.cumsum(sizes[order]) - sizes[order]
+        self.by_char = np.sort(self.chars * len(self.chars) + np.arange(len(self.chars)))
+        self._own(suffixes, left, rank, by_depth, np.repeat(owners, lengths + 1))
 
-    def statistics(self) -> np.ndarray:
-        """For every string a bit mask of its k-byte windows that a smaller owner has too.
+    def _own(self, suffixes, left, rank, by_depth, owner_of) -> None:
+        """Least owners by row, in stretches: suffixes of k bytes and more meet by their first k."""
+        n, k = len(suffixes), self.k
+        half, near = next(((d, r) for d, r in reversed(by_depth) if d <= k), (k, rank))
+        spans = [0]
+        while spans[-1] + half < k:
+            spans.append(min(spans[-1] + half, k - half))
+        long = left[suffixes] >= k
+        same = long[1:] & long[:-1]
+        for s in spans:
+            of = near[np.minimum(suffixes + s, n - 1)]
+            same &= of[1:] == of[:-1]
+        groups = np.flatnonzero(np.concatenate(([True], ~same)))
+        least = np.minimum.reduceat(np.where(long, owner_of[suffixes], NO_OWNER), groups)
+        change = np.concatenate(([True], least[1:] != least[:-1]))
+        self.own_rows, self.own = groups[change], least[change]
 
-        All strings are streamed from their ends, one character a step: a row of the
-        transform stands for the suffix read so far. From k characters on, the window at
-        its front is matched by everything in the row's group.
+    def stream(self, strings: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(t, strings of t characters and more, their rows, text positions, match lengths) for t = 1, 2, ...
+
+        The length is how much of what starts t characters before a string's end the
+        index has; row and position are of a suffix that begins with that much.
         """
-        n = len(self.lengths)
-        active, masks = np.arange(n), np.zeros(n, np.uint32)
-        row = np.arange(n)  # the suffixes without a character come first, in the order of the strings
-        run = np.searchsorted(self.starts, row, side="right") - 1
-        for t in range(1, int(self.lengths.max(initial=0)) + 1):
-            keep = self.lengths[active] >= t
-            active, row, run = active[keep], row[keep], run[keep]
-            row = self.longer[run] + row - self.starts[run]
+        symbols, starts, lengths = _text(strings)
+        runs, wide = len(self.starts), np.arange(int(lengths.max(initial=0)) + 1)
+        active = np.flatnonzero(lengths)
+        row = np.zeros(len(active), np.int64)
+        at, size = np.full(len(active), self.head[0] if runs else 0), np.zeros(len(active), np.int64)
+        for t in range(1, int(lengths.max(initial=0)) + 1):
+            keep = lengths[active] >= t
+            if not keep.all():
+                active, row, at, size = active[keep], row[keep], at[keep], size[keep]
+            place = starts[active] + lengths[active] - t
+            char = symbols[place].astype(np.int64)
             run = np.searchsorted(self.starts, row, side="right") - 1
-            if t >= self.k:
-                hit = active[self.least[run] < self.owners[active]]
-                masks[hit] |= np.uint32(1) << (self.lengths[hit] - t).astype(np.uint32)
-        return masks
+            lost = np.flatnonzero(self.chars[run] != char)
+            if len(lost):
+                after = np.searchsorted(self.by_char, char[lost] * runs + run[lost])
+                below, above = self.by_char[np.minimum(after, runs - 1)], self.by_char[after - 1]
+                best = np.full(len(lost), -1, np.int64)
+                for found, ok, end in ((above, after > 0, False), (below, after < runs, True)):
+                    r = found % runs
+                    ok = ok & (found // runs == char[lost])
+                    q = (self.head if end else self.tail)[r]
+                    shared = np.where(ok, self._common(q, symbols, place[lost] + 1, size[lost], wide), -1)
+                    better = lost[shared > best]
+                    take = r[shared > best]
+                    run[better] = take
+                    row[better] = (self.starts if end else self.ends)[take]
+                    at[better] = q[shared > best]
+                    best = np.maximum(best, shared)
+                size[lost] = best
+            on = self.chars[run] == char
+            row = np.where(on, self.longer[run] + row - self.starts[run], 0)
+            at, size = np.where(on, at - 1, self.head[0]), np.where(on, size + 1, 0)
+            yield t, active, row, at, size
+
+    def _common(self, q: np.ndarray, symbols: np.ndarray, place: np.ndarray, most: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """How many of at most ``most`` symbols agree from the text's position q and the strings' place on."""
+        out = np.zeros(len(q), np.int64)
+        for i in range(0, len(q), 4096):
+            s = slice(i, i + 4096)
+            w = wide[: int(most[s].max(initial=0)) + 1]
+            a = self.text[np.minimum(q[s, None] + w, len(self.text) - 1)]
+            b = symbols[np.minimum(place[s, None] + w, len(symbols) - 1)]
+            differ = (a != b) | (w >= most[s, None])
+            out[s] = differ.argmax(axis=1)
+        return out
+
+    def matching_statistics(self, strings: list[bytes]) -> list[list[tuple[int, int]]]:
+        """For each place of each string: the longest match that starts there, and a position of it in the text."""
+        out = [[(0, 0)] * len(s) for s in strings]
+        for t, active, _, at, size in self.stream(strings):
+            for i, q, n in zip(active.tolist(), at.tolist(), size.tolist(), strict=True):
+                out[i][len(strings[i]) - t] = (n, q)
+        return out
+
+    def least_owners(self, strings: list[bytes], windows: int) -> np.ndarray:
+        """For each string and each of its first ``windows`` k-byte windows the least owner that has it, or NO_OWNER."""
+        out = np.full((len(strings), windows), NO_OWNER, np.int64)
+        lengths = np.array([len(s) for s in strings], np.int64)
+        for t, active, row, _, size in self.stream(strings):
+            hit = np.flatnonzero((size >= self.k) & (lengths[active] - t < windows))
+            if len(hit):
+                i = active[hit]
+                out[i, lengths[i] - t] = self.own[np.searchsorted(self.own_rows, row[hit], side="right") - 1]
+        return out
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
