@@ -680,8 +680,9 @@ def test_pipeline(spark, sf):
         groups["".join(c for c in t or "" if c not in WS)].append((-len(t or ""), i))
     keep = {min(g)[1] for g in groups.values()}
     rows = [(i, t) for i, t in rows if i in keep]
-    keep = {c for _, _, c in brute_simhash(rows)}
-    rows = sorted((i, t) for i, t in rows if i in keep)
+    rows.sort()
+    sets = shingle_sets([t or "" for _, t in rows])
+    rows = [r for b, r in enumerate(rows) if not any(is_near(sets[a], sets[b]) for a in range(b))]
     stage = docs
     for _, f in P.STAGES[:3]:
         stage = f(spark, stage, sf)

@@ -46,10 +46,13 @@ class RunIndex:
             shifted = np.zeros(n, np.int64)
             shifted[: n - j] = text[j:]
             key = key << 9 | np.where(left >= j, shifted, 0)
-        rank, by_depth, depth, longest = _ranks(key), [], PACK, int(lengths.max(initial=0)) + 1
+        rank, depth, longest = _ranks(key), PACK, int(lengths.max(initial=0)) + 1
+        near = depth, rank.astype(np.int32)
         while depth < longest:
-            by_depth.append((depth, rank))
-            after = np.zeros(n, np.int64)
+            if depth <= k:
+                near = depth, rank.astype(np.int32)
+            after = key
+            after[n - depth :] = 0
             after[: n - depth] = rank[depth:] + 1
             rank = _ranks(rank * (n + 2) + np.where(left >= depth, after, 0))
             depth *= 2
@@ -66,12 +69,13 @@ class RunIndex:
         self.longer = np.empty(len(order), np.int64)
         self.longer[order] = np.cumsum(sizes[order]) - sizes[order]
         self.by_char = np.sort(self.chars * len(self.chars) + np.arange(len(self.chars)))
-        self._own(suffixes, left, rank, by_depth, np.repeat(owners, lengths + 1))
+        del key, rank, before, first
+        self._own(suffixes, left, near, np.repeat(owners, lengths + 1))
 
-    def _own(self, suffixes, left, rank, by_depth, owner_of) -> None:
+    def _own(self, suffixes, left, near, owner_of) -> None:
         """Least owners by row, in stretches: suffixes of k bytes and more meet by their first k."""
         n, k = len(suffixes), self.k
-        half, near = next(((d, r) for d, r in reversed(by_depth) if d <= k), (k, rank))
+        half, near = near
         spans = [0]
         while spans[-1] + half < k:
             spans.append(min(spans[-1] + half, k - half))
