@@ -240,10 +240,15 @@ def test_sources_and_sinks(spark, tmp_path):
     assert best.first().n == "b.json"
     target = str(tmp_path / "t")
     writers.promote(spark.range(3), target)
-    writers.write_back(spark.read.parquet(target).withColumn("id", F.col("id") + 1), target)
-    assert sorted(r[0] for r in spark.read.parquet(target).collect()) == [1, 2, 3]
-    lines = writers.report_lines(spark.createDataFrame([("a|b", 1)], "x string, y int"), ["x", "y"])
-    assert [r[0] for r in lines.collect()][2] == "| a\\|b | 1 |"
+    writers.write_back(writers.promoted(spark, target).withColumn("id", F.col("id") + 1), target, 2)
+    assert sorted(r[0] for r in writers.promoted(spark, target).collect()) == [1, 2, 3]
+    assert writers.promote(spark.range(9), target, 1) is False and writers.promoted(spark, target).count() == 3
+    with writers.locked(spark, target), pytest.raises(RuntimeError):
+        writers.promote(spark.range(5), target, 3)
+    assert writers.promote(spark.range(5), target, 3) and writers.promoted(spark, target).count() == 5
+    rows_ = [(f"{i}|b", i) for i in range(50, 0, -1)]
+    lines = writers.report_lines(spark.createDataFrame(rows_, "x string, y int").coalesce(2), ["x", "y"])
+    assert [r[0] for r in lines.collect()][2:] == [f"| {i}\\|b | {i} |" for _, i in rows_]
     env = spark.createDataFrame([("# c\nA=1\nexport B='2'\nA=3\n",)], "value string")
     assert {r.key: r.value for r in readers.settings(env).collect()} == {"A": "1", "B": "2"}
     sse = spark.createDataFrame([(1, 'data: {"a":1}'), (2, "event: x"), (3, "data: [DONE]"), (4, 'data: {"b":1}')], "n int, value string")
@@ -288,7 +293,7 @@ def test_clips(spark):
     run = kids.select(clips.child_run(F.col("k"), F.lit("b"), F.lit(6.0), F.lit("opening"), F.lit(2.5)).alias("r")).first().r
     assert [(x.shot_id, x.planned_s) for x in run] == [("b", 3.0), ("d", 3.0)]
     r = spark.range(1).select(
-        clips.start_offset(F.lit(10.0), F.lit(4.0), F.lit(0.5)).alias("a"), clips.start_offset(F.lit(10.0), F.lit(4.0), F.lit(None).cast("double")).alias("b"),
+        clips.start_offset(F.lit(10.0), F.lit(4.0), F.lit(0.5), F.lit("opening"), F.lit(True)).alias("a"), clips.start_offset(F.lit(10.0), F.lit(4.0), F.lit(None).cast("double"), F.lit("proof"), F.lit(True)).alias("b"),
         clips.parent_clip(F.lit(1.0), F.lit(9.0), F.lit(2.0), F.lit(20.0), F.lit(30.0)).alias("c"), within_length(F.array(F.lit("ab。cd。"), F.lit("efg。hi。")), 10).alias("d"),
     ).first()
     assert (r.a, r.b, tuple(r.c), r.d) == (3.88, 3.9, (2.0, 9.0, 7.0), ["ab。cd。", "efg。"])
@@ -300,8 +305,6 @@ def test_records(spark):
     s = spark.createDataFrame([("s1", "防水测试，很好用", "", ["上脸"])], "k string, visual string, meaning string, keywords array<string>")
     got = {r.term: r.weight for r in R.section_terms(s, "k", ["防水"], {"visual": 1.1, "meaning": 1.0}).collect()}
     assert got == {"防水": 1.1, "上脸": 1.05, "防水测试": 0.55, "很好用": 0.55}
-    kids = spark.createDataFrame([("p", "a", 1, True, True, 3.0, None, "low"), ("p", "b", 3, False, True, 3.0, None, "low"), ("q", "c", 0, False, False, 1.0, "strong_duplicate", "high"), ("q", "d", 0, False, True, 1.0, None, "low")], "parent string, shot_id string, n_hits int, hard_hit boolean, verified boolean, duration_s double, duplicate_status string, hard_subtitle_risk string")
-    assert [(r.shot_id, r.rank) for r in R.rank_children(kids, ["parent"]).orderBy("parent", "rank").collect()] == [("a", 1), ("d", 1), ("c", 2)]
     units = spark.createDataFrame([("A", "u1", 0.4, 5.2), ("A", "u2", 20.0, 21.0)], "asset_id string, unit_id string, start_s double, end_s double")
     scenes = spark.createDataFrame([("A", 0, 0.0, 3.0), ("A", 1, 3.0, 6.0), ("A", 2, 6.0, 9.0)], "asset_id string, idx int, start_s double, end_s double")
     assert sorted((r.unit_id, r.start_s, r.end_s) for r in R.scene_bounds(units, scenes).collect()) == [("u1", 0.0, 6.0), ("u2", 20.0, 21.0)]
@@ -317,9 +320,108 @@ def test_records(spark):
 
 
 def test_least_reachable_fails_unsettled(spark):
-    import pytest
-
     path = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
     with pytest.raises(RuntimeError):
         dedupe.least_reachable(path, rounds=1)
     assert {r.component for r in dedupe.least_reachable(path).collect()} == {0}
+
+
+KID = dict(
+    idx=0, shot_id="a", role="product", target_s=4.0, semantic=0.0, n_hard_hits=0, n_hits=0, n_parent_hits=0, verified=True, anchor=None, proof_anchor=None, duration_s=4.0,
+    opening_reuse=0, duplicate_status=None, hard_subtitle_risk="low", hard_required=False, has_terms=True, preferred=False,
+)
+KID_SCHEMA = (
+    "c string, idx int, shot_id string, role string, target_s double, semantic double, n_hard_hits int, n_hits int, n_parent_hits int, verified boolean, anchor double, "
+    "proof_anchor double, duration_s double, opening_reuse int, duplicate_status string, hard_subtitle_risk string, hard_required boolean, has_terms boolean, preferred boolean"
+)
+
+
+def kids_of(spark, **groups):
+    return spark.createDataFrame([("%s" % c, *(KID | {"idx": i, "shot_id": "abcdef"[i]} | k).values()) for c, ks in groups.items() for i, k in enumerate(ks)], KID_SCHEMA)
+
+
+def test_child_scores_and_choice(spark):
+    from tidemark.operators import records as R
+
+    long_enough = 0.18 * 0.35
+    kids = kids_of(
+        spark,
+        hard=[{"semantic": 5.0}, {"n_hard_hits": 1, "n_hits": 1}, {"n_hard_hits": 5, "n_hits": 5, "duplicate_status": "strong_duplicate"}],
+        proof=[{"role": "proof", "n_parent_hits": 1, "verified": False}, {"role": "proof", "n_parent_hits": 1, "verified": False}],
+        order=[{"anchor": 0.9}, {"anchor": 0.9}],
+        opening=[{"role": "opening", "opening_reuse": 1}, {"role": "opening", "opening_reuse": 3}, {"role": "opening", "hard_subtitle_risk": "high"}],
+        short=[{"duration_s": 1.0, "duplicate_status": "near_duplicate_candidate"}],
+    ).withColumn("hard_required", F.col("c") == "hard")
+    got = {(r.c, r.shot_id): (r["rank"], r.child_score) for r in R.rank_children(kids, ["c"]).collect()}
+    near = lambda x: pytest.approx(x, abs=1e-6)
+    assert got == {
+        ("hard", "b"): (2, near(1.8 + 0.42 + long_enough)), ("hard", "c"): (1, near(1.8 + 1.6 - 0.22 + long_enough)),
+        ("proof", "a"): (2, near(-0.4 - 0.28 - 0.08 + long_enough)), ("proof", "b"): (1, near(0.9 - 0.28 - 0.08 + long_enough)),
+        ("order", "a"): (2, near(long_enough)), ("order", "b"): (1, near((0.42 - 0.15) * 0.45 + long_enough)),
+        ("opening", "a"): (2, near(long_enough - 0.72)), ("opening", "b"): (3, near(long_enough - 1.4)), ("opening", "c"): (1, near(long_enough - 0.35)),
+        ("short", "a"): (1, near(long_enough - 0.24)),
+    }
+    wish = {"preferred": True}
+    kids = kids_of(
+        spark,
+        taken=[{"semantic": 9.0}, wish], hard=[{"n_hard_hits": 1, "n_hits": 1}, wish | {"semantic": 9.0}],
+        proof=[{"role": "proof", "semantic": 9.0, "n_hits": 1}, wish | {"role": "proof", "n_parent_hits": 1}], opening=[{"role": "opening"}, wish | {"role": "opening", "opening_reuse": 1}],
+        copy=[{}, wish | {"duplicate_status": "strong_duplicate"}], best=[wish | {"duplicate_status": "strong_duplicate", "semantic": 9.0}, {}], none=[{}, {"semantic": 1.0}],
+    ).withColumn("hard_required", F.col("c") == "hard")
+    got = {r.c: (r.shot_id, r.by) for r in R.choose_child(kids, R.rank_children(kids, ["c"]), ["c"]).collect()}
+    score = ("a", "score")
+    assert got == {"taken": ("b", "planner"), "hard": score, "proof": score, "opening": score, "copy": score, "best": ("a", "planner"), "none": ("b", "score")}
+
+
+def test_clip_rules(spark):
+    from tidemark.functions import scoring as G
+    from tidemark.operators import clips
+
+    null = F.lit(None).cast("string")
+    kids = spark.createDataFrame([([("a", 1.0), ("b", 1.5), ("c", 1.0)],)], "k array<struct<shot_id:string,duration_s:double>>")
+    run = lambda chosen, packaging=False: clips.child_run(F.col("k"), F.lit(chosen), F.lit(6.0), F.lit("product"), F.lit(2.5), F.lit(packaging))
+    own = lambda packaging, offset: clips.clip_run(F.col("k"), F.lit("b"), F.lit(6.0), F.lit("cta"), F.lit(0.5), F.lit(packaging), F.lit("u"), F.lit(8.0), F.lit(offset), F.lit(0.5))
+    r = kids.select(run("b").alias("a"), run("b", True).alias("b"), own(False, 5.0).alias("c"), own(True, 5.0).alias("d"), own(False, 8.0).alias("e")).first()
+    assert [[tuple(x) for x in c] for c in r] == [
+        [("b", 0.0, 1.5, True)], [("a", 0.0, 1.0, True)], [("u", 5.5, 2.5, False)], [("u", 0.5, 6.0, False)], [("b", 0.0, 1.5, False), ("c", 0.0, 1.0, False)],
+    ]
+    off = lambda d, p, a, role, act=True: clips.start_offset(F.lit(d), F.lit(p), F.lit(a).cast("double"), F.lit(role), F.lit(act))
+    r = spark.range(1).select(
+        off(10.0, 9.7, 0.5, "proof").alias("a"), off(10.0, 4.0, 0.5, "proof", False).alias("b"), off(10.0, 4.0, None, "product").alias("c"), off(10.0, 4.0, 0.99, "proof").alias("d"),
+        G.is_verified(F.lit("parent_context_only"), null, F.lit(False)).alias("e"), G.is_verified(null, F.lit("video_only_until_child_vlm_refine"), F.lit(False)).alias("f"),
+        G.is_verified(null, null, F.lit(True)).alias("g"), G.is_verified(F.lit("highlight_overlap"), null, F.lit(True)).alias("h"), G.is_verified(null, null, null.cast("boolean")).alias("i"),
+        G.loop_enabled(F.lit(None).cast("boolean"), F.lit("no-loop")).alias("j"), G.loop_enabled(F.lit(False), F.lit("Loop Disabled")).alias("k"), G.loop_enabled(F.lit(False), F.lit(""), F.lit("loop_short")).alias("l"),
+        G.valid_url(F.lit("oss://b/" + "k" * 80 + ".MP4")).alias("m"), G.valid_url(F.lit("oss://b/k.mp4")).alias("n"), G.valid_url(F.lit("https://b/" + "k" * 80 + ".mp4")).alias("o"),
+        G.valid_url(F.lit("oss://b/" + "k" * 80 + "\nx.mp4")).alias("p"), G.duration_score(F.lit(2.0), F.lit(4.0)).alias("q"), G.duration_score(F.lit(20.0), F.lit(4.0)).alias("r"),
+    ).first()
+    assert list(r) == [0.0, 0.0, 0.0, 6.0, False, False, False, True, True, True, False, True, True, False, False, False, pytest.approx(-0.11), pytest.approx(0.10)]
+
+
+def test_selection_rules(spark):
+    base = dict(task_id="t", section_order=1, shot_id=1, unit_id=1, asset_id=1, score=1.0, duration_s=4.0, budget_s=4.0)
+
+    def picked(*rows, **kw):
+        keys = sorted({k for r in rows for k in r} | set(base))
+        df = spark.createDataFrame([tuple((base | {"shot_id": i, "unit_id": i, "asset_id": i} | r).get(k) for k in keys) for i, r in enumerate(rows)], ", ".join(f"{k} {KINDS[k]}" for k in keys))
+        return [(r.shot_id, r.strategy) for r in selection.select_sections(df, **kw).orderBy("section_order", "clip_order").collect()]
+
+    KINDS = {"task_id": "string", "section_order": "int", "shot_id": "int", "unit_id": "int", "asset_id": "int", "score": "double", "duration_s": "double", "budget_s": "double"} | {k: v for k, (v, _) in selection.OPTIONAL.items()}
+    seen = {"visual_score": 3.0, "semantic_score": 2.0}
+    assert picked({}, {"score": 0.5} | seen) == [(1, "single")]  # what is long and means the right thing, before the better score
+    assert picked({"duration_s": 2.6, "semantic_score": 2.0, "hits": ["x"], "budget_s": 6.0}, {"duration_s": 3.4, "semantic_score": 1.7, "hits": ["x"], "score": 0.4, "budget_s": 6.0}, {"duration_s": 9.0, "budget_s": 6.0}) == [(0, "several"), (1, "several")]
+    hit = {k: v for k, v in zip(("needs_child_hit", "hard_hits"), (True, 1))}
+    assert picked({"needs_child_hit": True, "hard_hits": 0}, {"score": 0.1} | hit) == [(1, "single")]
+    assert picked({"needs_child_hit": True, "hard_hits": 0}, {"score": 0.1, "needs_child_hit": True, "hard_hits": 0}) == [(0, "single")]
+    assert picked({"role": "opening", "opening_pressure": 4}, {"role": "opening", "opening_pressure": 1, "score": 0.2}, {"role": "opening", "opening_pressure": 1, "score": 0.1, "visual_score": 1.0}) == [(2, "single")]
+    assert picked({"role": "opening", "opening_pressure": 4}, {"role": "opening", "opening_pressure": 4}) == [(0, "single")]
+    long_ = {"budget_s": 8.0}
+    assert picked({"planner_order": 1.0, "hits": ["x"]} | long_, {"score": 0.9} | long_, {"score": 0.5, "hits": ["x"]} | long_) == [(0, "planner"), (2, "planner")]
+    assert picked({"planner_order": 1.0, "packaging": True} | long_, {"score": 0.9, "packaging": True} | long_) == [(0, "planner")]
+    assert picked({"override_order": 1.0, "role": "opening", "opening_pressure": 9} | long_, {} | long_) == [(0, "override")]
+    assert picked({"allowed": False}, {"renderable": False}, {"score": 0.1}) == [(2, "single")]
+    picks = spark.createDataFrame(
+        [("a", 1.0, True, 0.0, "single", False, "low"), ("b", 3.0, False, 1.0, "several", False, "high"), ("b", 1.0, True, 1.0, "several", False, "medium"), ("c", -1.0, False, 0.0, "override", True, None)],
+        "s string, score double, hit boolean, gap_s double, strategy string, override boolean, hard_subtitle_risk string",
+    )
+    got = {r.s: r.confidence for r in selection.confidence(picks, ["s"]).collect()}
+    assert got == {"a": 0.9, "b": pytest.approx(0.52 + 0.24 + 0.06 - 0.28 - 0.18), "c": 0.78}

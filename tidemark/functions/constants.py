@@ -73,3 +73,11 @@ DURATION_GAP = (1.5, 0.55)
 CLOSE_FRAMES = ((9, 12), (6, 18))
 #: The order of statuses, least first.
 SEVERITY = ("pass", "info", "warning", "manual_review", "block")
+#: Where a child's text comes from: its parent, or itself in spite of a wish to refine it.
+INHERITED_TEXT = ("parent_context_only", "parent_story_unit_inherited")
+UNREFINED_POLICY = "video_only_until_child_vlm_refine"
+EXACT_TEXT = ("child_vlm_refined", "child_verified", "highlight_overlap", "story_unit_exact")
+#: Markers of policies that forbid loops.
+NO_LOOP = ("disabled", "no_loop", "without_loop", "loop disabled")
+#: Addresses of stored videos.
+STORE, STORE_LEAST, VIDEO_SUFFIXES = "oss://", 80, (".mp4", ".mov", ".m4v", ".avi", ".webm")

@@ -51,6 +51,13 @@ def duration_adjustment(duration: Column, target: Column) -> Column:
     )
 
 
+def duration_score(duration: Column, target: Column) -> Column:
+    """Long enough is good, far longer a little less so; short costs by what is missing."""
+    d, t = F.coalesce(duration, F.lit(0.0)), F.coalesce(target, F.lit(0.0))
+    long_ = 0.18 - F.least(F.lit(0.08), (d - t) * 0.01)
+    return F.when((d <= 0) | (t <= 0), -0.2).when(d >= t, long_).otherwise(-0.22 * (1 - d / F.when(t > 0, t)))
+
+
 def semantic_bonus(weights: Column) -> Column:
     """From the weights of the terms that hit."""
     return F.least(F.lit(0.34), F.lit(0.045) * F.aggregate(weights, F.lit(0.0), lambda s, w: s + w))
@@ -108,11 +115,6 @@ def adjusted_score(
     )
 
 
-def confidence(mean_score: Column, hit_ratio: Column, bonus: Column, penalty: Column) -> Column:
-    """Held between 0 and 0.98."""
-    return F.bround(F.least(F.lit(0.98), F.greatest(F.lit(0.0), mean_score * 0.5 + hit_ratio * 0.5 + bonus - penalty)), 3)
-
-
 def reasons(**tests: Column) -> Column:
     """Names of the tests that hold, in the given order."""
     return F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
@@ -153,23 +155,55 @@ def is_renderable(path: Column, duration: Column) -> Column:
     return (F.coalesce(path, F.lit("")) != "") & (F.coalesce(duration, F.lit(0.0)) > 0)
 
 
-def is_verified(precision: Column, source: Column, needs_refine: Column) -> Column:
-    """Whether a child's own text may be trusted."""
-    inherited = precision.isin("parent", "inherited", "parent_inherited") | F.contains(source, F.lit("inherit"))
-    return ~F.coalesce(needs_refine, F.lit(False)) & ~F.coalesce(inherited, F.lit(False))
+def is_verified(precision: Column, policy: Column, needs_refine: Column) -> Column:
+    """Whether a child's own text may be trusted: it is neither its parent's nor still to be refined."""
+    precision = F.trim(F.coalesce(precision, F.lit("")))
+    inherited = precision.isin(*K.INHERITED_TEXT) | (F.trim(F.coalesce(policy, F.lit(""))) == K.UNREFINED_POLICY)
+    return ~inherited & (~F.coalesce(needs_refine, F.lit(False)) | precision.isin(*K.EXACT_TEXT))
 
 
-def loop_enabled(flag: Column, policy: Column) -> Column:
-    p = F.lower(F.coalesce(policy, F.lit("")))
-    off = p.rlike("no_loop|no-loop|disable|without")
+def loop_enabled(flag: Column, policy: Column, render_policy: Column | None = None) -> Column:
+    """Whether a clip may loop: by its flag, or by a policy that names loops and does not forbid them."""
+    named = F.when(F.coalesce(policy, F.lit("")) != "", policy)
+    p = F.lower(F.coalesce(named, *([render_policy] if render_policy is not None else []), F.lit("")))
+    off = F.lit(False)
+    for marker in K.NO_LOOP:
+        off = off | F.contains(p, F.lit(marker))
     return F.coalesce(flag, F.lit(False)) | (F.contains(p, F.lit("loop")) & ~off)
 
 
-def valid_url(c: Column, schemes: tuple[str, ...] = ("http", "https"), suffixes: tuple[str, ...] = (".mp4", ".mov"), most: int = 2048) -> Column:
+def valid_url(c: Column) -> Column:
+    """An address of a stored video: K.STORE at its start, long enough, of one word, a video by its end."""
+    u = F.trim(c)
     ends = F.lit(False)
-    for s in suffixes:
-        ends = ends | F.endswith(F.lower(F.split(c, r"\?")[0]), F.lit(s))
-    return F.coalesce((F.length(c) <= most) & c.rlike(f"^(?:{'|'.join(schemes)})://[^\\s/]+/") & ends, F.lit(False))
+    for suffix in K.VIDEO_SUFFIXES:
+        ends = ends | F.endswith(F.lower(u), F.lit(suffix))
+    return F.coalesce((F.length(u) >= K.STORE_LEAST) & u.rlike(rf"\A{K.STORE}\S+\z") & ends, F.lit(False))
+
+
+def child_score(
+    semantic: Column, hard_hits: Column, hits: Column, parent_hits: Column, verified: Column, order: Column, proof_order: Column, late: Column,
+    duration: Column, target: Column, role: Column, opening_reuse: Column, duplicate: Column, subtitle: Column,
+) -> Column:
+    """A child's score inside its candidate, from counts of hits, places, lengths, reuse and risks.
+
+    ``order``, ``proof_order`` and ``late`` are order_hint(), proof_order() and late_lean()
+    of clips; ``duplicate`` is a status, ``opening_reuse`` how often openings have it.
+    """
+    hard, d = hard_hits, F.coalesce(duration, F.lit(0.0))
+    dup = lambda with_hit, without: F.when(hard > 0, with_hit).otherwise(without)
+    return F.bround(
+        semantic
+        + F.when(hard > 0, 1.8 + F.least(F.lit(1.6), hard * 0.42)).otherwise(0.0)
+        + order + proof_order + late
+        - F.when((parent_hits > 0) & (hits == 0), 0.28).otherwise(0.0)
+        - F.when(verified, 0.0).otherwise(0.08)
+        + F.when(target > 0, duration_score(d, F.least(target, F.greatest(d, F.lit(0.1)))) * 0.35).otherwise(0.0)
+        - F.when((role == "opening") & (opening_reuse > 0), F.least(F.lit(1.4), opening_reuse * 0.72)).otherwise(0.0)
+        - F.when(duplicate == "strong_duplicate", dup(0.22, 0.86)).when(duplicate == "near_duplicate_candidate", dup(0.08, 0.24)).otherwise(0.0)
+        - F.when(subtitle == "high", 0.35).when(subtitle == "medium", 0.12).otherwise(0.0),
+        6,
+    )
 
 
 def valid_slug(c: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..functions import text as X
+from ..functions.scoring import child_score
+from .clips import late_lean, order_hint, proof_order
 from .intervals import overlap_join
 
 
@@ -57,21 +59,55 @@ def admitted(hits: Column, forbidden: Column, strict: bool = True) -> Column:
     return ok & (F.size(hits) > 0) if strict else ok
 
 
-def rank_children(children: DataFrame, keys: list[str], hits: str = "n_hits", hard: str = "hard_hit") -> DataFrame:
-    """Children by score: hits, trust and length count for them, duplicates and burnt-in texts against.
+def rank_children(children: DataFrame, keys: list[str], hard_required: str = "hard_required") -> DataFrame:
+    """Children of candidates by child_score, best first, ties in their own order: adds child_score and rank.
 
-    Where any child of a group has a hard hit, only such children are ranked.
+    Rows have shot_id, idx and child_score()'s parts by name, except the places, which are
+    found here from ``idx``, ``anchor`` and ``proof_anchor`` (0 to 1 or null). Where a hard
+    hit is required and some child of the group has one, only such children are ranked.
     """
-    any_hard = F.max(F.col(hard).cast("int")).over(Window.partitionBy(*keys)) > 0
-    rows = children.withColumn("_any", any_hard).filter(~F.col("_any") | F.col(hard)).drop("_any")
-    status = F.coalesce("duplicate_status", F.lit("unique"))
-    score = (
-        F.col(hits) * 0.12 + F.when(F.col("verified"), 0.08).otherwise(0.0) + F.when(F.col("duration_s") >= 2.5, 0.05).otherwise(0.0)
-        - F.when(status == "strong_duplicate", 0.035).when(status == "near_duplicate_candidate", 0.012).otherwise(0.0)
-        - F.when(F.col("hard_subtitle_risk") == "high", 0.14).when(F.col("hard_subtitle_risk") == "medium", 0.06).otherwise(0.0)
-    )
-    rows = rows.withColumn("child_score", F.bround(score, 6))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("child_score"), "shot_id")))
+    w = Window.partitionBy(*keys)
+    rows = children.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy("idx")) - 1})
+    late = F.when(
+        (F.col("role") == "proof") & (F.col("n_hits") == 0) & (F.col("n_parent_hits") > 0) & ~F.col("verified"), late_lean(F.col("_i"), F.col("_n"))
+    ).otherwise(0.0)
+    rows = rows.withColumn(
+        "child_score",
+        child_score(
+            F.col("semantic"), F.col("n_hard_hits"), F.col("n_hits"), F.col("n_parent_hits"), F.col("verified"),
+            order_hint(F.col("_i"), F.col("_n"), F.col("anchor")), proof_order(F.col("_i"), F.col("_n"), F.when(F.col("role") == "proof", F.col("proof_anchor"))), late,
+            F.col("duration_s"), F.col("target_s"), F.col("role"), F.col("opening_reuse"), F.col("duplicate_status"), F.col("hard_subtitle_risk"),
+        ),
+    )
+    only_hard = F.col(hard_required) & (F.max("n_hard_hits").over(w) > 0)
+    rows = rows.withColumn("_only", only_hard).filter(~F.col("_only") | (F.col("n_hard_hits") > 0))
+    return rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc("child_score"), "idx"))).drop("_n", "_i", "_only")
+
+
+def choose_child(children: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """The child that a candidate begins with: keys, shot_id, by ("planner" or "score").
+
+    A planner's child (the first with ``preferred``) is taken, unless the best by score is
+    another one and: hard hits are required, some child has one and it has none; a proof's
+    words stand in its parent's text alone; other openings have it; it is a strong duplicate.
+    """
+    best = ranked.filter("rank = 1").select(*keys, F.col("shot_id").alias("_best"))
+    row = F.struct(
+        "shot_id",
+        (
+            (F.col("hard_required") & F.col("has_terms") & (F.col("n_hard_hits") == 0) & F.col("_any_hard"))
+            | ((F.col("role") == "proof") & F.col("has_terms") & (F.col("n_parent_hits") > 0) & (F.col("n_hits") == 0))
+            | ((F.col("role") == "opening") & (F.col("opening_reuse") > 0))
+            | F.coalesce(F.col("duplicate_status") == "strong_duplicate", F.lit(False))
+        ).alias("veto"),
+    )
+    any_hard = F.max("n_hard_hits").over(Window.partitionBy(*keys)) > 0
+    wish = children.withColumn("_any_hard", any_hard).filter("preferred").groupBy(*keys).agg(F.min_by(row, "idx").alias("_w"))
+    vetoed = F.col("_w.veto") & F.col("_best").isNotNull() & (F.col("_best") != F.col("_w.shot_id"))
+    kept = F.col("_w").isNotNull() & ~F.coalesce(vetoed, F.lit(False))
+    return best.join(wish, keys, "full").select(
+        *keys, F.when(kept, F.col("_w.shot_id")).otherwise(F.col("_best")).alias("shot_id"), F.when(kept, "planner").otherwise("score").alias("by")
+    )
 
 
 def scene_cuts(times: Column, least: float = 0.25) -> Column:

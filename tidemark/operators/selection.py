@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import reuse_scale
 from .topk import top_k_per_key
 
 #: A budget is filled when at most this much is left; a pick should have at least MIN_CLIP_S.
@@ -67,50 +68,119 @@ def allocate(durations: list[float], budget: float, least: float = MIN_CLIP_S) -
     return [(i, round(p, 3)) for i, p in taken], round(left, 3)
 
 
+#: What counts as strong, how much of a gap is topped up, and clips of a section.
+STRONG_MEANING, STRONG_VISUAL, TOP_UP_S, CLIPS = 1.6, 2.5, 0.08, 6
+#: Columns that candidates may have, with what stands for them.
+OPTIONAL = {
+    "override_order": ("double", None), "planner_order": ("double", None), "batch_price": ("double", 0.0), "role": ("string", ""),
+    "renderable": ("boolean", True), "allowed": ("boolean", True), "allowed_top_up": ("boolean", True), "needs_child_hit": ("boolean", False),
+    "hard_hits": ("int", 0), "visual_score": ("double", 0.0), "semantic_score": ("double", 0.0), "hits": ("array<string>", []),
+    "visual_hits": ("int", 0), "theme_hit": ("boolean", False), "packaging": ("boolean", False), "packaging_hit": ("boolean", False),
+    "opening_pressure": ("int", 0),
+}
+
+
+def _pool(rows: list) -> tuple[list, bool]:
+    """Rows with a child's hard hit where the section needs one and any has it, else all; whether it had to fall back."""
+    if not rows or not rows[0].needs_child_hit:
+        return rows, False
+    hard = [r for r in rows if r.renderable and r.hard_hits > 0]
+    return (hard, False) if hard else (rows, True)
+
+
+def _compatible(seed, r) -> bool:
+    """Whether a clip goes with a section's first one."""
+    if r.packaging:
+        return bool(r.packaging_hit)
+    return seed is None or bool(set(seed.hits) & set(r.hits)) or r.visual_hits > 0 or r.theme_hit or seed.asset_id == r.asset_id
+
+
+def _choose(rows: list, budget: float, most: int) -> tuple[list, str]:
+    """Clips by rule: one that is long enough and means the right thing, else several that belong together."""
+    usable, _ = _pool([r for r in rows if r.renderable and r.allowed])
+    strong = [r for r in usable if r.semantic_score >= STRONG_MEANING]
+    long_ = sorted((r for r in usable if r.duration_s >= budget - DONE_S), key=lambda r: (-r.hard_hits, -r.visual_score, -r.semantic_score, -r.now))
+    if long_ and (long_[0].visual_score >= STRONG_VISUAL or long_[0].semantic_score >= STRONG_MEANING or not strong):
+        return long_[:1], "single"
+    chosen: list = []
+    hits: set = set()
+    for r in strong or usable:
+        if len(chosen) >= most or sum(c.duration_s for c in chosen) >= budget - DONE_S:
+            break
+        # Later ones share a hit with the first, hit the section's own words or come from a known file.
+        if chosen and not (r.hits or r.asset_id in {c.asset_id for c in chosen}):
+            continue
+        chosen.append(r)
+        hits = hits or set(r.hits)
+    return chosen, "several"
+
+
+def _fresh_opening(chosen: list, rows: list) -> list:
+    """An opening that other tasks have used gives way to the least used alternative, if any is less used."""
+    if not chosen or chosen[0].role != "opening" or chosen[0].opening_pressure <= 0:
+        return chosen
+    taken = {r.shot_id for r in chosen}
+    others = [r for r in rows if r.shot_id not in taken and r.renderable and r.allowed and r.opening_pressure < chosen[0].opening_pressure]
+    if not others:
+        return chosen
+    return [min(others, key=lambda r: (r.opening_pressure, -r.hard_hits, -r.visual_score, -r.semantic_score, -r.now)), *chosen[1:]]
+
+
+def _topped_up(chosen: list, rows: list, budget: float, least: float, most: int) -> list:
+    """Clips added while a gap is left: such as go with the first one, else any that may fill up."""
+    pool, fallback = _pool(rows)
+    rows = rows if fallback else pool
+    chosen, seed = list(chosen), chosen[0] if chosen else None
+    limit = len(chosen) + most
+    while allocate([r.duration_s for r in chosen], budget, least)[1] > TOP_UP_S and len(chosen) < limit:
+        taken = {r.shot_id for r in chosen}
+        free = [r for r in rows if r.shot_id not in taken and r.renderable and r.allowed_top_up]
+        fits = [r for r in free if _compatible(seed, r)]
+        if not fits and (not free or free[0].packaging):
+            break
+        chosen.append((fits or free)[0])
+    return chosen
+
+
 def select_sections(
-    candidates: DataFrame, task: str = "task_id", section: str = "section_order", pool: int = 54, least: float = MIN_CLIP_S
+    candidates: DataFrame, task: str = "task_id", section: str = "section_order", pool: int = 54, least: float = MIN_CLIP_S, most: int = CLIPS
 ) -> DataFrame:
-    """Clips for every section of every task: task, section, shot_id, clip_order, planned_s, score, gap_s.
+    """Clips for every section of every task: task, section, shot_id, clip_order, planned_s, adjusted_score, strategy, gap_s.
 
-    Rows are (task, section, shot_id, unit_id, asset_id, score, duration_s, budget_s), and
-    may have ``override_order`` (an editor's or planner's choice, kept as given) and
-    ``batch_price`` (what other tasks' use costs; the opening starts with the cheapest of
-    its three best). Later sections pay for what earlier ones of their task have used.
+    Rows are (task, section, shot_id, unit_id, asset_id, score, duration_s, budget_s) and
+    what they have of OPTIONAL. ``score`` is scoring.adjusted_score() without the task's
+    own reuse, which is paid here, less where a hit is strong. An editor's order is kept as
+    given; a planner's is kept but for a used opening and topped up; else rules choose.
     """
-    has = set(candidates.columns)
-    for c in ("override_order", "batch_price"):
-        if c not in has:
-            candidates = candidates.withColumn(c, F.lit(None).cast("double"))
-    cols = [task, section, "shot_id", "unit_id", "asset_id", "score", "duration_s", "budget_s", "override_order", "batch_price"]
-    ranked = top_k_per_key(candidates.select(*cols), [task, section], "score", pool, "shot_id")
+    for c, (kind, value) in OPTIONAL.items():
+        fill = F.array().cast(kind) if value == [] else F.lit(value).cast(kind)
+        candidates = candidates.withColumn(c, F.coalesce(F.col(c).cast(kind), fill) if c in candidates.columns else fill)
+    cols = [task, section, "shot_id", "unit_id", "asset_id", "score", "duration_s", "budget_s", *OPTIONAL]
+    ranked = top_k_per_key(candidates.select(*cols, reuse_scale(F.col("visual_score")).alias("reuse_scale")), [task, section], "score", pool, "shot_id")
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         use, out = Usage.empty(), []
         for number, rows in group.groupby(section, sort=True):
             rows = rows.copy()
-            rows["now"] = [
-                r.score - use.price(r.shot_id, r.unit_id, r.asset_id) - (0 if pd.isna(r.batch_price) else r.batch_price)
-                for r in rows.itertuples()
-            ]
-            rows = rows.sort_values(["now", "shot_id"], ascending=[False, True])
-            chosen = rows[rows.override_order.notna()].sort_values("override_order")
-            if chosen.empty:
-                chosen = rows
-                if number == group[section].min() and rows.batch_price.notna().any():
-                    head = rows.head(3)
-                    first = head.assign(p=head.batch_price.fillna(0)).sort_values(["p", "now"], ascending=[True, False]).index[0]
-                    chosen = pd.concat([rows.loc[[first]], rows.drop(first)])
-            else:  # a choice that does not fill its budget is topped up from the pool
-                chosen = pd.concat([chosen, rows[rows.override_order.isna()]])
-            plan, gap = allocate(chosen.duration_s.tolist(), float(chosen.budget_s.iloc[0]), least)
+            rows["now"] = [r.score - use.price(r.shot_id, r.unit_id, r.asset_id) * r.reuse_scale - (0 if pd.isna(r.batch_price) else r.batch_price) for r in rows.itertuples()]
+            listed = list(rows.sort_values(["now", "shot_id"], ascending=[False, True]).itertuples())
+            budget = float(listed[0].budget_s)
+            wanted = lambda c: sorted((r for r in listed if not pd.isna(getattr(r, c))), key=lambda r: getattr(r, c))  # noqa: B023, E731  used at once
+            chosen, strategy = wanted("override_order"), "override"
+            if not chosen:
+                chosen, strategy = wanted("planner_order"), "planner"
+                if not chosen:
+                    chosen, strategy = _choose(listed, budget, most)
+                chosen = _topped_up(_fresh_opening(chosen, listed), listed, budget, least, most)
+            plan, gap = allocate([r.duration_s for r in chosen], budget, least)
             for order, (i, part) in enumerate(plan, start=1):
-                r = chosen.iloc[i]
+                r = chosen[i]
                 use.add(r.shot_id, r.unit_id, r.asset_id)
-                out.append((r[task], number, r.shot_id, order, part, round(r.now, 6), gap))
-        return pd.DataFrame(out, columns=[task, section, "shot_id", "clip_order", "planned_s", "adjusted_score", "gap_s"])
+                out.append((group[task].iloc[0], number, r.shot_id, order, part, round(r.now, 6), strategy, gap))
+        return pd.DataFrame(out, columns=[task, section, "shot_id", "clip_order", "planned_s", "adjusted_score", "strategy", "gap_s"])
 
     kinds = dict(candidates.dtypes)
-    schema = f"{task} {kinds[task]}, {section} {kinds[section]}, shot_id {kinds['shot_id']}, clip_order int, planned_s double, adjusted_score double, gap_s double"
+    schema = f"{task} {kinds[task]}, {section} {kinds[section]}, shot_id {kinds['shot_id']}, clip_order int, planned_s double, adjusted_score double, strategy string, gap_s double"
     return ranked.groupBy(task).applyInPandas(work, schema)
 
 
@@ -147,10 +217,20 @@ def valid_plans(plans: DataFrame, pool: DataFrame, task: str, section: str, row_
     return joined.withColumn("_ok", ok).filter("_ok").drop("_ok", "_k")
 
 
-def confidence(picks: DataFrame, keys: list[str], score: str, hit: str, gap: str) -> DataFrame:
-    """A section's confidence from its mean score, share of hits and unfilled budget, from 0 to 0.98."""
-    raw = F.avg(score) * 0.5 + F.avg(F.col(hit).cast("int")) * 0.5 - F.when(F.max(gap) > 0.35, 0.2).when(F.max(gap) > SHORT_S, 0.05).otherwise(0.0)
-    return picks.groupBy(*keys).agg(F.bround(F.least(F.lit(0.98), F.greatest(F.lit(0.0), raw)), 3).alias("confidence"), F.count("*").alias("n_clips"))
+def confidence(picks: DataFrame, keys: list[str]) -> DataFrame:
+    """A section's confidence from 0 to 0.98: keys, confidence, n_clips.
+
+    Rows have score, hit, gap_s, strategy, override and hard_subtitle_risk. It rises with
+    the mean score and the share of clips with a hit, an editor's choice has a floor, and
+    burnt-in texts and a gap lower it.
+    """
+    base = 0.52 + F.least(F.lit(0.24), F.greatest(F.lit(0.0), F.avg("score")) * 0.18) + F.avg(F.col("hit").cast("int")) * 0.12
+    base = base + F.when(F.bool_or(F.col("strategy") == "single"), 0.08).otherwise(0.0)
+    base = F.when(F.bool_or("override"), F.greatest(base, F.lit(0.78))).otherwise(base)
+    risk = lambda r, cost: F.when(F.bool_or(F.coalesce(F.col("hard_subtitle_risk") == r, F.lit(False))), cost).otherwise(0.0)
+    gap = F.max("gap_s")
+    raw = base - risk("medium", 0.08) - risk("high", 0.2) - F.when(gap > 0, F.least(F.lit(0.35), gap * 0.06 + 0.12)).otherwise(0.0)
+    return picks.groupBy(*keys).agg(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(0.98), raw)), 3).alias("confidence"), F.count("*").alias("n_clips"))
 
 
 def selection_summary(picks: DataFrame, keys: list[str]) -> DataFrame:
