@@ -15,7 +15,7 @@ def json_object(c: Column) -> Column:
 
     Null where none of them parses.
     """
-    bare = F.trim(F.regexp_replace(c, r"(?m)^\s*```[A-Za-z]*\s*$", ""))
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?m)^\s*```[A-Za-z]*\s*$", ""), r"\A\s+|\s+\z", "")
     inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     ok = lambda t: F.when(F.try_parse_json(t).isNotNull(), t)
     return F.coalesce(ok(bare), ok(F.when(inner != "", inner)))

@@ -53,13 +53,13 @@ def relative_position(text: Column | str, terms: Column) -> Column:
 def sentences(c: Column | str, ends: str = K.SENTENCE_ENDS) -> Column:
     """Texts up to and with their end marks, trimmed, blank ones left out."""
     parts = F.split(_c(c), f"(?<=[{ends}])")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
-def repeated_sentences(c: Column | str, shortest: int = 6, most: int | None = 3) -> Column:
+def repeated_sentences(c: Column | str, shortest: int = 6, most: int | None = 3, ends: str = K.SENTENCE_ENDS) -> Column:
     """Sentence bodies of some length that come twice, in the order of their first repeat."""
     bodies = F.filter(
-        F.transform(sentences(c), lambda s: F.trim(F.regexp_replace(s, f"[{K.SENTENCE_ENDS}]+$", ""))),
+        F.transform(sentences(c, ends), lambda s: F.trim(F.regexp_replace(s, f"[{ends}]+$", ""))),
         lambda s: F.length(s) >= shortest,
     )
     again = F.transform(
@@ -159,7 +159,7 @@ def classified(c: Column | str, rules: list[tuple[str, str]], default: str | Non
 
 def failure_line(log: Column | str, rules: list[tuple[str, str]]) -> Column:
     """``label: line`` of the first rule that some line meets, the latest such line."""
-    lines = F.filter(F.transform(F.split(_c(log), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(_c(log), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     out = []
     for needle, label in rules:
         holds = lambda x: F.contains(x, F.lit(needle))  # noqa: B023, E731  used at once

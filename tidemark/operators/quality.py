@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import blank_fields
+from ..functions.coerce import blank_fields, first_nonblank
 from ..functions.text import meaning
 from .aggregates import message_frequency, severity, worst
 from .intervals import overlaps_before
@@ -62,13 +62,13 @@ def caption_check(sections: DataFrame, captions: DataFrame, key: str = "section_
         F.min("start_s").alias("_a"), F.max("end_s").alias("_b"),
     )
     rows = sections.join(per, key, "left")
-    text = F.coalesce(meaning("subtitle_text"), meaning("voice_text"))
+    text = meaning(first_nonblank("subtitle_text", "voice_text"))
     late = captions.withColumn("_all", F.lit(1)).transform(lambda d: overlaps_before(d, [key], ["start_s", "caption_order"])).agg(F.count_if("overlap").alias("_o"))
     rows = rows.crossJoin(F.broadcast(late))  # one row
     return check(
         rows, "captions",
         {
-            "sections": F.count("*"), "missing": F.count_if(F.col("_t").isNull()), "text_differs": F.count_if(meaning("_t") != text),
+            "sections": F.count("*"), "missing": F.count_if(F.col("_t").isNull()), "text_differs": F.count_if(F.col("_t").isNotNull() & (meaning("_t") != text)),
             "off": F.count_if((F.abs(F.col("_a") - F.col("audio_start_s")) > delta) | (F.abs(F.col("_b") - F.col("audio_end_s")) > delta)),
             "overlaps": F.max("_o"), "total_delta_s": F.abs(F.max("_b") - F.max("audio_end_s")),
         },
