@@ -85,6 +85,25 @@ def test_toxicity_keeps_the_labels_share(spark):
         assert score == pytest.approx(toxic / (toxic + clean), abs=0.01)
 
 
+def test_fit_equals_a_plain_one():
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 40)) < 0.3
+    y = (x[:, 3] | x[:, 7]).astype(float)
+    r = rng.normal(size=1 << toxicity.BITS)
+    cuts, features = np.cumsum([0, *x.sum(1)]), np.concatenate([np.flatnonzero(row) * 5 for row in x]).astype(np.int32)
+    scaled, w, b = x * r[np.arange(40) * 5], np.zeros(40), 0.0
+    for _ in range(20000):  # plain gradient steps on the same loss
+        e = 1 / (1 + np.exp(-(scaled @ w + b))) - y
+        w, b = w - 0.01 * (scaled.T @ e + w), b - 0.01 * e.sum()
+    old = toxicity.CHUNK
+    try:
+        for toxicity.CHUNK in (old, 50):
+            weights, bias = toxicity.fit(cuts, features, y, r, rounds=4000)
+            assert np.allclose(weights[np.arange(40) * 5], w * r[np.arange(40) * 5], atol=1e-3) and abs(bias - b) < 1e-2
+    finally:
+        toxicity.CHUNK = old
+
+
 def test_ngrams_do_not_depend_on_chunks():
     t = ["ab cd" * 50, None, "xyz " * 40, "q"]
     whole = toxicity.present(t)

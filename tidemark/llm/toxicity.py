@@ -106,29 +106,50 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(rows: np.ndarray, features: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, rounds: int = 300):
-    """Logistic regression on presence times ratio, by accelerated gradient steps."""
-    used, f = np.unique(features, return_inverse=True)
+def fit(cuts: np.ndarray, features: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, rounds: int = 300):
+    """Logistic regression on presence times ratio, by accelerated gradient steps.
+
+    ``cuts`` has where each document's features begin, and their end. Documents are worked
+    through in stretches of about CHUNK features, so that the driver holds the features
+    once, in 32 bits, and little beside them.
+    """
+    used = np.unique(features)
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    f = place[features]
     r = ratio[used]
-    v = r[f]
     n, m = len(y), len(used)
+    ends = np.unique(np.append(np.searchsorted(cuts, np.arange(CHUNK, cuts[-1], CHUNK)), n))
+    stretches = [(a, b) for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True) if b > a]
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        wr, out = w * r, np.zeros(n)
+        for a, b in stretches:
+            rows = np.repeat(np.arange(b - a), np.diff(cuts[a : b + 1]))
+            out[a:b] = np.bincount(rows, wr[f[cuts[a] : cuts[b]]], minlength=b - a)
+        return out
+
+    def gathered(e: np.ndarray) -> np.ndarray:
+        out = np.zeros(m)
+        for a, b in stretches:
+            out += np.bincount(f[cuts[a] : cuts[b]], np.repeat(e[a:b], np.diff(cuts[a : b + 1])), minlength=m)
+        return out * r
+
     w, b, last_w, last_b = np.zeros(m), 0.0, np.zeros(m), 0.0
     # A step by the largest eigenvalue of the squared features, found by power iteration.
     u = np.ones(m) / max(1, m) ** 0.5
     top = 1.0
     for _ in range(12):
-        t = np.bincount(rows, v * u[f], minlength=n)
-        u = np.bincount(f, v * t[rows], minlength=m)
+        u = gathered(scores(u))
         top = float(np.linalg.norm(u)) or 1.0
         u = u / top
     step = 1 / (0.25 * (top + n) + l2)
     for k in range(rounds):
         go = k / (k + 3)
         yw, yb = w + go * (w - last_w), b + go * (b - last_b)
-        z = np.bincount(rows, v * yw[f], minlength=n) + yb
-        e = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+        e = 1 / (1 + np.exp(-np.clip(scores(yw) + yb, -500, 500))) - y
         last_w, last_b = w, b
-        w = yw - step * (np.bincount(f, v * e[rows], minlength=m) + l2 * yw)
+        w = yw - step * (gathered(e) + l2 * yw)
         b = yb - step * float(e.sum())
     out = np.zeros(1 << BITS)
     out[used] = w * r
@@ -220,11 +241,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         y.append(r["toxic"])
         parts.append(np.frombuffer(r["features"], "<i4"))
     texts.unpersist()
-    rows = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    cuts = np.cumsum([0, *map(len, parts)])
     features = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    parts.clear()
     if not len(features):
         return Model(np.zeros(1 << BITS), float(np.log(n[1] / n[0])) + shift)
-    weights, bias = fit(rows, features, np.array(y, float), ratio)
+    weights, bias = fit(cuts, features, np.array(y, float), ratio)
     return Model(weights, bias + shift)
 
 
