@@ -18,7 +18,7 @@ import numpy as np
 END = 0
 MODEL = "byte_bpe_50k.json"
 #: Chunks in one generation of the memo; what an older one has moves up when it is used.
-MEMO = 600_000
+MEMO = 300_000
 _SPLIT = re.compile(r" (?=\S)")
 #: White space after a space, or the text's end: only then do splits at " " and _SPLIT differ.
 _ODD = re.compile(r" (?:\s|\Z)")
