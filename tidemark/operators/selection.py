@@ -108,7 +108,7 @@ def _choose(rows: list, budget: float, most: int) -> tuple[list, str]:
         if len(chosen) >= most or sum(c.duration_s for c in chosen) >= budget - DONE_S:
             break
         # Later ones share a hit with the first, hit the section's own words or come from a known file.
-        if chosen and not (r.hits or r.asset_id in {c.asset_id for c in chosen}):
+        if chosen and not (len(r.hits) or r.asset_id in {c.asset_id for c in chosen}):
             continue
         chosen.append(r)
         hits = hits or set(r.hits)
