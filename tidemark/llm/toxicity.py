@@ -111,16 +111,22 @@ def fit(cuts: np.ndarray, features: np.ndarray, y: np.ndarray, ratio: np.ndarray
 
     ``cuts`` has where each document's features begin, and their end. Documents are worked
     through in stretches of about CHUNK features, so that the driver holds the features
-    once, in 32 bits, and little beside them.
+    once, in 32 bits, and little beside them if the caller keeps no name for ``features``.
     """
-    used = np.unique(features)
-    place = np.zeros(1 << BITS, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    f = place[features]
-    r = ratio[used]
-    n, m = len(y), len(used)
+    n = len(y)
     ends = np.unique(np.append(np.searchsorted(cuts, np.arange(CHUNK, cuts[-1], CHUNK)), n))
     stretches = [(a, b) for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True) if b > a]
+    present_in = np.zeros(1 << BITS, bool)
+    for a, b in stretches:
+        present_in[features[cuts[a] : cuts[b]]] = True
+    used = np.flatnonzero(present_in)
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    f = np.empty(len(features), np.int32)
+    for a, b in stretches:
+        f[cuts[a] : cuts[b]] = place[features[cuts[a] : cuts[b]]]
+    del features
+    r, m = ratio[used], len(used)
 
     def scores(w: np.ndarray) -> np.ndarray:
         wr, out = w * r, np.zeros(n)
@@ -156,6 +162,13 @@ def fit(cuts: np.ndarray, features: np.ndarray, y: np.ndarray, ratio: np.ndarray
     return out, b
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """All parts in one; the list is emptied, so that the parts can go."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def labelled(labels: DataFrame) -> DataFrame:
     """Labelled ids outside the held-out fifth: l_id, toxic."""
     return (
@@ -241,12 +254,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         y.append(r["toxic"])
         parts.append(np.frombuffer(r["features"], "<i4"))
     texts.unpersist()
+    mask.destroy()
     cuts = np.cumsum([0, *map(len, parts)])
-    features = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    parts.clear()
-    if not len(features):
+    if not cuts[-1]:
         return Model(np.zeros(1 << BITS), float(np.log(n[1] / n[0])) + shift)
-    weights, bias = fit(cuts, features, np.array(y, float), ratio)
+    weights, bias = fit(cuts, _joined(parts), np.array(y, float), ratio)
     return Model(weights, bias + shift)
 
 
