@@ -7,6 +7,7 @@ session without that setting (tests on one machine) gets a temporary folder here
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -76,6 +77,16 @@ def discard(spark: SparkSession, *of: DataFrame | str) -> None:
             fs.delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps hold.
+
+    Spark deletes their shuffle files and broadcasts only once the driver's JVM has
+    collected the owners, which it may put off until its heap has grown to the limit.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_group(df: DataFrame, by: list[str], unit: Column, counted: str | None = None, **least: str) -> DataFrame:
     """Each row with its group's values: the minimum of a column by name, and how many rows.
 
