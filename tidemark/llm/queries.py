@@ -71,6 +71,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables(spark, sf_dir, "documents"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fill_middle as fim
+
+    made = fim.fill_middle(tables(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_extract": op2_html_extract,
@@ -82,6 +92,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_chat_format": op9_chat_format,
     "op10_packing": op10_packing,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 _WS = r"[\x20\x09-\x0D]"
@@ -141,6 +152,29 @@ ORACLE_SQL = {
         SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT host_failed AS kept
         FROM f JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source""",
+    "op13_fill_middle": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                 sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s
+          FROM documents),
+        h AS (
+          SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n,
+                 CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[25:32] AS BIGINT) AS h4
+          FROM d),
+        f AS (
+          SELECT doc_id, t, n,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+                 array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+                 array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+                 array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS x
+          FROM h)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m
+                      ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM f""",
     "op9_chat_format": """
         WITH t AS (
           SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
