@@ -71,6 +71,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefix_trie
+
+    return prefix_trie.conversation_trie(tables(spark, sf_dir, "conversations"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import fill_middle as fim
 
@@ -92,6 +98,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_chat_format": op9_chat_format,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -152,6 +159,39 @@ ORACLE_SQL = {
         SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT host_failed AS kept
         FROM f JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source""",
+    "op11_prefix_trie": """
+        WITH t AS (
+          SELECT conv_id, strlen(coalesce(text, '')) AS size, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn
+          FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS k FROM t),
+        c AS (
+          SELECT conv_id, conv_id - conv_id % 5 AS base,
+                 xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(conv_id::VARCHAR, '.'), lambda x: ord(x)::BIGINT)),
+                   lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda b, i: xor(b >> 1, 3988292384 * (b & 1))))) % 9 AS h
+          FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (
+          SELECT c.conv_id, 0 AS own, o.k, digest, size FROM c JOIN o ON o.conv_id = c.base AND o.k < h
+          UNION ALL SELECT conv_id, 1, o.k, digest, size FROM o JOIN c USING (conv_id) WHERE o.k >= h),
+        p AS (
+          SELECT conv_id, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS path, size FROM r
+          WINDOW w AS (PARTITION BY conv_id ORDER BY own, k ROWS UNBOUNDED PRECEDING)),
+        q AS (
+          SELECT conv_id, depth, path, size FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+        n AS (
+          SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size FROM q GROUP BY path, depth),
+        b AS (
+          SELECT path[1:64 * (depth - 1)] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        m AS (
+          SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN b USING (path)),
+        s AS (
+          SELECT path[1:64 * d] AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+          FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM m) GROUP BY 1),
+        e AS (
+          SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends
+          FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY path)
+        SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+        FROM m JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN n u ON m.depth > 0 AND u.path = m.path[1:64 * (m.depth - 1)]""",
     "op13_fill_middle": r"""
         WITH d AS (
           SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
