@@ -77,6 +77,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(tables(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.jaccard_groups(tables(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import fill_middle as fim
 
@@ -99,6 +105,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -192,6 +199,36 @@ ORACLE_SQL = {
           FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY path)
         SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
         FROM m JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN n u ON m.depth > 0 AND u.path = m.path[1:64 * (m.depth - 1)]""",
+    "op12_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        d AS (
+          SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s
+          FROM w),
+        n AS (
+          SELECT min(doc_id) AS k, s, len(s) AS n FROM d WHERE len(s) > 0 GROUP BY s),
+        f AS (
+          SELECT k, n, unnest(s) AS g FROM n),
+        c AS (
+          SELECT g, count(*) AS c FROM f GROUP BY g),
+        o AS (
+          SELECT k, n, f.g, row_number() OVER (PARTITION BY k ORDER BY c, f.g) AS i FROM f JOIN c ON f.g = c.g),
+        x AS (
+          SELECT k, n, g FROM o WHERE i <= n - (9 * n + 9) // 10 + 1),
+        m AS (
+          SELECT DISTINCT a.k AS a, b.k AS b, a.n + b.n AS n FROM x a JOIN x b ON a.g = b.g AND a.k < b.k AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n),
+        l AS (
+          SELECT a, b FROM m JOIN n p ON p.k = a JOIN n r ON r.k = b WHERE 19 * len(list_intersect(p.s, r.s)) >= 9 * m.n),
+        e AS (
+          SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (
+          SELECT k, k AS root FROM n UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.root),
+        t AS (
+          SELECT k, min(root) AS root FROM r GROUP BY k)
+        SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(t.root, d.doc_id) AS component_id
+        FROM d LEFT JOIN n ON n.s = d.s LEFT JOIN t ON t.k = n.k""",
     "op13_fill_middle": r"""
         WITH d AS (
           SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
