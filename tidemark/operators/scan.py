@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Slices for each shuffle partition that all rows would make, and rows below which no key is cut.
-PER_PARTITION = 2
+PER_PARTITION = 4
 LEAST_ROWS = 4096
 
 SLICE, SPLIT = "_slice", "_split"

@@ -727,4 +727,4 @@ def stream_events(spark, d):
     W.run_available(counted, lambda b, n: b.write.mode("overwrite").parquet(f"{base}/out"), f"{base}/ck", "complete")
     return spark.read.parquet(f"{base}/out").withColumn("total", F.round("total", 4))
 
-from . import record_queries, rule_queries  # noqa: E402, F401  these register theirs as well
+from . import record_queries, rule_queries, scale_queries  # noqa: E402, F401  these register theirs as well
