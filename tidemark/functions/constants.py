@@ -81,3 +81,24 @@ EXACT_TEXT = ("child_vlm_refined", "child_verified", "highlight_overlap", "story
 NO_LOOP = ("disabled", "no_loop", "without_loop", "loop disabled")
 #: Addresses of stored videos.
 STORE, STORE_LEAST, VIDEO_SUFFIXES = "oss://", 80, (".mp4", ".mov", ".m4v", ".avi", ".webm")
+#: Words of sections and pictures, by what they are about.
+OPENING_PROOF_WORDS = ("倒水", "泼水", "遇水", "防水", "防汗", "测试", "擦拭", "妆容未花", "不渗水", "吸水", "水滴", "实证", "验证")
+OPENING_ALLOWED_WORDS = ("遇水", "防水", "防汗", "倒水", "泼水", "测试", "擦拭", "稳定", "持妆证明")
+TEXTURE_WORDS = ("粉芯", "膏体", "取粉", "贴肤", "服帖", "质感", "开盖", "礼盒", "外壳", "款式", "陈列", "国风")
+TEXTURE_FORBIDDEN_WORDS = (
+    "礼盒", "套装", "面膜", "手臂", "试色", "晕染", "精华", "精华液", "灵芝", "高浓", "高浓度", "60倍", "六十倍", "爆浆", "妆养", "养肤",
+    "护肤级", "水珠", "水滴", "遇水", "泼水", "倒水", "防水", "防汗", "测试", "擦拭",
+)
+CTA_USE_WORDS = ("上妆", "轻拍", "粉扑", "脸颊", "额头", "下巴", "眼下", "鼻翼", "妆效", "微笑示意", "使用效果")
+CTA_PACKAGING_WORDS = ("礼盒", "陈列", "外壳", "款式", "套装", "活动价")
+FACE_WORDS = (
+    "粉扑", "轻拍", "上脸", "面部", "脸颊", "脸上", "补妆", "妆效", "底妆", "气色", "柔焦", "服帖", "服贴", "清透", "清爽", "自然",
+)
+FACE_STRONG_WORDS = ("粉扑", "轻拍", "上脸", "面部", "脸颊", "脸上", "妆效", "底妆", "气色", "柔焦", "服帖", "服贴", "清透")
+DETAIL_WORDS = ("开盖", "打开", "粉芯", "膏体", "取粉", "质地", "镜面", "气垫盒", "粉底液", "外观", "手持")
+DETAIL_CORE_WORDS = ("开盖", "打开", "粉芯", "膏体", "取粉", "质地", "镜面", "粉底液")
+PACKAGING_WORDS = ("礼盒", "陈列", "外壳", "托盘", "多款", "套装", "替换装", "周边", "活动价", "自用", "送人")
+PACKAGING_OFFER_WORDS = ("活动价", "自用", "送人")
+PROOF_WORDS = ("遇水", "倒水", "泼水", "防水", "防汗", "测试", "擦拭", "水流", "水珠", "喷洒", "纸巾", "按压", "不脱妆", "不渗透", "酱汁")
+FORMULA_WORDS = ("精华", "精华液", "灵芝", "高浓", "高浓度", "60倍", "六十倍", "爆浆", "妆养", "养肤")
+TOP_UP_HARD_WORDS = ("礼盒", "套装", "面膜", "精华", "精华液", "灵芝", "60倍", "六十倍", "妆养")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
+from ..functions import themes as T
 from ..operators import intervals as I
 from .queries import _EV, _event_times, long, query, t
 
@@ -78,3 +80,98 @@ def scan_hot_nearest(spark, d):
     p = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("p_id"), F.col("ts").alias("p_ts"))
     r = I.nearest_start(e.select("user_id", "event_id", "ts"), p, "event_id", "p_id", "ts", "p_ts", ["user_id"]).filter("p_id IS NOT NULL")
     return r.select("event_id", "p_id", F.round("distance_s", 3).alias("distance_s"))
+
+
+# Sections and what they may show
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+#: Words that sections and candidates of these queries are made of.
+_POOL = [*K.FACE_WORDS[:6], *K.DETAIL_WORDS[:6], *K.PACKAGING_WORDS[:4], *K.PROOF_WORDS[:4], "国风", "款式", "手臂", "精华", "活动价", "plain", "words", "only"]
+_ROLES = ["opening", "product", "proof", "cta", "transition", ""]
+
+
+def _has(ws, q: str = "q") -> str:
+    return f"len(list_filter({_list(ws)}, lambda w: contains({q}, w))) > 0"
+
+
+def _place(ws, q: str) -> str:
+    return f"coalesce(list_min(list_filter(list_transform({_list(ws)}, lambda w: instr({q}, w)), lambda p: p > 0)), 9999)"
+
+
+_NO_OFFER = [w for w in K.PACKAGING_WORDS if w not in K.PACKAGING_OFFER_WORDS]
+_N = len(_POOL)
+_SECTIONS_SQL = f"""
+    parts AS (
+      SELECT p_partkey AS section_id, {_list(_ROLES)}[p_partkey % 6 + 1] AS role, {_list(_POOL)}[p_partkey * 7 % {_N} + 1] AS a, {_list(_POOL)}[p_partkey * 11 // 6 % {_N} + 1] AS b,
+             CASE WHEN p_partkey % 4 = 0 THEN '' ELSE {_list(_POOL)}[p_partkey * 5 // 3 % {_N} + 1] || {_list(_POOL)}[p_partkey // 4 % {_N} + 1] END AS voice FROM part),
+    q AS (SELECT *, trim(a || ' ' || b || ' ' || voice) AS q FROM parts),
+    fl AS (
+      SELECT *, role = 'cta' OR {_has(K.PACKAGING_WORDS)} AS pk, role = 'proof' OR {_has(K.PROOF_WORDS)} AS pr, {_has(K.DETAIL_WORDS)} AS dt, {_has(K.FACE_WORDS)} AS fc,
+             CASE WHEN voice = '' THEN q ELSE voice END AS main FROM q),
+    pl AS (
+      SELECT *, pk OR pr OR dt AND role = 'product' OR fc AND role IN ('opening', 'product') AS strict, role IN ('opening', 'product') AND fc AND dt AS both_,
+             {_place(K.FACE_WORDS, 'main')} AS f1, {_place(K.DETAIL_WORDS, 'main')} AS d1, {_place(K.FACE_WORDS, 'q')} AS f2, {_place(K.DETAIL_WORDS, 'q')} AS d2 FROM fl),
+    kp AS (SELECT *, CASE WHEN f1 = 9999 AND d1 = 9999 THEN f2 <= d2 ELSE f1 <= d1 END AS keep_face FROM pl),
+    s AS (
+      SELECT section_id, role, q, strict, pk AND NOT both_ AS pk, pr AND NOT both_ AS pr, CASE WHEN both_ THEN NOT keep_face ELSE dt END AS dt, CASE WHEN both_ THEN keep_face ELSE fc END AS fc FROM kp),
+    r AS (
+      SELECT *, CASE WHEN pk AND role = 'cta' THEN 1 WHEN pk AND dt THEN 2 WHEN pk AND fc THEN 3 WHEN pk THEN 4 WHEN pr THEN 5 WHEN fc THEN 6 WHEN dt THEN 7 ELSE 8 END AS rule,
+             CASE WHEN role = 'opening' AND NOT ({_has(K.OPENING_ALLOWED_WORDS)}) THEN 'opening' WHEN role = 'product' AND NOT ({_has(K.OPENING_ALLOWED_WORDS)}) AND {_has(K.TEXTURE_WORDS)} THEN 'texture'
+                  WHEN role = 'cta' AND {_has(K.CTA_PACKAGING_WORDS)} THEN 'packaging' END AS kind FROM s),
+    contracts AS (
+      SELECT section_id, role, strict, kind, rule,
+             CASE WHEN rule IN (1, 4) THEN ['packaging'] WHEN rule IN (2, 7) THEN ['product_detail'] WHEN rule = 3 THEN ['face_apply'] WHEN rule = 5 THEN ['proof_test']
+                  WHEN rule = 6 THEN CASE WHEN dt THEN ['product_detail', 'face_apply'] ELSE ['face_apply'] END ELSE []::VARCHAR[] END AS themes,
+             CASE WHEN rule IN (1, 4) THEN {_list(K.PACKAGING_WORDS)} WHEN rule IN (2, 7) THEN {_list(K.DETAIL_CORE_WORDS)} WHEN rule IN (3, 6) THEN {_list(K.FACE_STRONG_WORDS)}
+                  WHEN rule = 5 THEN {_list(K.PROOF_WORDS)} ELSE []::VARCHAR[] END AS required,
+             CASE rule WHEN 1 THEN {_list(K.CTA_USE_WORDS)} WHEN 3 THEN {_list(_NO_OFFER)} WHEN 6 THEN {_list(dict.fromkeys([*_NO_OFFER, *K.FORMULA_WORDS, *K.PROOF_WORDS]))}
+                  WHEN 7 THEN {_list(dict.fromkeys([*K.PROOF_WORDS, *K.PACKAGING_WORDS]))} ELSE []::VARCHAR[] END AS forbidden,
+             CASE kind WHEN 'opening' THEN {_list(K.OPENING_PROOF_WORDS)} WHEN 'texture' THEN {_list(K.TEXTURE_FORBIDDEN_WORDS)} WHEN 'packaging' THEN {_list(K.CTA_USE_WORDS)} ELSE []::VARCHAR[] END AS besides
+      FROM r)"""
+
+
+def _pick(key, *at: str):
+    pool = F.array(*[F.lit(w) for w in _POOL])
+    return [F.get(pool, F.expr(e.format(key) + f" % {_N}").cast("int")) for e in at]
+
+
+def _contracts(spark, d):
+    p = t(spark, d, "part")
+    a, b, v, w = _pick("p_partkey", "({} * 7)", "(({} * 11) div 6)", "(({} * 5) div 3)", "({} div 4)")
+    voice = F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(v, w))
+    s = p.select(F.col("p_partkey").alias("section_id"), F.get(F.array(*[F.lit(r) for r in _ROLES]), (F.col("p_partkey") % 6).cast("int")).alias("role"), a.alias("a"), b.alias("b"), voice.alias("voice"))
+    q = T.section_query(F.col("a"), F.col("b"), F.lit(None).cast("string"), F.col("voice"), F.lit(None).cast("array<string>"))
+    return s.select("section_id", T.section_contract(q, F.col("role"), F.col("voice")).alias("c"))
+
+
+@query(f"""
+    WITH {_SECTIONS_SQL}
+    SELECT section_id, strict, kind, array_to_string(themes, ',') AS themes, array_to_string(required, ',') AS required, array_to_string(forbidden, ',') AS forbidden FROM contracts""")
+def theme_contracts(spark, d):
+    required = F.flatten(F.map_values("c.required"))
+    return _contracts(spark, d).select(
+        "section_id", "c.strict", "c.kind", F.array_join("c.themes", ",").alias("themes"), F.array_join(required, ",").alias("required"), F.array_join("c.forbidden", ",").alias("forbidden")
+    )
+
+
+@query(f"""
+    WITH {_SECTIONS_SQL},
+    c AS (SELECT DISTINCT l_partkey AS section_id, l_suppkey AS cand_id FROM lineitem),
+    x AS (
+      SELECT k.*, cand_id, {_list(_POOL)}[cand_id * 3 % {_N} + 1] || ' ' || {_list(_POOL)}[(cand_id + k.section_id) * 13 // 5 % {_N} + 1] AS text FROM c JOIN contracts k USING (section_id)),
+    h AS (
+      SELECT *, list_filter(themes, lambda n: NOT (n <> 'product_detail' OR rule IN (2, 7)) OR len(list_filter(required, lambda w: contains(text, w))) = 0) AS missing,
+             list_filter(forbidden, lambda w: contains(text, w)) AS bad, list_filter(besides, lambda w: contains(text, w)) AS more FROM x),
+    v AS (SELECT *, len(bad) = 0 AND (NOT strict OR len(missing) = 0) AS theme_ok, list_concat(bad, list_filter(more, lambda w: NOT list_contains(bad, w))) AS hits FROM h)
+    SELECT section_id, cand_id, array_to_string(missing, ',') AS missing, array_to_string(hits, ',') AS forbidden, theme_ok, theme_ok AND len(hits) = 0 AS admitted,
+           theme_ok AND (len(hits) = 0 OR CASE WHEN role = 'product' AND themes = ['product_detail'] THEN NOT list_has_any(hits, {_list([*K.PROOF_WORDS, *K.TOP_UP_HARD_WORDS])})
+                         WHEN kind = 'packaging' THEN NOT list_has_any(hits, {_list(K.CTA_USE_WORDS)}) ELSE false END) AS top_up FROM v""")
+def theme_verdicts(spark, d):
+    pairs = t(spark, d, "lineitem").select(F.col("l_partkey").alias("section_id"), F.col("l_suppkey").alias("cand_id")).distinct()
+    a, b = _pick("", "(cand_id * 3)", "(((cand_id + section_id) * 13) div 5)")
+    rows = pairs.join(_contracts(spark, d), "section_id").withColumn("v", T.contract_verdict(F.concat_ws(" ", a, b), F.col("c")))
+    return rows.select("section_id", "cand_id", F.array_join("v.missing", ",").alias("missing"), F.array_join("v.forbidden", ",").alias("forbidden"), "v.theme_ok", "v.admitted", "v.top_up")
