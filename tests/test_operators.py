@@ -409,6 +409,10 @@ def test_selection_rules(spark):
     seen = {"visual_score": 3.0, "semantic_score": 2.0}
     assert picked({}, {"score": 0.5} | seen) == [(1, "single")]  # what is long and means the right thing, before the better score
     assert picked({"duration_s": 2.6, "semantic_score": 2.0, "hits": ["x"], "budget_s": 6.0}, {"duration_s": 3.4, "semantic_score": 1.7, "hits": ["x"], "score": 0.4, "budget_s": 6.0}, {"duration_s": 9.0, "budget_s": 6.0}) == [(0, "several"), (1, "several")]
+    far = {"duration_s": 3.0, "semantic_score": 2.0, "budget_s": 9.0, "allowed_top_up": False}
+    pair = lambda **kw: picked({"hits": ["x"]} | far, {"hits": ["y"], "score": 0.5} | far | kw)
+    assert pair() == [(0, "several")]  # a hit of another kind is no reason
+    assert pair(query_terms=["y"]) == pair(asset_id=0) == pair(hits=["y", "x"]) == [(0, "several"), (1, "several")]
     hit = {k: v for k, v in zip(("needs_child_hit", "hard_hits"), (True, 1))}
     assert picked({"needs_child_hit": True, "hard_hits": 0}, {"score": 0.1} | hit) == [(1, "single")]
     assert picked({"needs_child_hit": True, "hard_hits": 0}, {"score": 0.1, "needs_child_hit": True, "hard_hits": 0}) == [(0, "single")]
@@ -425,3 +429,29 @@ def test_selection_rules(spark):
     )
     got = {r.s: r.confidence for r in selection.confidence(picks, ["s"]).collect()}
     assert got == {"a": 0.9, "b": pytest.approx(0.52 + 0.24 + 0.06 - 0.28 - 0.18), "c": 0.78}
+
+
+def test_allocation_of_runs():
+    from types import SimpleNamespace as N
+
+    def r(shot, duration=9.0, **kw):
+        return N(**({"shot_id": shot, "duration_s": duration, "packaging": False, "role": "product", "own_file": False, "parent_offset_s": 0.0, "inner_offset_s": 0.0, "chosen_child": "", "children": []} | kw))
+
+    def clips(*rows, budget=8.0):
+        plan, gap = selection.planned_clips(list(rows), budget)
+        return [(c, at, s, short) for _, c, at, s, short in plan], gap
+
+    kids = lambda *ds: [{"shot_id": f"k{i}", "duration_s": d} for i, d in enumerate(ds)]
+    # A file is used from its chosen child on; packaging from its start.
+    assert clips(r("a", own_file=True, parent_offset_s=2.0, inner_offset_s=0.5)) == ([("a", 2.5, 6.5, False)], 1.5)
+    assert clips(r("a", own_file=True, parent_offset_s=2.0, packaging=True)) == ([("a", 0.0, 8.0, False)], 0.0)
+    # A chosen child at the file's very end leaves only the children.
+    assert clips(r("a", 2.0, own_file=True, parent_offset_s=1.98, children=kids(3.0, 3.0, 3.0))) == ([("k0", 0.0, 3.0, False), ("k1", 0.0, 3.0, False)], 2.0)
+    assert clips(r("a", role="proof", chosen_child="k1", children=kids(1.0, 2.6, 2.7, 2.8))) == ([("k1", 0.0, 2.6, False), ("k2", 0.0, 2.7, False), ("k3", 0.0, 2.7, False)], 0.0)
+    # Short children wait over all candidates; one stands in only if there is nothing else.
+    assert clips(r("a", children=kids(1.0, 0.5)), r("b", children=kids(2.0, 6.0))) == ([("k1", 0.0, 6.0, False)], 2.0)
+    assert clips(r("a", children=kids(1.0, 0.5)), r("b", 0.7)) == ([("k0", 0.0, 1.0, True)], 7.0)
+    # Less than the least length is no reason to begin another candidate.
+    assert clips(r("a", 7.0), r("b", 9.0)) == ([("a", 0.0, 7.0, False)], 1.0)
+    assert clips(r("a", 0.0), r("b", 4.0, inner_offset_s=1.0), budget=2.0) == ([("b", 1.0, 2.0, False)], 0.0)
+    assert clips() == ([], 8.0)

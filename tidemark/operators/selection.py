@@ -9,16 +9,20 @@ leaves itself out by a filter.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import reuse_scale
+from .clips import MOST, MOST_STEPS, STEP_ROLES
 from .topk import top_k_per_key
 
 #: A budget is filled when at most this much is left; a pick should have at least MIN_CLIP_S.
 DONE_S, MIN_CLIP_S, SHORT_S = 0.03, 2.5, 0.08
+#: Rows of sections that are filled in one call.
+AT_ONCE = 1 << 14
 #: The price of reuse in the same task, by shot, unit and asset.
 REUSE = (0.46, 0.58, 0.055)
 
@@ -44,39 +48,85 @@ class Usage:
             d[k] = d.get(k, 0) + 1
 
 
-def allocate(durations: list[float], budget: float, least: float = MIN_CLIP_S) -> tuple[list[tuple[int, float]], float]:
-    """Fill a budget with clips in order: (clip, seconds taken), and what is left.
+def allocate_runs(runs: list[tuple[int, list[float]]], budget: float, least: float = MIN_CLIP_S) -> tuple[list[tuple[int, int, float, bool]], float]:
+    """Fill a budget with clips of candidates in order: (candidate, clip, seconds taken, short), and what is left.
 
-    Clips below the least length wait; the first of them is used only if nothing else is.
+    A candidate is (most clips that it gives, seconds of each). Clips below the least length
+    wait while more than that is to be filled, inside a candidate and between candidates
+    alike; the first that waited is used, as short, only if nothing else is. No further
+    candidate is begun for less than the least length.
     """
     least = min(least, budget) if budget > 0 else least
-    left, taken, waiting = budget, [], []
-    for i, d in enumerate(durations):
+    left, taken, waiting = budget, [], None
+    for i, (most, parts) in enumerate(runs):
         if left <= DONE_S or taken and left + SHORT_S < least:
             break
-        part = min(d, left)
-        if part <= 0:
-            continue
-        if part + SHORT_S < least and left > least + SHORT_S:
-            waiting.append((i, part))
-            continue
-        taken.append((i, part))
-        left = max(0.0, left - part)
+        n = 0
+        for j, d in enumerate(parts):
+            if left <= DONE_S or n >= most:
+                break
+            part = min(d, left)
+            if part <= 0:
+                continue
+            if part + SHORT_S < least and left > least + SHORT_S:
+                waiting = waiting or (i, j, part, True)
+                continue
+            taken.append((i, j, part, False))
+            n += 1
+            left = max(0.0, left - part)
     if not taken and waiting:
-        taken = waiting[:1]
-        left = max(0.0, left - waiting[0][1])
-    return [(i, round(p, 3)) for i, p in taken], round(left, 3)
+        taken = [waiting]
+        left = max(0.0, left - waiting[2])
+    return [(i, j, round(p, 3), short) for i, j, p, short in taken], round(left, 3)
+
+
+def allocate(durations: list[float], budget: float, least: float = MIN_CLIP_S) -> tuple[list[tuple[int, float]], float]:
+    """allocate_runs() of candidates with one clip each: (clip, seconds taken), and what is left."""
+    taken, left = allocate_runs([(1, [d]) for d in durations], budget, least)
+    return [(i, p) for i, _, p, _ in taken], left
+
+
+def clips_of(r) -> tuple[int, list[tuple[str, float, float]]]:
+    """What a candidate can give: the most clips, and (clip, where in it, seconds from there) in order.
+
+    A candidate with a file of its own gives that, from where its chosen child begins (an
+    offer's packaging from the start); one with children gives a run of them from the chosen
+    one on, more of them where steps are shown; any other gives itself.
+    """
+    whole = r.packaging and r.duration_s >= WHOLE_S
+    base = 0.0 if whole else r.parent_offset_s
+    if r.own_file and r.duration_s > 0 and base < r.duration_s - DONE_S:
+        at = min(base + r.inner_offset_s, r.duration_s)
+        return 1, [(r.shot_id, round(at, 3), max(0.0, r.duration_s - at))]
+    children = [] if r.children is None else list(r.children)
+    if not children:
+        at = max(0.0, min(0.0 if whole else r.inner_offset_s, r.duration_s))
+        return 1, [(r.shot_id, round(at, 3), r.duration_s - at)]
+    ids = [c["shot_id"] for c in children]
+    first = ids.index(r.chosen_child) if not whole and r.chosen_child in ids else 0
+    most = MOST_STEPS if r.packaging or r.role in STEP_ROLES else MOST
+    return most, [(c["shot_id"], 0.0, c["duration_s"] or 0.0) for c in children[first:]]
+
+
+def planned_clips(chosen: list, budget: float, least: float = MIN_CLIP_S) -> tuple[list[tuple], float]:
+    """(candidate, clip, where in it, seconds, short) of candidates in order, and what of the budget is left."""
+    runs = [clips_of(r) for r in chosen]
+    plan, gap = allocate_runs([(most, [d for *_, d in parts]) for most, parts in runs], budget, least)
+    return [(chosen[i], *runs[i][1][j][:2], part, short) for i, j, part, short in plan], gap
 
 
 #: What counts as strong, how much of a gap is topped up, and clips of a section.
 STRONG_MEANING, STRONG_VISUAL, TOP_UP_S, CLIPS = 1.6, 2.5, 0.08, 6
+#: A packaging candidate of this length is shown from its start.
+WHOLE_S = 0.3
 #: Columns that candidates may have, with what stands for them.
 OPTIONAL = {
     "override_order": ("double", None), "planner_order": ("double", None), "batch_price": ("double", 0.0), "role": ("string", ""),
     "renderable": ("boolean", True), "allowed": ("boolean", True), "allowed_top_up": ("boolean", True), "needs_child_hit": ("boolean", False),
     "hard_hits": ("int", 0), "visual_score": ("double", 0.0), "semantic_score": ("double", 0.0), "hits": ("array<string>", []),
     "visual_hits": ("int", 0), "theme_hit": ("boolean", False), "packaging": ("boolean", False), "packaging_hit": ("boolean", False),
-    "opening_pressure": ("int", 0),
+    "opening_pressure": ("int", 0), "query_terms": ("array<string>", []), "own_file": ("boolean", False), "parent_offset_s": ("double", 0.0),
+    "inner_offset_s": ("double", 0.0), "chosen_child": ("string", ""), "children": ("array<struct<shot_id:string,duration_s:double>>", []),
 }
 
 
@@ -108,7 +158,8 @@ def _choose(rows: list, budget: float, most: int) -> tuple[list, str]:
         if len(chosen) >= most or sum(c.duration_s for c in chosen) >= budget - DONE_S:
             break
         # Later ones share a hit with the first, hit the section's own words or come from a known file.
-        if chosen and not (len(r.hits) or r.asset_id in {c.asset_id for c in chosen}):
+        own = set(r.hits)
+        if chosen and not (own & hits or own & set(r.query_terms) or r.asset_id in {c.asset_id for c in chosen}):
             continue
         chosen.append(r)
         hits = hits or set(r.hits)
@@ -132,7 +183,7 @@ def _topped_up(chosen: list, rows: list, budget: float, least: float, most: int)
     rows = rows if fallback else pool
     chosen, seed = list(chosen), chosen[0] if chosen else None
     limit = len(chosen) + most
-    while allocate([r.duration_s for r in chosen], budget, least)[1] > TOP_UP_S and len(chosen) < limit:
+    while planned_clips(chosen, budget, least)[1] > TOP_UP_S and len(chosen) < limit:
         taken = {r.shot_id for r in chosen}
         free = [r for r in rows if r.shot_id not in taken and r.renderable and r.allowed_top_up]
         fits = [r for r in free if _compatible(seed, r)]
@@ -142,19 +193,51 @@ def _topped_up(chosen: list, rows: list, budget: float, least: float, most: int)
     return chosen
 
 
+def _with_optional(candidates: DataFrame) -> DataFrame:
+    for c, (kind, value) in OPTIONAL.items():
+        fill = F.array().cast(kind) if value == [] else F.lit(value).cast(kind)
+        candidates = candidates.withColumn(c, F.coalesce(F.col(c).cast(kind), fill) if c in candidates.columns else fill)
+    return candidates
+
+
+def fill_sections(chosen: DataFrame, section: str, order: str, least: float = MIN_CLIP_S) -> DataFrame:
+    """Clips of candidates that are chosen already: section, shot_id, clip_order, clip_id, offset_s, planned_s, short, gap_s.
+
+    A row is a candidate of a section, taken in ``order`` (unique in it), with shot_id,
+    duration_s, budget_s and what it has of OPTIONAL. Candidates, and clips inside of them,
+    share one budget; see allocate_runs(). A section without any usable clip has no row.
+    """
+    rows = _with_optional(chosen).select(
+        section, order, F.col("shot_id").cast("string"), F.coalesce(F.col("duration_s").cast("double"), F.lit(0.0)).alias("duration_s"), F.col("budget_s").cast("double"), *OPTIONAL
+    )
+
+    # Many sections go in one call; their number follows the input, so that a call's rows don't.
+    parts = max(1, -(-rows.count() // AT_ONCE))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(section), F.lit(parts)))
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        group, out = group.sort_values([section, order]), []
+        for key, listed in groupby(group.itertuples(), key=lambda r: getattr(r, section)):
+            chosen = list(listed)
+            plan, gap = planned_clips(chosen, float(chosen[0].budget_s), least)
+            out += [(key, r.shot_id, k, str(clip), at, part, short, gap) for k, (r, clip, at, part, short) in enumerate(plan, start=1)]
+        return pd.DataFrame(out, columns=[section, "shot_id", "clip_order", "clip_id", "offset_s", "planned_s", "short", "gap_s"])
+
+    kind = dict(chosen.dtypes)[section]
+    return rows.groupBy("_part").applyInPandas(work, f"{section} {kind}, shot_id string, clip_order int, clip_id string, offset_s double, planned_s double, short boolean, gap_s double")
+
+
 def select_sections(
     candidates: DataFrame, task: str = "task_id", section: str = "section_order", pool: int = 54, least: float = MIN_CLIP_S, most: int = CLIPS
 ) -> DataFrame:
-    """Clips for every section of every task: task, section, shot_id, clip_order, planned_s, adjusted_score, strategy, gap_s.
+    """Clips for every section of every task: task, section, shot_id, clip_order, planned_s, adjusted_score, strategy, gap_s, clip_id, offset_s, short.
 
     Rows are (task, section, shot_id, unit_id, asset_id, score, duration_s, budget_s) and
     what they have of OPTIONAL. ``score`` is scoring.adjusted_score() without the task's
     own reuse, which is paid here, less where a hit is strong. An editor's order is kept as
     given; a planner's is kept but for a used opening and topped up; else rules choose.
     """
-    for c, (kind, value) in OPTIONAL.items():
-        fill = F.array().cast(kind) if value == [] else F.lit(value).cast(kind)
-        candidates = candidates.withColumn(c, F.coalesce(F.col(c).cast(kind), fill) if c in candidates.columns else fill)
+    candidates = _with_optional(candidates)
     cols = [task, section, "shot_id", "unit_id", "asset_id", "score", "duration_s", "budget_s", *OPTIONAL]
     ranked = top_k_per_key(candidates.select(*cols, reuse_scale(F.col("visual_score")).alias("reuse_scale")), [task, section], "score", pool, "shot_id")
 
@@ -172,15 +255,14 @@ def select_sections(
                 if not chosen:
                     chosen, strategy = _choose(listed, budget, most)
                 chosen = _topped_up(_fresh_opening(chosen, listed), listed, budget, least, most)
-            plan, gap = allocate([r.duration_s for r in chosen], budget, least)
-            for order, (i, part) in enumerate(plan, start=1):
-                r = chosen[i]
+            plan, gap = planned_clips(chosen, budget, least)
+            for order, (r, clip, at, part, short) in enumerate(plan, start=1):
                 use.add(r.shot_id, r.unit_id, r.asset_id)
-                out.append((group[task].iloc[0], number, r.shot_id, order, part, round(r.now, 6), strategy, gap))
-        return pd.DataFrame(out, columns=[task, section, "shot_id", "clip_order", "planned_s", "adjusted_score", "strategy", "gap_s"])
+                out.append((group[task].iloc[0], number, r.shot_id, order, part, round(r.now, 6), strategy, gap, str(clip), at, short))
+        return pd.DataFrame(out, columns=[task, section, "shot_id", "clip_order", "planned_s", "adjusted_score", "strategy", "gap_s", "clip_id", "offset_s", "short"])
 
     kinds = dict(candidates.dtypes)
-    schema = f"{task} {kinds[task]}, {section} {kinds[section]}, shot_id {kinds['shot_id']}, clip_order int, planned_s double, adjusted_score double, strategy string, gap_s double"
+    schema = f"{task} {kinds[task]}, {section} {kinds[section]}, shot_id {kinds['shot_id']}, clip_order int, planned_s double, adjusted_score double, strategy string, gap_s double, clip_id string, offset_s double, short boolean"
     return ranked.groupBy(task).applyInPandas(work, schema)
 
 

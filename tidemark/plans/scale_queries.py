@@ -5,11 +5,14 @@ A third of all rows gets one key here, so that the key is cut into slices.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import themes as T
 from ..operators import intervals as I
+from ..operators import selection as S
+from ..session import ship
 from .queries import _EV, _event_times, long, query, t
 
 _KEY = "CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END"
@@ -175,3 +178,60 @@ def theme_verdicts(spark, d):
     a, b = _pick("", "(cand_id * 3)", "(((cand_id + section_id) * 13) div 5)")
     rows = pairs.join(_contracts(spark, d), "section_id").withColumn("v", T.contract_verdict(F.concat_ws(" ", a, b), F.col("c")))
     return rows.select("section_id", "cand_id", F.array_join("v.missing", ",").alias("missing"), F.array_join("v.forbidden", ",").alias("forbidden"), "v.theme_ok", "v.admitted", "v.top_up")
+
+
+# Sections filled with clips of candidates and of their children
+
+_CANDS_SQL = """
+    c AS (
+      SELECT l_orderkey AS section_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS cand,
+             l_partkey AS p, l_suppkey AS u, l_quantity::DOUBLE / 5.0::DOUBLE AS dur, 3.0::DOUBLE + l_orderkey % 9 AS budget, l_orderkey % 4 = 1 AS proof, l_orderkey % 8 = 7 AS packaging FROM lineitem),
+    b AS (SELECT *, CASE WHEN packaging AND dur >= 0.3 THEN 0.0::DOUBLE ELSE (u % 4) * 0.5::DOUBLE END AS base, (p % 3) * 0.2::DOUBLE AS inner_s, CASE WHEN p % 5 IN (1, 4) THEN 0 ELSE 1 + p % 4 END AS n_children FROM c),
+    o AS (SELECT *, p % 5 = 0 AND dur > 0 AND base < dur - 0.03 AS own, 1 + CASE WHEN packaging AND dur >= 0.3 OR u % 3 >= n_children THEN 0 ELSE u % 3 END AS first_child FROM b),
+    i AS (
+      SELECT section_id, cand, 1 AS item, cand::VARCHAR AS clip_id, round(least(base + inner_s, dur), 3) AS at_s, dur - least(base + inner_s, dur) AS len, 1 AS most, budget FROM o WHERE own
+      UNION ALL
+      SELECT section_id, cand, 1, cand::VARCHAR, round(least(w, dur), 3), dur - least(w, dur), 1, budget FROM (SELECT *, CASE WHEN packaging AND dur >= 0.3 THEN 0.0::DOUBLE ELSE inner_s END AS w FROM o WHERE NOT own AND n_children = 0)
+      UNION ALL
+      SELECT section_id, cand, k, cand || '.' || k, 0.0::DOUBLE, 0.4::DOUBLE + ((p * 7 + k * 13) % 50) / 10.0::DOUBLE, CASE WHEN packaging OR proof THEN 4 ELSE 2 END, budget
+      FROM (SELECT *, unnest(range(first_child, n_children + 1)) AS k FROM o WHERE NOT own AND n_children > 0)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY cand, item) AS i, least(2.5::DOUBLE, budget) AS least_s FROM i)"""
+
+
+@query(f"""
+    WITH RECURSIVE {_CANDS_SQL},
+    f AS (
+      SELECT section_id, 0::BIGINT AS i, max(budget) AS left_s, 0::BIGINT AS cand, 0 AS in_cand, 0 AS n_all, false AS stop, 0.0::DOUBLE AS part, false AS waits FROM n GROUP BY section_id
+      UNION ALL
+      SELECT section_id, i, CASE WHEN takes THEN greatest(0, left_s - part) ELSE left_s END, cand, CASE WHEN takes THEN in_cand + 1 ELSE in_cand END, CASE WHEN takes THEN n_all + 1 ELSE n_all END,
+             stop, CASE WHEN takes OR waits THEN part ELSE 0 END, waits
+      FROM (
+        SELECT *, NOT stop AND NOT over_ AND part > 0 AND brief AS waits, NOT stop AND NOT over_ AND part > 0 AND NOT brief AS takes
+        FROM (
+          SELECT f.section_id, n.i, f.left_s, n.cand, CASE WHEN n.cand = f.cand THEN f.in_cand ELSE 0 END AS in_cand, f.n_all,
+                 f.stop OR f.left_s <= 0.03 OR n.cand <> f.cand AND f.n_all > 0 AND f.left_s + 0.08 < n.least_s AS stop, n.cand = f.cand AND f.in_cand >= n.most AS over_,
+                 least(n.len, f.left_s) AS part, least(n.len, f.left_s) + 0.08 < n.least_s AND f.left_s > n.least_s + 0.08 AS brief
+          FROM f JOIN n ON n.section_id = f.section_id AND n.i = f.i + 1))),
+    w AS (SELECT *, max(n_all) OVER (PARTITION BY section_id) AS taken, min(left_s) OVER (PARTITION BY section_id) AS gap FROM f),
+    t AS (
+      SELECT section_id, i, part, false AS short, gap FROM w WHERE part > 0 AND NOT waits
+      UNION ALL SELECT section_id, i, part, true, gap - part FROM w WHERE waits AND taken = 0 QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY i) = 1)
+    SELECT t.section_id, n.cand::VARCHAR AS shot_id, row_number() OVER (PARTITION BY t.section_id ORDER BY t.i) AS clip_order, n.clip_id, n.at_s AS offset_s, round(part, 3) AS planned_s, short, round(gap, 3) AS gap_s
+    FROM t JOIN n ON n.section_id = t.section_id AND n.i = t.i""")
+def fill_child_runs(spark, d):
+    ship(spark)
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    n = F.when((F.col("l_partkey") % 5).isin(1, 4), 0).otherwise(1 + F.col("l_partkey") % 4).cast("int")
+    rows = t(spark, d, "lineitem").withColumn("cand", F.row_number().over(w))
+    child = lambda k: F.struct(
+        F.concat_ws(".", "cand", k).alias("shot_id"), (F.lit(0.4) + ((F.col("l_partkey") * 7 + k * 13) % 50) / F.lit(10.0)).alias("duration_s")
+    )
+    key = F.col("l_orderkey")
+    rows = rows.select(
+        key.alias("section_id"), "cand", F.col("cand").alias("shot_id"), (F.col("l_quantity").cast("double") / 5.0).alias("duration_s"), (3.0 + key % 9).alias("budget_s"),
+        F.when(key % 4 == 1, "proof").when(key % 4 == 3, "cta").otherwise("product").alias("role"), (key % 8 == 7).alias("packaging"), (F.col("l_partkey") % 5 == 0).alias("own_file"),
+        ((F.col("l_suppkey") % 4) * 0.5).alias("parent_offset_s"), ((F.col("l_partkey") % 3) * 0.2).alias("inner_offset_s"),
+        F.concat_ws(".", "cand", (F.col("l_suppkey") % 3 + 1)).alias("chosen_child"),
+        F.when(n > 0, F.transform(F.sequence(F.lit(1), n), child)).otherwise(F.array()).alias("children"),
+    )
+    return S.fill_sections(rows, "section_id", "cand").withColumn("clip_order", long("clip_order"))
