@@ -185,7 +185,9 @@ def merge_short(bounds: Column, shortest: float, forward: bool = False) -> Colum
 
 def inner_bounds(start: Column, end: Column, cuts: Column, padding: float = 0.25) -> Column:
     """start, the cuts well inside, end."""
-    return F.concat(F.array(start), F.array_sort(F.filter(cuts, lambda c: (c > start + padding) & (c < end - padding))), F.array(end))
+    inside = lambda low, high: F.filter(cuts, lambda c: (c > low) & (c < high))
+    kept = _let(start + padding, lambda low: _let(end - padding, lambda high: inside(low, high)))
+    return F.concat(F.array(start), F.array_sort(kept), F.array(end))
 
 
 def split_by_cuts(df: DataFrame, start: str = "start_s", end: str = "end_s", cuts: str = "cuts", shortest: float = 1.2, padding: float = 0.25) -> DataFrame:
