@@ -141,11 +141,13 @@ def least_reachable(edges: DataFrame, a: str = "a", b: str = "b", rounds: int =
 
 
 def _ensure_checkpoint_dir(spark) -> None:
-    """The session's folder; a temporary one only where none is set, as in tests."""
+    """The session's folder; on one machine a temporary one where none is set, as in tests."""
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

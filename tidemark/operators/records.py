@@ -154,18 +154,3 @@ def run_rollup(rows: DataFrame, run: str = "run_id") -> DataFrame:
     )
     tests = {"uploads are missing": F.col("n_uploaded") < F.col("n_rows"), "channels failed": F.col("n_channels_failed") > 0, "rows wait for refinement": F.col("n_to_refine") > 0}
     return out.withColumn("warnings", F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull()))
-
-
-def candidates_per_section(sections: DataFrame, index: DataFrame, score, keys: list[str], k: int, tie: str) -> DataFrame:
-    """The k best index rows for each section: a dependent search.
-
-    ``sections`` is a task's list (tens of rows; its size is checked), the index is
-    scanned once for all of them.
-    """
-    from .topk import top_k_per_key
-
-    n = sections.count()
-    if n > 10_000:
-        raise ValueError(f"{n} sections are no task's list: search them by task")
-    rows = index.crossJoin(F.broadcast(sections)).withColumn("score", score)
-    return top_k_per_key(rows, keys, "score", k, tie)

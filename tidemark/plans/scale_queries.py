@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import themes as T
+from ..functions.constants import DEFAULT_WEIGHTS, ROLE_WEIGHTS
+from ..functions.vectors import weight_map
+from ..operators import aggregates as A
 from ..operators import intervals as I
 from ..operators import selection as S
+from ..operators.dependent import dependent_top_k
 from ..session import ship
 from .queries import _EV, _event_times, long, query, t
 
@@ -235,3 +239,38 @@ def fill_child_runs(spark, d):
         F.when(n > 0, F.transform(F.sequence(F.lit(1), n), child)).otherwise(F.array()).alias("children"),
     )
     return S.fill_sections(rows, "section_id", "cand").withColumn("clip_order", long("clip_order"))
+
+
+# The best rows for each of many sections
+
+_WEIGHTS = [DEFAULT_WEIGHTS, *ROLE_WEIGHTS.values()]
+_CHANNELS = ["source_meaning", "visual_summary", "tags", "asr"]
+
+
+def _w(c: str) -> str:
+    return "[" + ", ".join(f"{w[c]}::DOUBLE" for w in _WEIGHTS) + "][section_id % 6 + 1]"
+
+
+@query(f"""
+    WITH x AS (SELECT label * 3 + vec_id % 3 AS section_id, unnest(embedding[1:16]) AS v, generate_subscripts(embedding[1:16], 1) AS i FROM embeddings),
+    m AS (SELECT section_id, i, avg(v::DOUBLE) AS v FROM x GROUP BY ALL),
+    s AS (SELECT section_id, list(v ORDER BY i) AS q FROM m GROUP BY section_id),
+    c AS (
+      SELECT section_id, vec_id AS shot_id, list_cosine_similarity(embedding[1:16]::DOUBLE[], q) AS a, list_cosine_similarity(embedding[17:32]::DOUBLE[], q) AS b,
+             CASE WHEN vec_id % 3 > 0 THEN list_cosine_similarity(embedding[33:48]::DOUBLE[], q) END AS c, CASE WHEN vec_id % 5 > 0 THEN list_cosine_similarity(embedding[49:64]::DOUBLE[], q) END AS d
+      FROM embeddings, s),
+    r AS (
+      SELECT section_id, shot_id, round(({_w('source_meaning')} * a + {_w('visual_summary')} * b + CASE WHEN c IS NULL THEN 0 ELSE {_w('tags')} * c END + CASE WHEN d IS NULL THEN 0 ELSE {_w('asr')} * d END)
+             / ({_w('source_meaning')} + {_w('visual_summary')} + CASE WHEN c IS NULL THEN 0 ELSE {_w('tags')} END + CASE WHEN d IS NULL THEN 0 ELSE {_w('asr')} END), 6) AS score FROM c)
+    SELECT section_id, shot_id, score, row_number() OVER (PARTITION BY section_id ORDER BY score DESC, shot_id) AS rank FROM r QUALIFY rank <= 36""")
+def vec_dependent_topk(spark, d):
+    ship(spark)
+    e = t(spark, d, "embeddings")
+    part = lambda i: F.slice("embedding", 16 * i + 1, 16).cast("array<double>")
+    m = A.mean_vectors(e.select((F.col("label") * 3 + F.col("vec_id") % 3).alias("section_id"), part(0).alias("embedding")), ["section_id"])
+    maps = F.array(*[weight_map({c: w[c] for c in _CHANNELS}) for w in _WEIGHTS])
+    s = m.select("section_id", F.col("mean").alias("q"), F.get(maps, (F.col("section_id") % 6).cast("int")).alias("weights"))
+    has = [F.lit(True), F.lit(True), F.col("vec_id") % 3 > 0, F.col("vec_id") % 5 > 0]
+    chans = F.map_filter(F.create_map(*[x for i, c in enumerate(_CHANNELS) for x in (F.lit(c), F.when(has[i], part(i)))]), lambda _, v: v.isNotNull())
+    r = dependent_top_k(s, e.select(F.col("vec_id").alias("shot_id"), chans.alias("channels")), 36, "section_id", "shot_id", _CHANNELS)
+    return r.withColumn("rank", long("rank"))
