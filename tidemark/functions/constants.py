@@ -102,3 +102,12 @@ PACKAGING_OFFER_WORDS = ("活动价", "自用", "送人")
 PROOF_WORDS = ("遇水", "倒水", "泼水", "防水", "防汗", "测试", "擦拭", "水流", "水珠", "喷洒", "纸巾", "按压", "不脱妆", "不渗透", "酱汁")
 FORMULA_WORDS = ("精华", "精华液", "灵芝", "高浓", "高浓度", "60倍", "六十倍", "爆浆", "妆养", "养肤")
 TOP_UP_HARD_WORDS = ("礼盒", "套装", "面膜", "精华", "精华液", "灵芝", "60倍", "六十倍", "妆养")
+#: Words that tell what material can show, those of problems, those that an opening may rest on; counts that make a word strong or well shown; lengths of lists.
+SIGNAL_WORDS = (
+    "卡粉", "卡纹", "斑驳", "脱妆", "泛油", "油光", "地铁", "粉扑", "轻拍", "上脸", "开盖", "粉芯", "镜面", "手臂", "试色", "倒水", "泼水", "遇水",
+    "防水", "擦拭", "纸巾", "礼盒", "替换装", "小样", "陈列", "精华", "水润", "柔焦", "毛孔", "瑕疵", "咖啡", "包", "奶茶",
+)
+PROBLEM_WORDS = ("卡粉", "卡纹", "斑驳", "脱妆", "泛油", "油光", "地铁")
+OPENING_WORDS = ("补妆", "轻拍", "上脸", "粉扑", "开盖", "粉芯", "柔焦", "精华", "礼盒", "陈列")
+STRONG_COUNT, EVIDENCE_COUNT = 2, 3
+MOST_TERMS, MOST_POINTS, MOST_TYPES, MOST_EXAMPLES = 30, 24, 18, 18

@@ -26,7 +26,8 @@ def folded(c: Column | str) -> Column:
 
 def query_terms(c: Column | str, low: int = 2, high: int = 10) -> Column:
     """Pieces between punctuation of fitting length, each once, in order."""
-    parts = F.split(_c(c), K.QUERY_BREAKS)
+    # One character for all breaks, then a split by it: several times as fast as a split by a class.
+    parts = F.split(F.translate(_c(c), K.QUERY_BREAKS[1:-2].replace(r"\s", "\t\n\x0b\f\r"), " " * 40), " ")
     return F.array_distinct(F.filter(parts, lambda t: (F.length(t) >= low) & (F.length(t) <= high)))
 
 

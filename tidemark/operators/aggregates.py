@@ -30,9 +30,13 @@ def count_map(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def document_frequency(df: DataFrame, terms: Column, most: int | None = 30) -> DataFrame:
-    """In how many rows each term is, most frequent first, ties by term."""
+    """In how many rows each term is, most frequent first, ties by term; ``most`` of them without shuffling all."""
+    if most:
+        from .terms import frequent_terms
+
+        return frequent_terms(df, terms, most)
     out = df.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return out.orderBy(F.desc("df"), "term").limit(most) if most else out
+    return out
 
 
 def tally(df: DataFrame, keys: list[str], status: str, classes: list[str], default: str) -> DataFrame:

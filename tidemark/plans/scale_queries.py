@@ -15,6 +15,7 @@ from ..functions.vectors import weight_map
 from ..operators import aggregates as A
 from ..operators import intervals as I
 from ..operators import selection as S
+from ..operators import terms as Y
 from ..operators.dependent import dependent_top_k
 from ..session import ship
 from .queries import _EV, _event_times, long, query, t
@@ -274,3 +275,30 @@ def vec_dependent_topk(spark, d):
     chans = F.map_filter(F.create_map(*[x for i, c in enumerate(_CHANNELS) for x in (F.lit(c), F.when(has[i], part(i)))]), lambda _, v: v.isNotNull())
     r = dependent_top_k(s, e.select(F.col("vec_id").alias("shot_id"), chans.alias("channels")), 36, "section_id", "shot_id", _CHANNELS)
     return r.withColumn("rank", long("rank"))
+
+
+# What a corpus can show
+
+_LEXICON = ["the", "der", "que", "les", "Apache", "idiot", "License", "Copyright", "http", "sk-", "zzz", "@", "qqqq", "<b>"]
+_PROBLEMS, _OPENINGS = ("idiot", "zzz", "sk-", "never there"), ("License", "the", "qqqq", "Apache")
+
+
+@query(f"""
+    WITH w AS (SELECT unnest({_list(_LEXICON)}) AS term, unnest(range({len(_LEXICON)})) AS place),
+    f AS (SELECT term, place, count(d.doc_id) AS n FROM w LEFT JOIN documents d ON contains(d.text, term) GROUP BY ALL),
+    s AS (SELECT 'weak_problem' AS list, unnest({_list(_PROBLEMS)}) AS term, unnest(range(4)) AS i UNION ALL SELECT 'safe_opening', unnest({_list(_OPENINGS)}), unnest(range(4))),
+    p AS (SELECT trim(x) AS term, count(*) AS n FROM (SELECT unnest([source, lang || ' ', CASE WHEN n_chars > 500 THEN 'long' ELSE ' ' END]) AS x FROM documents) WHERE trim(x) <> '' GROUP BY 1),
+    k AS (SELECT lang AS term, count(*) AS n FROM documents WHERE lang <> '' GROUP BY 1),
+    a AS (
+      SELECT 'available' AS list, term, n, row_number() OVER (ORDER BY n DESC, term) AS place, 30 AS most FROM f WHERE n > 0
+      UNION ALL SELECT 'missing', term, n, row_number() OVER (ORDER BY place), 30 FROM f WHERE n = 0
+      UNION ALL SELECT 'strong', term, n, row_number() OVER (ORDER BY n DESC, term), 30 FROM f WHERE n >= 2
+      UNION ALL SELECT 'evidence', term, n, row_number() OVER (ORDER BY n DESC, term), 30 FROM f WHERE n >= 3
+      UNION ALL SELECT list, s.term, coalesce(n, 0), row_number() OVER (PARTITION BY list ORDER BY i), 30 FROM s LEFT JOIN f ON s.term = f.term WHERE (list = 'safe_opening') = (coalesce(n, 0) >= 2)
+      UNION ALL SELECT 'points', term, n, row_number() OVER (ORDER BY n DESC, term), 24 FROM p
+      UNION ALL SELECT 'kinds', term, n, row_number() OVER (ORDER BY n DESC, term), 18 FROM k)
+    SELECT list, place, term, n FROM a WHERE place <= most""")
+def text_capabilities(spark, d):
+    points = F.array("source", F.concat("lang", F.lit(" ")), F.when(F.col("n_chars") > 500, "long").otherwise(" "))
+    r = Y.capabilities(t(spark, d, "documents"), F.col("text"), points, F.col("lang"), _LEXICON, _PROBLEMS, _OPENINGS)
+    return r.select("list", long("place").alias("place"), "term", "n")
