@@ -5,6 +5,8 @@ A third of all rows gets one key here, so that the key is cut into slices.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,11 @@ from ..operators import aggregates as A
 from ..operators import intervals as I
 from ..operators import selection as S
 from ..operators import terms as Y
+from ..operators.dedupe import _ensure_checkpoint_dir
 from ..operators.dependent import dependent_top_k
 from ..session import ship
+from ..streaming import streams as W
+from ..streaming.tables import KeyedTable
 from .queries import _EV, _event_times, long, query, t
 
 _KEY = "CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END"
@@ -302,3 +307,81 @@ def text_capabilities(spark, d):
     points = F.array("source", F.concat("lang", F.lit(" ")), F.when(F.col("n_chars") > 500, "long").otherwise(" "))
     r = Y.capabilities(t(spark, d, "documents"), F.col("text"), points, F.col("lang"), _LEXICON, _PROBLEMS, _OPENINGS)
     return r.select("list", long("place").alias("place"), "term", "n")
+
+
+# Streams
+
+
+def _base(spark, name: str) -> str:
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.conf.get('spark.checkpoint.dir')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+@query("""
+    SELECT user_id, event_id, event_type, round(value, 4) AS value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def incr_upsert_buckets(spark, d):
+    """The events as batches by the days of their week, in no order of time; the table's last version is the result."""
+    e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    table = KeyedTable(spark, _base(spark, "latest"), ["user_id"], ["ts", "event_id"], buckets=16)
+    for n, day in enumerate((4, 1, 7, 2, 6, 3, 5)):
+        table.upsert(e.filter(F.dayofweek("ts") == day), n)
+    return table.read().select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"))
+
+
+#: The oldest of these rows come last, when their windows are long closed.
+_LATE = "event_id % 97 = 0 AND ts < TIMESTAMP '2024-01-08 00:00:00'"
+
+
+def _arrivals(spark, d, base: str):
+    """The events as files in the order in which they come in: three stretches of time, then the late rows."""
+    e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.coalesce(F.expr(_LATE), F.lit(False))
+    edges = [F.lit(x).cast("timestamp") for x in ("2024-01-10 00:00:00", "2024-01-20 00:00:00")]
+    stretches = [~late & (F.col("ts") < edges[0]), ~late & (F.col("ts") >= edges[0]) & (F.col("ts") < edges[1]), ~late & (F.col("ts") >= edges[1]), late]
+    for n, some in enumerate(stretches):
+        e.filter(some).coalesce(1).write.parquet(f"{base}/in/{n}")
+    return W.file_stream(spark, f"{base}/in/*", e.schema, files_per_batch=1)
+
+
+@query(f"""
+    WITH e AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, value FROM events WHERE NOT ({_LATE})),
+    m AS (SELECT max(ts) - INTERVAL 1 DAY AS closed FROM events)
+    SELECT event_type, window_start, count(*) AS n, round(sum(value), 4) AS total FROM e, m WHERE window_start + INTERVAL 6 HOUR <= closed GROUP BY ALL""")
+def stream_windows(spark, d):
+    """Six-hour windows in append mode: each comes out once, when it is closed; late rows are left out."""
+    base = _base(spark, "windows")
+    counted = W.windowed_counts(_arrivals(spark, d, base), "ts", ["event_type"], "6 hours", "1 day", "value")
+    W.run_available(counted, W.append_to(f"{base}/out"), f"{base}/ck")
+    out = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
+    return out.select("event_type", "window_start", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"""
+    WITH e AS (SELECT user_id, ts FROM events WHERE NOT ({_LATE})),
+    g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR AS new FROM e),
+    r AS (SELECT *, sum(coalesce(new, true)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g),
+    x AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM r GROUP BY user_id, s)
+    SELECT user_id, session_start, session_end, n FROM x WHERE session_end <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def stream_sessions(spark, d):
+    base = _base(spark, "sessions")
+    found = W.sessions(_arrivals(spark, d, base), "ts", ["user_id"], "12 hours", "1 day")
+    W.run_available(found, W.append_to(f"{base}/out"), f"{base}/ck")
+    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").select("user_id", "session_start", "session_end", "n")
+
+
+@query("""
+    SELECT p.event_id, v.event_id AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND p.event_type = 'purchase' AND v.event_type = 'view'
+      AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 36 HOUR""")
+def stream_interval_join(spark, d):
+    """Purchases with the views of the 36 hours before, as two streams of one folder of files."""
+    base = _base(spark, "interval")
+    e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = [F.col("ts") < F.lit("2024-01-15").cast("timestamp"), F.col("ts") >= F.lit("2024-01-15").cast("timestamp")]
+    for n, some in enumerate(days):
+        e.filter(some).coalesce(1).write.parquet(f"{base}/in/{n}")
+    side = lambda kind, *names: W.file_stream(spark, f"{base}/in/*", e.schema, files_per_batch=1).filter(F.col("event_type") == kind).select("user_id", *names)
+    bought, seen = side("purchase", "event_id", "ts"), side("view", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    met = W.interval_join(bought, seen, ["user_id"], "ts", "view_ts", "36 HOURS", "1 day")
+    W.run_available(met, W.append_to(f"{base}/out"), f"{base}/ck")
+    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").select("event_id", "view_id")

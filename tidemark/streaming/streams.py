@@ -51,6 +51,41 @@ def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame,
     return sink
 
 
+def append_to(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch to a folder of its own; a batch that runs again replaces it."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return sink
+
+
+def sessions(events: DataFrame, at: str, keys: list[str], gap: str, late: str, value: str | None = None) -> DataFrame:
+    """Counts and sums of runs of events with less than ``gap`` between neighbours; later rows than ``late`` are left out."""
+    more = [F.sum(value).alias("total")] if value else []
+    return events.withWatermark(at, late).groupBy(F.session_window(at, gap), *keys).agg(F.count("*").alias("n"), *more).select(
+        F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *keys, "n", *([F.col("total")] if value else [])
+    )
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, before: str, late: str) -> DataFrame:
+    """Rows of two streams with equal keys where the right one lies at most ``before`` before the left one.
+
+    Both sides have watermarks and the join a bound on time, so that state is dropped once
+    no row can meet it any more. Other columns must have different names.
+    """
+    l, r = left.withWatermark(left_at, late), right.withWatermark(right_at, late)  # noqa: E741
+    same = None
+    for k in keys:
+        one = l[k] == r[k]
+        same = one if same is None else same & one
+    near = (r[right_at] <= l[left_at]) & (r[right_at] >= l[left_at] - F.expr(f"INTERVAL {before}"))
+    out = l.join(r, near if same is None else same & near)
+    for k in keys:
+        out = out.drop(r[k])
+    return out
+
+
 def stall_alarms(updates: DataFrame, key: str, after: str = "120 seconds") -> DataFrame:
     """A row for each run when it gets its first update and when it has none for a while.
 
