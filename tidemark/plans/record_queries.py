@@ -155,12 +155,12 @@ def json_found(spark, d):
 
 
 @query("""
-    SELECT event_id, 2 AS n, CASE WHEN event_id % 2 = 0 THEN round(floor(value) / 1000, 3) ELSE floor(value) END AS start_s, event_type AS text FROM events WHERE value BETWEEN 100 AND 400 AND event_id % 4 < 2""")
+    SELECT event_id, 2 AS n, CASE WHEN event_id % 2 = 0 THEN round((100 + floor(value)) / 1000, 3) ELSE 100 + floor(value) END AS start_s, event_type AS text FROM events""")
 def json_subtitles(spark, d):
-    v = F.floor("value").cast("string")
+    v = (100 + F.floor("value")).cast("string")
     item = lambda a, b: F.concat(F.lit('{"text": "'), "event_type", F.lit(f'", "{a}": '), v, F.lit(f', "{b}": 20000.0}}'))
     doc = F.concat(F.lit('{"a": [{"b": '), item("begin_time", "end_time"), F.lit('}, {"sentence": "later", "start": 5000.0, "end": 6000.0}, {"text": "no times"}]}'))
-    e = t(spark, d, "events").filter("value BETWEEN 100 AND 400 AND event_id % 4 < 2")
+    e = t(spark, d, "events")
     s = e.select("event_id", W.subtitle_items(doc, F.when(F.col("event_id") % 2 == 0, 20.0).otherwise(9000.0)).alias("s"))
     first = F.filter("s", lambda x: x["text"] != "later")
     return s.select("event_id", F.size("s").alias("n"), F.get(first, 0)["start_s"].alias("start_s"), F.get(first, 0)["text"].alias("text"))
@@ -229,12 +229,12 @@ def script_sections(spark, d):
 
 
 @query("""
-    SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN bool_or(event_type = 'refund') THEN 'review' WHEN bool_or(event_type = 'click') THEN 'running' ELSE 'done' END AS status
-    FROM events WHERE event_id % 25 = 0 GROUP BY user_id""")
+    SELECT event_id // 3 AS task_id, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN bool_or(event_type = 'refund') THEN 'review' WHEN bool_or(event_type = 'click') THEN 'running' ELSE 'done' END AS status
+    FROM events GROUP BY event_id // 3""")
 def agg_final_status(spark, d):
     s = F.create_map(*[F.lit(x) for x in ("error", "failed", "refund", "review", "click", "running")])
-    e = t(spark, d, "events").filter("event_id % 25 = 0").select("user_id", F.coalesce(F.try_element_at(s, F.col("event_type")), F.lit("done")).alias("s"))
-    return e.groupBy("user_id").agg(A.final_status(F.col("s")).alias("status"))
+    e = t(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("task_id"), F.coalesce(F.try_element_at(s, F.col("event_type")), F.lit("done")).alias("s"))
+    return e.groupBy("task_id").agg(A.final_status(F.col("s")).alias("status"))
 
 
 @query("""
@@ -259,10 +259,10 @@ def agg_sorted_set(spark, d):
 
 
 @query("""
-    WITH g AS (SELECT CASE WHEN event_id % 6 = 0 THEN 'other' ELSE event_type END AS label, user_id, min(event_id) AS seen FROM events WHERE event_id < 500 GROUP BY ALL)
+    WITH g AS (SELECT CASE WHEN event_id % 6 = 0 THEN 'other' ELSE event_type END AS label, user_id, min(event_id) AS seen FROM events GROUP BY ALL)
     SELECT label, string_agg(user_id::VARCHAR, ',' ORDER BY seen) AS items, min(seen) AS first_seen FROM g GROUP BY label""")
 def agg_first_seen(spark, d):
-    e = t(spark, d, "events").filter("event_id < 500").withColumn("label", F.when(F.col("event_id") % 6 == 0, "").otherwise(F.col("event_type")))
+    e = t(spark, d, "events").withColumn("label", F.when(F.col("event_id") % 6 == 0, "").otherwise(F.col("event_type")))
     return A.first_seen_groups(e, "label", "user_id", "event_id", "other").select("label", _as_text("items").alias("items"), "first_seen")
 
 
@@ -341,24 +341,25 @@ def set_lacking(spark, d):
 
 @query("""
     WITH f AS (
-      SELECT 0 AS r, user_id::VARCHAR AS k, event_id FROM events WHERE event_id % 50 = 0 UNION ALL SELECT 1, user_id::VARCHAR, event_id FROM events WHERE event_id % 50 = 1
-      UNION ALL SELECT 2, CASE WHEN event_id % 4 = 0 THEN ' ' ELSE user_id::VARCHAR END, event_id FROM events WHERE event_id % 50 = 2)
+      SELECT event_id % 3 AS r, CASE WHEN event_id % 3 = 2 AND event_id % 4 = 0 THEN ' ' ELSE (event_id * 7 // 11)::VARCHAR END AS k, event_id FROM events)
     SELECT k, event_id FROM f WHERE trim(k) <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY r, event_id) = 1""")
 def set_first_key(spark, d):
-    e = t(spark, d, "events").select(F.col("user_id").cast("string").alias("k"), "event_id")
-    blank = e.filter("event_id % 50 = 2").withColumn("k", F.when(F.col("event_id") % 4 == 0, " ").otherwise(F.col("k")))
-    return U.first_key_wins([e.filter("event_id % 50 = 0"), e.filter("event_id % 50 = 1"), blank], "k", "event_id")
+    n = F.col("event_id")
+    e = t(spark, d, "events").select(F.floor(n * 7 / 11).cast("string").alias("k"), "event_id")
+    lists = [e.filter(n % 3 == r) for r in range(3)]
+    lists[2] = lists[2].withColumn("k", F.when(n % 4 == 0, " ").otherwise(F.col("k")))
+    return U.first_key_wins(lists, "k", "event_id")
 
 
 @query("""
-    WITH r AS (SELECT event_id, event_id % 3 = 0 AS is_job, CASE WHEN event_id % 2 = 0 THEN 'j' || event_id % 101 ELSE '' END AS job_id, CASE WHEN event_id % 5 = 0 THEN '/d' || event_id % 89 ELSE '' END AS job_dir FROM events WHERE event_id < 300),
+    WITH r AS (SELECT event_id, event_id % 3 = 0 AS is_job, CASE WHEN event_id % 2 = 0 THEN 'j' || event_id // 4 ELSE '' END AS job_id, CASE WHEN event_id % 5 = 0 THEN '/d' || event_id // 17 ELSE '' END AS job_dir FROM events),
     x AS (SELECT * FROM r WHERE NOT is_job)
     SELECT event_id, is_job FROM r WHERE NOT is_job OR (job_id NOT IN (SELECT job_id FROM x WHERE job_id <> '') AND job_dir NOT IN (SELECT job_dir FROM x WHERE job_dir <> ''))""")
 def set_jobs_without_runs(spark, d):
     n = F.col("event_id")
-    e = t(spark, d, "events").filter("event_id < 300").select(
-        "event_id", (n % 3 == 0).alias("is_job"), F.when(n % 2 == 0, F.concat(F.lit("j"), (n % 101).cast("string"))).otherwise("").alias("job_id"),
-        F.when(n % 5 == 0, F.concat(F.lit("/d"), (n % 89).cast("string"))).otherwise("").alias("job_dir"),
+    e = t(spark, d, "events").select(
+        "event_id", (n % 3 == 0).alias("is_job"), F.when(n % 2 == 0, F.concat(F.lit("j"), F.floor(n / 4).cast("string"))).otherwise("").alias("job_id"),
+        F.when(n % 5 == 0, F.concat(F.lit("/d"), F.floor(n / 17).cast("string"))).otherwise("").alias("job_dir"),
     )
     return U.hide_jobs_with_runs(e).select("event_id", "is_job")
 
@@ -421,7 +422,7 @@ def qa_small_checks(spark, d):
     e = t(spark, d, "events")
     status = F.create_map(*[F.lit(x) for x in ("error", "block", "click", "pass")])
     durations = e.select(F.col("value").alias("audio_axis_s"), F.lit(300.0).alias("final_s"))
-    near = e.limit(3).select(F.lit(10.0).alias("audio_axis_s"), F.lit(9.8).alias("final_s"))
+    near = e.select(F.lit(10.0).alias("audio_axis_s"), F.lit(9.8).alias("final_s"))
     checks = {
         "loops": [Q.loop_check(e, F.col("event_type") == "error"), Q.loop_check(e, F.lit(False))], "short_s": [Q.render_check(durations), Q.render_check(near)],
         "worst": [Q.alignment_check(e.select(F.coalesce(F.try_element_at(status, F.col("event_type")), F.lit("odd")).alias("status")))],
@@ -497,10 +498,14 @@ def qa_all_done(spark, d):
 # Steps and views
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN value * 2 ELSE value END AS value FROM events WHERE event_id < 900 UNION ALL SELECT event_id, value * 2 FROM events WHERE event_id >= 900 AND event_id < 1000 AND event_id % 4 = 0")
+@query("""
+    WITH n AS (SELECT CASE WHEN event_type = 'purchase' THEN -event_id - 1 ELSE event_id END AS event_id, value * 2 AS value FROM events WHERE event_type IN ('error', 'purchase'))
+    SELECT event_id, value FROM events e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.event_id = e.event_id) UNION ALL SELECT event_id, value FROM n""")
 def incr_retry(spark, d):
-    e = t(spark, d, "events").select("event_id", "value").filter("event_id < 1000")
-    return N.retry_merge(e.filter("event_id < 900"), e.filter("event_id % 4 = 0").withColumn("value", F.col("value") * 2), "event_id")
+    e = t(spark, d, "events")
+    again = e.filter(F.col("event_type").isin("error", "purchase"))
+    again = again.select(F.when(F.col("event_type") == "purchase", -F.col("event_id") - 1).otherwise(F.col("event_id")).alias("event_id"), (F.col("value") * 2).alias("value"))
+    return N.retry_merge(e.select("event_id", "value"), again, "event_id")
 
 
 @query("""
@@ -546,21 +551,20 @@ def dash_stages(spark, d):
 
 
 @query("""
-    WITH c AS (SELECT o_custkey % 50 AS batch_id, o_orderstatus AS s FROM orders WHERE o_custkey % 50 < 40)
-    SELECT b AS batch_id, count(*) FILTER (s = 'O') AS n_running, count(*) FILTER (s = 'F') AS n_done, count(*) FILTER (s = 'P') AS n_failed, CASE WHEN count(s) = 0 THEN NULL ELSE count(s) END AS n_total
-    FROM range(0, 50) r(b) LEFT JOIN c ON batch_id = b GROUP BY b""".replace("count(*) FILTER (s = 'O') AS n_running", "CASE WHEN count(s) > 0 THEN count(*) FILTER (s = 'O') END AS n_running").replace(
-    "count(*) FILTER (s = 'F') AS n_done", "CASE WHEN count(s) > 0 THEN count(*) FILTER (s = 'F') END AS n_done").replace("count(*) FILTER (s = 'P') AS n_failed", "CASE WHEN count(s) > 0 THEN count(*) FILTER (s = 'P') END AS n_failed"))
+    SELECT c_custkey AS batch_id, CASE WHEN count(o_orderkey) > 0 THEN count(*) FILTER (o_orderstatus = 'O') END AS n_running, CASE WHEN count(o_orderkey) > 0 THEN count(*) FILTER (o_orderstatus = 'F') END AS n_done,
+           CASE WHEN count(o_orderkey) > 0 THEN count(*) FILTER (o_orderstatus = 'P') END AS n_failed, CASE WHEN count(o_orderkey) > 0 THEN count(o_orderkey) END AS n_total
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def dash_batches(spark, d):
-    o = t(spark, d, "orders")
     s = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "done").otherwise("failed")
-    tasks = o.select((F.col("o_custkey") % 50).alias("batch_id"), s.alias("status")).filter("batch_id < 40")
-    return B.batches(spark.range(50).withColumnRenamed("id", "batch_id"), tasks).select("batch_id", "n_running", "n_done", "n_failed", "n_total")
+    tasks = t(spark, d, "orders").select(F.col("o_custkey").alias("batch_id"), s.alias("status"))
+    batches = t(spark, d, "customer").select(F.col("c_custkey").alias("batch_id"))
+    return B.batches(batches, tasks).select("batch_id", "n_running", "n_done", "n_failed", "n_total")
 
 
 @query("""
     WITH w AS (
       SELECT 'task' AS kind, o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'failed' ELSE 'done' END AS status, o_orderdate AS updated_at FROM orders
-      UNION ALL SELECT 'intake', event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'queued' ELSE 'done' END, ts FROM events WHERE event_id < 500),
+      UNION ALL SELECT 'intake', event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'queued' ELSE 'done' END, ts FROM events),
     p AS (SELECT *, CASE WHEN status IN ('running', 'queued') THEN 'running' WHEN status = 'failed' THEN 'attention' ELSE 'recent' END AS place FROM w WHERE id % 3 <> 0 OR status = 'running'),
     c AS (SELECT kind, place FROM p WHERE place <> 'recent' UNION ALL SELECT kind, place FROM (SELECT * FROM p WHERE place = 'recent' ORDER BY updated_at DESC, id LIMIT 8))
     SELECT kind, count(*) FILTER (place = 'running') AS n_running, count(*) FILTER (place = 'attention') AS n_attention, count(*) FILTER (place = 'recent') AS n_recent, count(*) AS n_total FROM c GROUP BY kind""")
@@ -568,7 +572,7 @@ def dash_center_acked(spark, d):
     s = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "failed").otherwise("done")
     tasks = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), s.alias("status"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
     s = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "queued").otherwise("done")
-    intakes = t(spark, d, "events").filter("event_id < 500").select(F.col("event_id").alias("id"), s.alias("status"), F.col("ts").cast("timestamp").alias("updated_at"))
+    intakes = t(spark, d, "events").select(F.col("event_id").alias("id"), s.alias("status"), F.col("ts").cast("timestamp").alias("updated_at"))
     every = tasks.withColumn("kind", F.lit("task")).unionByName(intakes.withColumn("kind", F.lit("intake")))
     acks = every.filter("id % 3 = 0 AND status <> 'running'").select(B.occurrence_key("kind", "id", "status", "updated_at").alias("key"))
     return B.center_summary(B.task_center(tasks, intakes, acks))
@@ -583,16 +587,16 @@ def dash_upsert_one(spark, d):
 
 
 @query("""
-    WITH r AS (SELECT CASE WHEN user_id % 20 < 15 THEN 'p' || user_id % 20 ELSE 'q' || user_id % 20 END AS slug, event_type, event_id FROM events WHERE event_id < 60),
+    WITH r AS (SELECT CASE WHEN event_id % 8 < 6 THEN 'p' ELSE 'q' END || event_id // 2 AS slug, event_type, event_id FROM events),
     b AS (SELECT slug, max_by('run' || event_id, event_id) FILTER (event_type = 'purchase') AS latest_run, bool_or(event_type = 'click') AS busy, bool_or(event_type = 'error') AS bad FROM r GROUP BY slug),
-    a AS (SELECT 'p' || i AS slug FROM range(0, 18) t(i))
+    a AS (SELECT 'p' || c_custkey AS slug FROM customer)
     SELECT coalesce(a.slug, b.slug) AS slug, latest_run, CASE WHEN latest_run IS NOT NULL THEN 'ready' WHEN busy THEN 'running' WHEN bad THEN 'failed' ELSE 'empty' END AS status FROM a FULL JOIN b ON a.slug = b.slug""")
 def dash_products(spark, d):
-    m, k = F.col("user_id") % 20, F.col("event_type")
-    slug = F.concat(F.when(m < 15, "p").otherwise("q"), m.cast("string"))
+    n, k = F.col("event_id"), F.col("event_type")
+    slug = F.concat(F.when(n % 8 < 6, "p").otherwise("q"), F.floor(n / 2).cast("string"))
     st = F.when(k == "click", "running").when(k == "error", "failed").otherwise("done")
-    runs = t(spark, d, "events").filter("event_id < 60").select(
-        slug.alias("slug"), st.alias("status"), (k == "purchase").alias("ready"), F.lit(False).alias("merged"), F.col("event_id").alias("updated_at"), F.concat(F.lit("run"), F.col("event_id").cast("string")).alias("run")
+    runs = t(spark, d, "events").select(
+        slug.alias("slug"), st.alias("status"), (k == "purchase").alias("ready"), F.lit(False).alias("merged"), n.alias("updated_at"), F.concat(F.lit("run"), n.cast("string")).alias("run")
     )
-    dirs = spark.range(18).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("slug"), F.lit("n").alias("name"))
+    dirs = t(spark, d, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("slug"), F.lit("n").alias("name"))
     return B.products(dirs, runs).select("slug", "latest_run", "status")

@@ -138,7 +138,7 @@ def choose_child(spark, d):
 @query("""
     WITH p AS (
       SELECT user_id, event_id % 3 = 0 AS hit, value / 100 - 1 AS score, CASE WHEN user_id % 4 = 0 THEN (user_id % 7)::DOUBLE ELSE 0 END AS gap, user_id % 3 = 0 AS single, user_id % 5 = 0 AS override,
-             ['low', 'medium', 'high'][(event_id % 3) + 1] AS sub FROM events WHERE event_id % 20 < 3),
+             ['low', 'medium', 'high'][(event_id % 3) + 1] AS sub FROM events),
     g AS (
       SELECT user_id, count(*) AS n_clips, max(gap) AS gap, bool_or(override) AS override, bool_or(sub = 'medium') AS medium, bool_or(sub = 'high') AS high,
              0.52 + least(0.24, greatest(0, avg(score)) * 0.18) + avg(hit::INT) * 0.12 + CASE WHEN bool_or(single) THEN 0.08 ELSE 0 END AS base FROM p GROUP BY user_id)
@@ -146,7 +146,7 @@ def choose_child(spark, d):
            - CASE WHEN gap > 0 THEN least(0.35, gap * 0.06 + 0.12) ELSE 0 END))::DOUBLE, 3) AS confidence FROM g""")
 def score_confidence(spark, d):
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("event_id") % len(xs) + 1).cast("int"))
-    p = t(spark, d, "events").filter("event_id % 20 < 3").select(
+    p = t(spark, d, "events").select(
         "user_id", (F.col("value") / 100 - 1).alias("score"), (F.col("event_id") % 3 == 0).alias("hit"), F.when(F.col("user_id") % 4 == 0, (F.col("user_id") % 7).cast("double")).otherwise(0.0).alias("gap_s"),
         F.when(F.col("user_id") % 3 == 0, "single").otherwise("several").alias("strategy"), (F.col("user_id") % 5 == 0).alias("override"), pick(["low", "medium", "high"]).alias("hard_subtitle_risk"),
     )
@@ -224,7 +224,7 @@ def clip_parent(spark, d):
 
 @query("""
     WITH RECURSIVE k AS (
-      SELECT user_id, list(d ORDER BY event_id) AS ds, list(event_id ORDER BY event_id) AS ids FROM (SELECT user_id, event_id, round(value / 60, 2) AS d FROM events WHERE event_id % 10 < 4) GROUP BY user_id),
+      SELECT user_id, list(d ORDER BY event_id) AS ds, list(event_id ORDER BY event_id) AS ids FROM (SELECT user_id, event_id, round(value / 60, 2) AS d FROM events) GROUP BY user_id),
     f AS (
       SELECT user_id, ds, ids, 1 AS i, 8.0::DOUBLE AS rest, []::BIGINT[] AS out, []::DOUBLE[] AS took, NULL::BIGINT AS short_id, NULL::DOUBLE AS short_s FROM k
       UNION ALL
@@ -237,7 +237,7 @@ def clip_parent(spark, d):
     SELECT user_id, array_to_string(CASE WHEN len(out) > 0 THEN out WHEN short_id IS NULL THEN [] ELSE [short_id] END, ',') AS shots,
            round(CASE WHEN len(out) > 0 THEN list_sum(list_transform(took, lambda x: round(x, 3))) WHEN short_id IS NULL THEN 0 ELSE round(short_s, 3) END::DOUBLE, 2) AS planned_s, len(out) = 0 AND short_id IS NOT NULL AS short FROM z""")
 def clip_children(spark, d):
-    e = t(spark, d, "events").filter("event_id % 10 < 4").select("user_id", "event_id", F.round(F.col("value") / 60, 2).alias("d"))
+    e = t(spark, d, "events").select("user_id", "event_id", F.round(F.col("value") / 60, 2).alias("d"))
     kids = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "d"))), lambda x: F.struct(x["event_id"].cast("string").alias("shot_id"), x["d"].alias("duration_s")))
     g = e.groupBy("user_id").agg(kids.alias("kids"))
     role = F.when(F.col("user_id") % 2 == 0, "proof").otherwise("product")
@@ -330,8 +330,8 @@ def time_split_pieces(spark, d):
 
 
 @query("""
-    WITH u AS (SELECT user_id, event_id, value AS s, value + 6 AS e FROM events WHERE event_id % 3 = 0),
-    sc AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS idx, value AS s, lead(value) OVER (PARTITION BY user_id ORDER BY value) AS e FROM events WHERE event_id % 3 = 1),
+    WITH u AS (SELECT user_id, event_id, value AS s, value + 6 AS e FROM events WHERE event_id % 2 = 0),
+    sc AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS idx, value AS s, lead(value) OVER (PARTITION BY user_id ORDER BY value) AS e FROM events WHERE event_id % 2 = 1),
     h AS (
       SELECT event_id, min(sc.s) AS s, max(sc.e) AS e, max(idx) - min(idx) + 1 = count(DISTINCT idx) AS ok
       FROM u JOIN sc USING (user_id) WHERE sc.e - sc.s > 0.5 AND least(u.e, sc.e) - greatest(u.s, sc.s) > 0.05 GROUP BY event_id)
@@ -340,9 +340,9 @@ def time_scene_bounds(spark, d):
     from pyspark.sql import Window
 
     e = t(spark, d, "events")
-    units = e.filter("event_id % 3 = 0").select("user_id", F.col("event_id").alias("unit_id"), F.col("value").alias("start_s"), (F.col("value") + 6).alias("end_s"))
+    units = e.filter("event_id % 2 = 0").select("user_id", F.col("event_id").alias("unit_id"), F.col("value").alias("start_s"), (F.col("value") + 6).alias("end_s"))
     w = Window.partitionBy("user_id").orderBy("value")
-    scenes = e.filter("event_id % 3 = 1").select("user_id", (F.row_number().over(w) - 1).alias("idx"), F.col("value").alias("start_s"), F.lead("value").over(w).alias("end_s")).filter("end_s - start_s > 0.5")
+    scenes = e.filter("event_id % 2 = 1").select("user_id", (F.row_number().over(w) - 1).alias("idx"), F.col("value").alias("start_s"), F.lead("value").over(w).alias("end_s")).filter("end_s - start_s > 0.5")
     return R.scene_bounds(units, scenes, "user_id").select(F.col("unit_id").alias("event_id"), "start_s", "end_s")
 
 
@@ -350,11 +350,11 @@ def time_scene_bounds(spark, d):
 
 
 @query("""
-    WITH h AS (SELECT event_id, user_id, event_id % 7 = 0 AS hit, max((event_id % 7 = 0)::INT) OVER (PARTITION BY user_id) = 0 AS fallback FROM events WHERE event_id % 10 < 2)
+    WITH h AS (SELECT event_id, event_id % 7 = 0 AS hit, max((event_id % 7 = 0)::INT) OVER (PARTITION BY event_id // 5) = 0 AS fallback FROM events)
     SELECT event_id, fallback FROM h WHERE hit OR fallback""")
 def pool_fallback(spark, d):
-    e = t(spark, d, "events").filter("event_id % 10 < 2").select("event_id", "user_id", (F.col("event_id") % 7 == 0).alias("hit"))
-    return K.pool_with_fallback(e, ["user_id"], "hit").select("event_id", "fallback")
+    e = t(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 5).alias("section"), (F.col("event_id") % 7 == 0).alias("hit"))
+    return K.pool_with_fallback(e, ["section"], "hit").select("event_id", "fallback")
 
 
 @query("""
@@ -377,11 +377,12 @@ def pool_expanded(spark, d):
 
 
 @query("""
-    WITH p AS (SELECT user_id AS task, event_id % 3 AS section, event_id AS shot_id FROM events WHERE event_id % 40 = 0)
+    WITH p AS (SELECT event_id // 12 AS task, event_id // 4 % 3 AS section, event_id AS shot_id FROM events)
     SELECT task, section, shot_id FROM p QUALIFY min((shot_id % 7 <> 0)::INT) OVER (PARTITION BY task, section) = 1""")
 def plans_valid(spark, d):
-    e = t(spark, d, "events").select(F.col("user_id").alias("task"), (F.col("event_id") % 3).alias("section"), F.col("event_id").alias("shot_id"))
-    return S.valid_plans(e.filter("shot_id % 40 = 0"), e.filter("shot_id % 7 <> 0"), "task", "section")
+    n = F.col("event_id")
+    e = t(spark, d, "events").select(F.floor(n / 12).alias("task"), (F.floor(n / 4) % 3).alias("section"), n.alias("shot_id"))
+    return S.valid_plans(e, e.filter("shot_id % 7 <> 0"), "task", "section")
 
 
 @query("""
