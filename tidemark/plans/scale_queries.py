@@ -86,13 +86,13 @@ def scan_hot_islands(spark, d):
     a AS (SELECT e.event_id, e.user_id, e.ts, b.p_ts FROM e ASOF JOIN i b ON e.user_id = b.user_id AND e.ts >= b.p_ts
           UNION ALL SELECT e.event_id, e.user_id, e.ts, b.p_ts FROM e ASOF JOIN i b ON e.user_id = b.user_id AND e.ts <= b.p_ts),
     j AS (SELECT a.event_id, p.p_id, abs(epoch_us(a.p_ts) - epoch_us(a.ts)) AS dist FROM a JOIN p ON a.user_id = p.user_id AND a.p_ts = p.p_ts)
-    SELECT event_id, p_id, round(dist / 1000000.0::DOUBLE, 3) AS distance_s FROM j
+    SELECT event_id, p_id, dist::BIGINT AS distance_us FROM j
     QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY dist, p_id) = 1""")
 def scan_hot_nearest(spark, d):
     e = t(spark, d, "events").select("event_id", F.expr(_HOT).alias("user_id"), "event_type", "ts")
     p = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("p_id"), F.col("ts").alias("p_ts"))
     r = I.nearest_start(e.select("user_id", "event_id", "ts"), p, "event_id", "p_id", "ts", "p_ts", ["user_id"]).filter("p_id IS NOT NULL")
-    return r.select("event_id", "p_id", F.round("distance_s", 3).alias("distance_s"))
+    return r.select("event_id", "p_id", long(F.round(F.col("distance_s") * 1e6)).alias("distance_us"))
 
 
 # Sections and what they may show
