@@ -375,9 +375,27 @@ def is_near(a, b):
     return a == b or 5 * len(a & b) >= 4 * len(a | b)
 
 
-@pytest.mark.parametrize("crowd", [16, 2])
+def smallest_of_groups(sets):
+    """Places of the first of what likeness connects."""
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for b in range(len(sets)):
+        for a in range(b):
+            if sets[a] and sets[b] and is_near(sets[a], sets[b]):
+                lo, hi = sorted((find(a), find(b)))
+                parent[hi] = lo
+    return [i for i in range(len(sets)) if find(i) == i]
+
+
+@pytest.mark.parametrize("crowd", [1, 2, 16, 1000])
 def test_near_copies_are_dropped_at_any_distance(spark, crowd):
-    from tidemark.llm import near
+    from tidemark.llm import jaccard_join
 
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -399,24 +417,37 @@ def test_near_copies_are_dropped_at_any_distance(spark, crowd):
         texts.append(" ".join(x))
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    kept = sorted(r.doc_id for r in near.drop_similar(df, crowd=crowd).collect())
+    kept = sorted(r.doc_id for r in jaccard_join.drop_similar(df, crowd=crowd, different=2 * crowd).collect())
     s = shingle_sets(texts)
-    assert not [(a, b) for a in kept for b in kept if a < b and is_near(s[a], s[b])]
-    gone = sorted(set(range(len(texts))) - set(kept))
-    assert all(any(is_near(s[a], s[g]) for a in range(g)) for g in gone)
+    assert not [(a, b) for a in kept for b in kept if a < b and s[a] and is_near(s[a], s[b])]
+    assert kept == smallest_of_groups(s)
     if crowd == 16:
         assert sorted(r.doc_id for r in simhash.drop_near(df).collect()) == kept
     far = [(a, b) for a in range(len(s)) for b in range(a) if is_near(s[a], s[b]) and bin(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).count("1") > 2]
     assert far  # what a radius of 2 bits cannot see
 
 
+@pytest.mark.parametrize("crowd", [1, 16])
+def test_a_chain_of_copies_is_one_group_in_any_crowd(spark, crowd):
+    from tidemark.llm import jaccard_join
+
+    w = [f"w{i}" for i in range(104)]
+    swap = lambda x, at: [*x[:at], f"new{at}", *x[at + 1 :]]
+    first, other = swap(swap(w, 20), 50), swap(swap(w, 70), 90)  # each alike to w, not to each other
+    texts = [first, other, w, *[w[:60] + [f"x{i}{j}" for j in range(40)] for i in range(4)]]
+    s = shingle_sets([" ".join(t) for t in texts])
+    assert is_near(s[0], s[2]) and is_near(s[1], s[2]) and not is_near(s[0], s[1])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard_join.drop_similar(df, crowd=crowd, different=crowd).collect()) == smallest_of_groups(s) == [0, 3, 4, 5, 6]
+
+
 def test_pipeline_drops_near_copies(spark, sf):
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted(texts_of(P.STAGES[1][1](spark, docs, sf)))
     s = shingle_sets([t or "" for _, t in rows])
-    gone = {rows[b][0] for b in range(len(rows)) for a in range(b) if is_near(s[a], s[b])}
+    gone = {r[0] for r in rows} - {rows[i][0] for i in smallest_of_groups(s)}
     assert gone
     assert sorted(texts_of(P.STAGES[2][1](spark, P.STAGES[1][1](spark, docs, sf), sf))) == [r for r in rows if r[0] not in gone]
 
@@ -701,7 +732,7 @@ def test_pipeline(spark, sf):
     rows = [(i, t) for i, t in rows if i in keep]
     rows.sort()
     sets = shingle_sets([t or "" for _, t in rows])
-    rows = [r for b, r in enumerate(rows) if not any(is_near(sets[a], sets[b]) for a in range(b))]
+    rows = [rows[i] for i in smallest_of_groups(sets)]
     stage = docs
     for _, f in P.STAGES[:3]:
         stage = f(spark, stage, sf)

@@ -266,3 +266,15 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     with_set = prints.filter("n > 0").select("doc_id", *KEY, "part").join(of_part, [*KEY, "part"])
     without = prints.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_set.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(without)
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **how: int) -> DataFrame:
+    """The documents that stay when near copies go, with their own columns: of each group of jaccard_groups() the smallest id.
+
+    Groups are what links connect, so a chain of copies is one group. Null and wordless
+    texts have no near copies and stay. Rows with equal ids, and those with a null id, stay
+    or go together: null ids stay if some group has no other.
+    """
+    groups = materialize(jaccard_groups(docs, shingle, similarity, **how), "near-groups")
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["k_id"]), "left_semi")

@@ -1,28 +1,19 @@
-"""Near copies by exact similarity of shingle sets, found by prefixes that lose no pair.
+"""What near-duplicate joins of shingle sets share: the sets, their order, bitmaps of them.
 
 Two texts are alike if the Jaccard similarity of their sets of word shingles reaches a
 bound p/q. With all sets in one order, sets of n and m that are alike have a shingle in
 common among their first n - ceil(pn/q) + 1 and m - ceil(pm/q) + 1. So only these
-prefixes are dealt out. The order puts common shingles last, by counts over all texts in a
+prefixes need to meet. The order puts common shingles last, by counts over all texts in a
 table of cells of a fixed size; it decides how many meet, never what is found.
 
-What meets is first compared by bitmaps: a set's bitmap has, for each of n to 2n slots,
-whether an odd number of shingles falls there. Sets that differ in d shingles have
-bitmaps that differ in d bits at most, so what differs in more than alike sets can is
-passed over. Only what is left is compared in full.
-
-Buckets of many sets would need all pairs. They are split by classes of the sets' sizes,
-which alike sets share with a neighbour at most. Where many still meet, the smallest
-member is compared with the others first, and what is alike leaves: a group of near copies goes in one such round.
-What then is left in a bucket is compared with each other, where sizes and places allow
-the two to be alike.
+A set's bitmap has, for each of n to 2n slots, whether an odd number of shingles falls
+there. Sets that differ in d shingles have bitmaps that differ in d bits at most, so what
+differs in more than alike sets can needs no comparison of the sets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +21,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, ship
+from .shared import discard, materialize
 from .simhash import SEED, shingles
 
 SHINGLE = 5
-SIMILARITY = 0.8
 #: Shingles are counted by cells, which are their first bits; cells go in blocks, as many at once as a task may hold.
 CELL_BITS = 23
 BLOCK = 1 << 16
 CELLS_AT_ONCE = 1 << 21
-#: Sets in a bucket that are compared all with each other at once, and rounds for larger ones.
-CROWD = 16
-ROUNDS = 8
 ROWS = 256
 
 
@@ -150,47 +137,6 @@ def _sets(docs: DataFrame, shingle: int, levels: Broadcast | None = None, p: int
     )
 
 
-def _pairs(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a < b) of a bucket whose sizes, and places of the token, allow them to be alike.
-
-    Before a common token stand at most as many others in common as the smaller of both
-    places says, and behind it as many as the smaller rest.
-    """
-    x, y = (rows.select("token", *[F.col(c).alias(s + c) for c in ("k", "n", "at")]) for s in "xy")
-    shared = F.least("xat", "yat") + 1 + F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) - 1
-    may = (F.col("xk") < F.col("yk")) & ((p + q) * shared.cast("long") >= p * (F.col("xn") + F.col("yn")).cast("long"))
-    return x.join(y, "token").filter(may).select(F.col("xk").alias("a"), F.col("yk").alias("b"))
-
-
-def _by_size(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """Rows of crowded buckets in finer ones, by classes of sizes: alike sets are in one class or in neighbours.
-
-    A set goes into its own class and the next, so that two alike ones always meet. The
-    finer bucket's number stands for the token; size and pivot are its own.
-    """
-    step = math.log(q / p) * 1.0001  # a little more than alike sizes can differ, for rounding
-    own = F.floor(F.log("n") / step)
-    finer = rows.select(F.explode(F.array(own, own + 1)).alias("c"), "token", "k", "n", "at").select(F.xxhash64("token", "c").alias("token"), "k", "n", "at")
-    finer = materialize(finer, "near-classes")
-    sized = finer.groupBy("token").agg(F.count("*").alias("size"), F.min("k").alias("pivot")).filter("size > 1")
-    return finer.join(sized, "token")
-
-
-def _likely(pairs: DataFrame, nodes: DataFrame, live: DataFrame, p: int, q: int) -> DataFrame:
-    """Those of the pairs (a row for each token that they met by) with enough tokens in common.
-
-    Besides them a pair can have in common what is behind the prefixes, and tokens of
-    buckets where not all met (``live``).
-    """
-    unseen = live.groupBy("k").agg(F.count("*").alias("h"))
-    of = nodes.select("k", F.col("n").cast("long"), (F.col("n") - F.size("prefix")).alias("rest")).join(unseen, "k", "left")
-    met = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
-    for s in "ab":
-        met = met.join(of.select(F.col("k").alias(s), F.col("n").alias(s + "n"), F.col("rest").alias(s + "r"), F.coalesce("h", F.lit(0)).alias(s + "h")), s)
-    most = F.col("c") + F.least("ah", "bh") + F.greatest("ar", "br")
-    return met.filter((p + q) * most >= p * (F.col("an") + F.col("bn"))).select("a", "b")
-
-
 def _close(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
     """Those of the pairs whose sizes and bitmaps allow them to be alike."""
     met = pairs.select("a", "b").distinct()
@@ -203,74 +149,3 @@ def _close(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
     fitted = lambda c, other: F.when(F.size(c) > F.size(other), half(c)).otherwise(F.col(c))
     apart = F.aggregate(F.zip_with(fitted("abits", "bbits"), fitted("bbits", "abits"), xor), F.lit(0), lambda n, x: n + F.bit_count(x))
     return met.filter((p + q) * apart.cast("long") <= (q - p) * (F.col("an") + F.col("bn"))).select("a", "b")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """k of each pair's second whose sets are alike."""
-    a = sets.select(F.col("k").alias("a"), F.col("set").alias("s"))
-    b = sets.select(F.col("k").alias("b"), F.col("set").alias("t"))
-    both = F.size(F.array_intersect("s", "t")).cast("long")
-    met = pairs.distinct().join(a, "a").join(b, "b")
-    return met.filter((p + q) * both >= p * (F.size("s") + F.size("t")).cast("long")).select(F.col("b").alias("k")).distinct()
-
-
-def drop_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """The documents that stay when near copies go, with their own columns.
-
-    No two that stay are alike. Each that goes is alike to one with a smaller id, which
-    stays or is itself alike to one with a smaller id, and so on. Texts of fewer words
-    than a shingle are one shingle; null and wordless texts are alike. Rows with repeated
-    ids stay together with their document; rows with a null id count as the largest.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    p, q = Fraction(str(similarity)).as_integer_ratio()
-    levels = spark.sparkContext.broadcast(_levels(docs, shingle))  # bounded by the number of cells
-    prints = materialize(_sets(docs, shingle, levels, p, q), "near-prefixes")
-    levels.destroy()  # what it was for is written
-    # Numbers that count up in the order of ids, written once; then one row for each set.
-    firsts = prints.groupBy("sig").agg(F.min("doc_id").alias("first_id"))
-    numbered = materialize(firsts.orderBy(F.asc_nulls_last("first_id"), "sig").withColumn("k", F.monotonically_increasing_id()), "near-numbers")
-    whole = prints.groupBy("sig").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("set").alias("prefix"))
-    nodes = materialize(whole.join(numbered, "sig"), "near-nodes")
-    discard(spark, prints)
-    rows = nodes.select("k", "n", F.posexplode("prefix").alias("at", "token"))
-    buckets = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("k").alias("pivot"), F.max("k").alias("last"))
-    buckets = materialize(buckets.filter("size > 1"), "near-buckets")
-    live = materialize(rows.join(buckets.filter("size > 2").select("token", "size", "pivot"), "token"), "near-rows")
-    pairs = buckets.filter("size = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"))
-    pairs = pairs.unionByName(_pairs(live.filter(F.col("size") <= crowd), p, q))
-    live = materialize(_by_size(live.filter(F.col("size") > crowd), p, q), "near-live")
-    pairs = pairs.unionByName(_pairs(live.filter(F.col("size") <= crowd), p, q))
-    live = live.filter(F.col("size") > crowd)
-    pairs = materialize(_close(_likely(pairs, nodes, live, p, q), nodes, p, q), "near-pairs")
-    met = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(live.select("k")).distinct()
-    met = materialize(numbered.join(met, "k"), "near-met")
-    ids = met.select(F.col("first_id").alias("m_id")).distinct()
-    some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["m_id"]), "left_semi")
-    sets = _sets(some, shingle).select("sig", "set").join(met, "sig").groupBy("k").agg(F.any_value("set").alias("set"))
-    sets = materialize(sets, "near-sets")
-    discard(spark, buckets)
-    crowded = materialize(sets.join(live.select("k").distinct(), "k"), "near-crowded-sets")
-    gone = [materialize(_alike(pairs, sets, p, q), "near-gone")]
-    discard(spark, sets)
-    for left in reversed(range(ROUNDS)):
-        first = live.filter("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b"))
-        found = materialize(_alike(_close(first, nodes, p, q), crowded, p, q), "near-gone")
-        rest = live.filter("k <> pivot").drop("size", "pivot").join(gone[0], "k", "left_anti").join(found, "k", "left_anti")
-        rest = materialize(rest, "near-rest")
-        gone.append(found)
-        n, went = rest.count(), found.count()
-        if not n:
-            break
-        if not left or went < n / 100:
-            gone.append(materialize(_alike(_close(_pairs(rest, p, q), nodes, p, q), crowded, p, q), "near-gone"))
-            break
-        ends = rest.groupBy("token").agg(F.min("k").alias("pivot"))
-        live = rest.join(ends, "token")
-    out = gone[0]
-    for g in gone[1:]:
-        out = out.unionByName(g)
-    stay = materialize(nodes.join(out, "k", "left_anti").select(F.col("first_id").alias("k_id")).distinct(), "near-stay")
-    discard(spark, crowded, nodes, numbered)
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["k_id"]), "left_semi")

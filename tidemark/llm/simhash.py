@@ -152,12 +152,12 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The documents that stay when near copies go; see near.drop_similar().
+    """The documents that stay when near copies go; see jaccard_join.drop_similar().
 
     Fingerprints are not asked here: 2 bits are the contract of simhash_groups(), and
     texts with a similarity of 0.8 are mostly further apart than any radius that tables
     of masks can cover.
     """
-    from .near import drop_similar
+    from .jaccard_join import drop_similar
 
     return drop_similar(docs)
