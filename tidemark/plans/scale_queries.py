@@ -17,6 +17,7 @@ from ..functions.vectors import weight_map
 from ..operators import aggregates as A
 from ..operators import intervals as I
 from ..operators import selection as S
+from ..operators import sketches as Z
 from ..operators import terms as Y
 from ..operators.dedupe import _ensure_checkpoint_dir
 from ..operators.dependent import dependent_top_k
@@ -385,3 +386,19 @@ def stream_interval_join(spark, d):
     met = W.interval_join(bought, seen, ["user_id"], "ts", "view_ts", "36 HOURS", "1 day")
     W.run_available(met, W.append_to(f"{base}/out"), f"{base}/ck")
     return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").select("event_id", "view_id")
+
+
+@query("""
+    SELECT event_type, count(*) AS n, round(min(value), 4) AS least, round(max(value), 4) AS most, true AS users_close, true AS median_close FROM events GROUP BY event_type""")
+def agg_daily_sketches(spark, d):
+    """Days' summaries merged by type; whether estimates lie within their error of the exact values, from the rows."""
+    e = t(spark, d, "events").withColumn("day", F.to_date("ts"))
+    whole = Z.merged(Z.summaries(e, ["day", "event_type"], {"user": "user_id"}, {"value": "value"}), ["event_type"], ["user"], ["value"])
+    whole = whole.withColumns({"users": Z.distinct_estimate("d_user"), "median": Z.quantile_estimate("q_value", 0.5)})
+    exact = e.join(whole.select("event_type", "median"), "event_type").groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("exact"), (F.count_if(F.col("value") <= F.col("median")) / F.count("value")).alias("share")
+    )
+    return whole.join(exact, "event_type").select(
+        "event_type", "n", F.round("min_value", 4).alias("least"), F.round("max_value", 4).alias("most"),
+        (F.abs(F.col("users") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.065 * F.col("exact"))).alias("users_close"), (F.abs(F.col("share") - 0.5) <= 0.07).alias("median_close"),
+    )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -87,26 +90,94 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: s
 
 
 def stall_alarms(updates: DataFrame, key: str, after: str = "120 seconds") -> DataFrame:
-    """A row for each run when it gets its first update and when it has none for a while.
+    """A row whenever a run's state changes: key, state, n_updates.
 
-    Processing-time timers per key; state is one count.
+    A run is ``running`` from its first update, ``stalled`` once it has had none for a while
+    and ``resumed`` with the next one. Processing-time timers per key; state is a count and
+    a flag.
     """
     ms = pd.Timedelta(after).value // 1_000_000
     kind = dict(updates.dtypes)[key]
 
     def watch(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, stalled = state.get if state.exists else (0, False)
+        row = lambda what: pd.DataFrame({key: [k[0]], "state": [what], "n_updates": [n]})
         if state.hasTimedOut:
-            n = state.get[0]
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "state": ["stalled"], "n_updates": [n]})
+            state.update((n, True))
+            yield row("stalled")
             return
-        before = state.get[0] if state.exists else 0
-        n = before + sum(len(b) for b in batches)
-        state.update((n,))
+        first = n == 0
+        n += sum(len(b) for b in batches)
+        state.update((n, False))
         state.setTimeoutDuration(int(ms))
-        if not before:
-            yield pd.DataFrame({key: [k[0]], "state": ["running"], "n_updates": [n]})
+        if first or stalled:
+            yield row("running" if first else "resumed")
 
     return updates.groupBy(key).applyInPandasWithState(
-        watch, f"{key} {kind}, state string, n_updates long", "n long", "update", GroupStateTimeout.ProcessingTimeTimeout
+        watch, f"{key} {kind}, state string, n_updates long", "n long, stalled boolean", "update", GroupStateTimeout.ProcessingTimeTimeout
     )
+
+
+class Monitor:
+    """A live query over runs' updates: state changes go to a table as they happen.
+
+    ``every`` is how often it looks; timers of silent runs fire between updates too. The
+    table is a folder a batch, so a batch that runs again replaces its own rows. After a
+    restart with the same ``checkpoint`` it goes on with the states that it had.
+    """
+
+    def __init__(self, updates: DataFrame, key: str, table: str, checkpoint: str, after: str = "120 seconds", every: str = "2 seconds"):
+        self.spark, self.table = updates.sparkSession, table
+        changes = stall_alarms(updates, key, after).withColumn("at", F.current_timestamp())
+        self.schema = changes.schema
+
+        def sink(batch: DataFrame, number: int) -> None:
+            batch.coalesce(1).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+        self.query = changes.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+    def changes(self) -> DataFrame:
+        """All state changes so far, with the batch that saw them."""
+        schema = StructType([*self.schema.fields, StructField("batch", IntegerType())])
+        return self.spark.read.schema(schema).option("basePath", self.table).parquet(f"{self.table}/batch=*")
+
+    def now(self, key: str) -> DataFrame:
+        """The last state of each run."""
+        return self.changes().groupBy(key).agg(F.max_by(F.struct("state", "n_updates", "at"), "batch").alias("_s")).select(key, "_s.*")
+
+    def stop(self) -> None:
+        self.query.stop()
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps the last lines of queries' progress: name, batch, rows, milliseconds; and how they ended."""
+
+    def __init__(self, most: int = 1000):
+        self.lines: deque = deque(maxlen=most)
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.lines.append((p.name or str(p.id), p.batchId, p.numInputRows, p.batchDuration))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.id)] = event.exception
+
+
+def poll(refresh: Callable[[], bool], until: Callable[[], bool], busy_s: float = 2.0, idle_s: float = 6.0, wait: Callable[[float], None] = time.sleep) -> list[float]:
+    """Call ``refresh`` again and again until ``until`` holds: soon while it says that work is under way, else later.
+
+    Returns the waits. ``refresh`` is a step like run_available(), which goes on where the
+    last one ended; an error in it ends the loop.
+    """
+    waits = []
+    while not until():
+        waits.append(busy_s if refresh() else idle_s)
+        wait(waits[-1])
+    return waits
