@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_labelled import labelled_pages
+from .html_labelled import labelled_pages, plain_pages
 from .html_tree import Node, parse
 from .shared import ship
 
@@ -36,7 +36,9 @@ def features(nodes: list[Node], i: int) -> list[str]:
         end = n.text[-1] in ".!?:;\"'»”"
         return ["text", f"in={p.tag}", f"len={_bucket(n.words, (4, 9, 21, 60))}", f"link={link}", f"end={end}"]
     share = _bucket(n.chars / (nodes[0].chars or 1), (0.05, 0.2, 0.5))
-    return ["element", f"tag={n.tag}", f"elink={link}", f"share={share}", *[f"name={m}" for m in n.marks]]
+    place = [f"{n.tag} in {nodes[n.parent].tag}"] if n.parent >= 0 and n.tag != "#root" else []
+    place += [f"within={m}" for m in nodes[n.parent].marks] if n.parent >= 0 else []
+    return ["element", *place, f"tag={n.tag}", f"elink={link}", f"share={share}", *[f"name={m}" for m in n.marks]]
 
 
 class Model:
@@ -107,18 +109,18 @@ _trained: dict[int, Model] = {}
 
 
 def default_model() -> Model:
-    """The model of the labelled pages, trained once per process."""
+    """The model of the labelled and the plain pages, trained once per process."""
     if 0 not in _trained:
-        _trained[0] = train(labelled_pages())
+        _trained[0] = train(labelled_pages() + plain_pages())
     return _trained[0]
 
 
 def main_text(page: str | None, model: Model) -> str:
-    """Blocks of main text in page order, joined by an empty line; empty if there is none."""
+    """Blocks of main text in page order, joined by an empty line; empty if there is none. A page without elements is all text."""
     nodes = parse(page or "")
     if len(nodes) == 1:
         return ""
-    p = model.marginals(nodes)
+    p = [1.0] * len(nodes) if all(n.text is not None for n in nodes[1:]) else model.marginals(nodes)
     return "\n\n".join(n.text for i, n in enumerate(nodes) if n.text is not None and p[i] >= 0.5)
 
 

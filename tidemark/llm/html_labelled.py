@@ -129,6 +129,43 @@ def _off(r: random.Random, kind: str) -> str:
     return f'{out[:cut]} data-tidemark-label="0"{out[cut:]}'
 
 
+def _paragraphs(r: random.Random, n: int) -> str:
+    """Main text and nothing else, as plain pages have it."""
+    parts = [f"<h1>{_words(r, 1, 9)}</h1>"] if r.random() < 0.4 else []
+    for _ in range(n):
+        text = _words(r, *r.choice(((1, 6), (5, 15), (12, 40), (30, 90))))
+        parts.append(r.choices((f"<p>{text}</p>", text + "<br><br>", f"<div>{text}</div>", f"<h2>{_words(r, 1, 5)}</h2><p>{text}</p>", f"<pre>{text}</pre>", f"<ul><li>{text}</li><li>{_words(r, 2, 9)}</li></ul>"), (10, 1, 2, 2, 1, 1))[0])
+    return "".join(parts)
+
+
+def plain_pages(n: int = 450, seed: int = 17) -> list[str]:
+    """Pages whose text stands in the body itself, in boxes without a name or with one that says nothing, alone or beside little else."""
+    r = random.Random(seed)
+    pages = []
+    for _ in range(n):
+        inner, kind = _paragraphs(r, r.choice((1, 1, 1, 2, 3, 5, 9))), r.random()
+        label = ' data-tidemark-label="1"'
+        one = lambda k: f'<div data-tidemark-label="0"{_named(r, _TALK)}>{_block(r)}</div>' if k == "talk" and r.random() < 0.7 else _off(r, k)
+        few = lambda ks: "".join(one(k) for k in ks if r.random() < 0.4)  # noqa: B023, E731
+        around = r.random() < 0.6
+        before, after = (few(("head", "menu", "notice", "ad")), few(("side", "talk", "foot", "share"))) if around else ("", "")
+        if kind < 0.35:
+            body = f"<body{label}>{before}{inner}{after}</body>"
+        elif kind < 0.4:  # no body either
+            pages.append(inner.replace("<p>", f"<p{label}>").replace("<div>", f"<div{label}>").replace("<h1>", f"<h1{label}>").replace("<h2>", f"<h2{label}>").replace("<pre>", f"<pre{label}>").replace("<ul>", f"<ul{label}>"))
+            continue
+        elif kind < 0.47:
+            body = f"<body{label}>{_words(r, 1, 60)}{inner if r.random() < 0.3 else ''}</body>"
+        else:
+            deep = r.choice((1, 1, 2, 3))
+            names = [r.choice(("", "", f' class="{_word(r)}"', f' id="{_word(r)}"', f' class="{_word(r)}-{_word(r)}"')) for _ in range(deep)]
+            tags = [r.choice(("div", "div", "section", "center")) for _ in names]
+            opened = "".join(f"<{t}{m}{label if i == 0 else ''}>" for i, (t, m) in enumerate(zip(tags, names)))
+            body = f"<body>{before}{opened}{inner}{''.join(f'</{t}>' for t in reversed(tags))}{after}</body>"
+        pages.append(body if r.random() < 0.3 else f"<html><head><title>{_words(r, 1, 6)}</title></head>{body}</html>")
+    return pages
+
+
 def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
     r = random.Random(seed)
     pages = []

@@ -14,11 +14,16 @@ from collections.abc import Iterator
 #: Elements that belong to the text around them.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr picture slot "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle "
+    "msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What these hold is never text of the page.
-DROPPED = frozenset("title noscript template svg math object iframe select datalist canvas audio video script style textarea option noframes".split())
+#: Void elements that leave a text whole.
+UNSEEN = frozenset("area base embed img link meta param source track".split())
+#: What these hold is never text of the page: no content (script, style, svg, template), parts of forms, a formula's
+#: source beside the formula, or what is shown only where something else can't be (noscript, object, canvas and the like).
+DROPPED = frozenset("title noscript template svg annotation annotation-xml object iframe select datalist canvas audio video script style textarea option noframes".split())
 #: What these hold is no markup: it ends at their end tag only.
 RAW = frozenset("script style textarea title xmp iframe noframes".split())
 #: Elements of a head; anything else, and text, is where the body begins.
@@ -47,6 +52,11 @@ class Node:
         self.chars = self.linked = self.words = self.kids = 0
 
 
+def _inline(tag: str) -> bool:
+    """Whether a tag leaves the block around it whole; so do tags of one's own, whose names have a hyphen."""
+    return tag in INLINE or "-" in tag and tag not in DROPPED
+
+
 def unescape(text: str) -> str:
     """Character references decoded; numbers beyond Unicode, of any length, are U+FFFD."""
     if "&" not in text:
@@ -125,7 +135,7 @@ def _closed(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
     for i, (_, _, name, closing, attrs) in enumerate(tags):
         if name in DROPPED:
             if not closing:
-                if not (attrs.endswith("/") and name in ("svg", "math")):
+                if not (attrs.endswith("/") and name == "svg"):
                     open_.setdefault(name, []).append(i)
             elif open_.get(name):
                 pairs[open_[name].pop()] = i
@@ -186,13 +196,15 @@ def parse(page: str, labels: bool = False) -> list[Node]:
         i += 1
         if not tag:
             continue
-        if tag == "br" or tag == "img":
+        if tag == "br":
             pending.append(" ")
             continue
+        if tag in UNSEEN:  # no white space: what stands around it is one word
+            continue
         if closing:
             if tag == "a":
                 link = 0
-            if tag not in INLINE:
+            if not _inline(tag):
                 flush()
                 mute = False
                 if places.get(tag):
@@ -201,18 +213,17 @@ def parse(page: str, labels: bool = False) -> list[Node]:
         if stack[-1][0] == "head" and tag not in IN_HEAD:
             flush()
             pop_to(len(stack) - 1)
-        if tag in INLINE:
+        if _inline(tag):
             if tag == "a":
                 link = len(stack)
             continue
+        if tag in DROPPED and (last := ends.get(i - 1)) is not None:  # gone, with all in it; the block around it goes on
+            end, i = tags[last][1], last + 1
+            continue
         flush()
         mute = False
         if tag in DROPPED:
-            last = ends.get(i - 1)
-            if last is not None:  # gone, with all in it
-                end, i = tags[last][1], last + 1
-            else:
-                mute = tag not in ("title", "textarea", "iframe", "noframes", "script", "style", "svg", "math")
+            mute = tag not in ("title", "textarea", "iframe", "noframes", "script", "style", "svg")
             continue
         if tag in VOID or tag in ("html", "head", "body") and places.get(tag):
             continue
