@@ -14,6 +14,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ SALTS = 64
 
 _shipped: set[str] = set()
 _kept: set[str] = set()
+_steps = {"every": 0, "n": 0}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +65,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
+    _steps["n"] += 1
+    if _steps["every"] and _steps["n"] % _steps["every"] == 0:
+        release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -84,9 +89,20 @@ def release(spark: SparkSession) -> None:
     collected the owners, which it may put off until its heap has grown to the limit.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 
+def ease(spark: SparkSession, every: int = 3) -> None:
+    """release() now and after each ``every``-th step that is written from here on; 0 for no more.
+
+    For a session that goes through many steps: between two releases its driver's heap grows
+    by what the steps' plans left, up to its limit, whatever of it is still in use.
+    """
+    release(spark)
+    _steps["every"], _steps["n"] = every, 0
+
+
 def with_group(df: DataFrame, by: list[str], unit: Column, counted: str | None = None, **least: str) -> DataFrame:
     """Each row with its group's values: the minimum of a column by name, and how many rows.
 
