@@ -65,11 +65,14 @@ def rank_children(children: DataFrame, keys: list[str], hard_required: str = "ha
     Rows have shot_id, idx and child_score()'s parts by name, except the places, which are
     found here from ``idx``, ``anchor`` and ``proof_anchor`` (0 to 1 or null). Where a hard
     hit is required and some child of the group has one, only such children are ranked.
+    ``n_soft_hits``, the hits without the hard ones, decides whether a proof leans late; without
+    it all hits do.
     """
     w = Window.partitionBy(*keys)
     rows = children.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy("idx")) - 1})
+    soft = F.col("n_soft_hits" if "n_soft_hits" in children.columns else "n_hits")
     late = F.when(
-        (F.col("role") == "proof") & (F.col("n_hits") == 0) & (F.col("n_parent_hits") > 0) & ~F.col("verified"), late_lean(F.col("_i"), F.col("_n"))
+        (F.col("role") == "proof") & (soft == 0) & (F.col("n_parent_hits") > 0) & ~F.col("verified"), late_lean(F.col("_i"), F.col("_n"))
     ).otherwise(0.0)
     rows = rows.withColumn(
         "child_score",
