@@ -108,3 +108,17 @@ def test_merge_of_many_cuts(spark):
     assert plan.count("array_sort(") + plan.count("arraysort(") <= 1
     r = out.groupBy("id").agg(F.count("*").alias("n"), F.min(F.col("piece_end_s") - F.col("piece_start_s")).alias("least"), F.sum(F.col("piece_end_s") - F.col("piece_start_s")).alias("all")).collect()
     assert all(x.n > 4000 and x.least >= 1.2 - 1e-9 and abs(x["all"] - 9100) < 1e-3 for x in r)
+
+
+def test_cuts_are_found_once(spark, spans, cut):
+    s = scan.Sliced(spans, ["key"], ["start_s", "id"])
+    plan = s.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert s.rows.filter("_split").count() and "percentile_approx" not in plan  # approximate cuts may differ from one look to the next
+    whole = scan.Sliced(spans, ["key"], ["start_s", "id"], least_rows=1000).rows
+    assert whole.filter("_split OR _slice <> 0").isEmpty() and "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_sums_keep_their_cents(spark):
+    big = spark.createDataFrame([(0, 4e14)], "id int, v double").unionByName(spark.range(1, 4_001).selectExpr("cast(id as int) AS id", "0.01D AS v"))
+    got = intervals.running_axis(big, [], ["id"], "v").select("id", F.round("end_s", 2).alias("e")).filter("id = 4000").first()
+    assert got.e == 4e14 + 40

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .dedupe import _ensure_checkpoint_dir
+
 #: Slices for each shuffle partition that all rows would make, and rows below which no key is cut.
 PER_PARTITION = 4
 LEAST_ROWS = 4096
@@ -28,7 +30,9 @@ class Sliced:
     ``order`` begins with the axis, a number or a time; the rest breaks ties. Rows of one
     axis value are never parted, so frames by range see all their peers. Null axis values
     come first. Axes of other types aren't cut. The rows are read up to three times: to
-    count keys, for the quantiles of large ones, and for the work itself.
+    count keys, for the quantiles of large ones, and for the work itself. Approximate
+    quantiles depend on the order in which partitions meet, and a plan names the cuts more
+    than once, so they are found once and written to the folder of ``spark.checkpoint.dir``.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], slices: int | None = None, least_rows: int | None = None):
@@ -45,8 +49,11 @@ class Sliced:
             self.rows = df.withColumns({SLICE: F.lit(0), SPLIT: F.lit(False)})
             return
         sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-        total = sizes.agg(F.sum("_n")).first()[0] or 0
+        total, largest = (x or 0 for x in sizes.agg(F.sum("_n"), F.max("_n")).first())
         most = max(LEAST_ROWS if least_rows is None else least_rows, -(-total // slices))
+        if largest <= most:
+            self.rows = df.withColumns({SLICE: F.lit(0), SPLIT: F.lit(False)})
+            return
         large = sizes.filter(F.col("_n") > most)  # fewer than ``slices`` keys
         fractions = [i / slices for i in range(1, slices)]
         found = self._with(df.select(*keys, axis.alias("_x")), large, "inner").groupBy(*keys, "_n")
@@ -57,7 +64,8 @@ class Sliced:
         some = F.array_distinct(some)
         width = F.ceil(F.sqrt(F.size("_b"))).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_b") / width).cast("int") - 1), lambda i: F.slice("_b", i * width + 1, width))
-        marks = marks.withColumn("_b", some).filter(F.size("_b") > 0).select(*keys, blocks.alias("_blocks"))
+        _ensure_checkpoint_dir(df.sparkSession)
+        marks = marks.withColumn("_b", some).filter(F.size("_b") > 0).select(*keys, blocks.alias("_blocks")).checkpoint()
         rows = self._with(df.withColumn("_x", axis), marks, "left")
         block = F.size(F.filter("_blocks", lambda b: b[0] < F.col("_x")))
         inside = F.size(F.filter(F.get("_blocks", F.greatest(block - 1, F.lit(0))), lambda v: v < F.col("_x")))
@@ -109,10 +117,21 @@ class Sliced:
 
 
 def running_sum(s: Sliced, rows: DataFrame, value: str, name: str, own: bool = False) -> DataFrame:
-    """``name``: the sum of a column over the rows before (0 without any), with ``own`` also the row's."""
-    rows = s.carry(rows, {"_part": F.sum(value)}, lambda before, _: {"_carry": F.sum("_part").over(before)})
-    inside = F.sum(value).over(s.running() if own else s.earlier())
-    return rows.withColumn(name, F.coalesce(F.col("_carry"), F.lit(0)) + F.coalesce(inside, F.lit(0))).drop("_carry")
+    """``name``: the sum of a column over the rows before (0 without any), with ``own`` also the row's.
+
+    Whole numbers and what is left of them are summed apart where values have fractions:
+    the first sum is exact, and errors of the second don't grow with the total.
+    """
+    v = F.col(value)
+    parts = {"_sum0": v}
+    if dict(rows.dtypes)[value] in ("double", "float"):
+        v = v.cast("double")
+        parts = {"_sum0": F.rint(v), "_sum1": F.when(F.abs(v) < float("inf"), v - F.rint(v)).otherwise(0.0)}
+    rows = rows.withColumns(parts)
+    rows = s.carry(rows, {f"_of{c}": F.sum(c) for c in parts}, lambda before, _: {f"_carry{c}": F.sum(f"_of{c}").over(before) for c in parts})
+    w = s.running() if own else s.earlier()
+    upto = [F.coalesce(F.col(f"_carry{c}"), F.lit(0)) + F.coalesce(F.sum(c).over(w), F.lit(0)) for c in parts]
+    return rows.withColumn(name, sum(upto[1:], upto[0])).drop(*parts, *[f"_carry{c}" for c in parts])
 
 
 def positions(df: DataFrame, keys: list[str], order: list[str], name: str, first: int = 0, **how: int) -> DataFrame:
