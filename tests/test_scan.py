@@ -122,3 +122,20 @@ def test_long_sums_keep_their_cents(spark):
     big = spark.createDataFrame([(0, 4e14)], "id int, v double").unionByName(spark.range(1, 4_001).selectExpr("cast(id as int) AS id", "0.01D AS v"))
     got = intervals.running_axis(big, [], ["id"], "v").select("id", F.round("end_s", 2).alias("e")).filter("id = 4000").first()
     assert got.e == 4e14 + 40
+
+
+def test_thousandths_round_by_their_thousandfold(spark):
+    df = spark.createDataFrame([(0, 4.0005), (1, 600 - 4.0005)], "id int, u double").withColumn("total", F.lit(600.0))
+    got = intervals.proportional_axis(df, [], ["id"], "u", "total").filter("id = 0").first()
+    assert got.end_s == 4.0  # 4.0005 * 1000 is below the half
+
+
+def test_nearest_is_by_whole_microseconds(spark):
+    at = "timestamp_micros(1700000000000000 + {})"
+    left = spark.sql(f"SELECT 1 AS k, id, {at.format('id * 7')} AS at FROM range(200)")
+    right = spark.sql(f"SELECT 1 AS k, id + 1000 AS r, {at.format('id * 7 - 3 + (id % 2) * 6')} AS r_at FROM range(200)")
+    near = intervals.nearest_start(left, right, "id", "r", "at", "r_at", ["k"])
+    assert "unboundedfollowing" not in near._jdf.queryExecution().optimizedPlan().toString()  # such a frame is summed anew for each row
+    got = {r.id: r.r for r in near.collect()}
+    places = {1000 + i: i * 7 - 3 + (i % 2) * 6 for i in range(200)}
+    assert got == {i: min((abs(p - i * 7), r) for r, p in places.items())[1] for i in range(200)}

@@ -36,7 +36,8 @@ def proportional_axis(df: DataFrame, keys: list[str], order: list[str], units: s
     whole = F.coalesce("_before", zero) + F.sum(units).over(Window.partitionBy(*keys, "_slice")) + F.coalesce("_behind", zero)
     last = F.lead(F.lit(1)).over(s.window()).isNull() & (F.coalesce("_later", zero) == 0)
     rows = rows.withColumns({"_upto": upto, "_whole": whole, "_last": last})
-    share = lambda u: F.round(F.col(total) * u / F.col("_whole"), 3)
+    # Rounded as SQL engines do, by thousandths: the shortest decimal of a double may be a tie that its thousandfold is not.
+    share = lambda u: F.round(F.col(total) * u / F.col("_whole") * 1000) / 1000
     rows = rows.withColumn("start_s", share(F.col("_upto") - F.col(units))).withColumn("end_s", F.when(F.col("_last"), F.round(total, 3)).otherwise(share(F.col("_upto"))))
     return s.done(rows, "_before", "_behind", "_later", "_upto", "_whole", "_last")
 
@@ -278,14 +279,20 @@ def nearest_start(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     rows = s.carry(s.rows, {"_l": F.max(latest), "_f": F.min(first)}, lambda before, behind: {"_cb": F.max("_l").over(before), "_ca": F.min("_f").over(behind)})
     # Rows of one instant are peers in a range frame, so both sides see each other.
     before = F.coalesce(F.max(latest).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_cb"))
-    after = F.coalesce(F.min(first).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)), F.col("_ca"))
-    d = lambda x: F.abs(x["t"].cast("double") - F.col("_at").cast("double"))
+    # From the end backwards: a frame up to the end would be summed anew for every row.
+    back = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = F.coalesce(F.min(first).over(back), F.col("_ca"))
+    # Whole microseconds, so that two rows as near are equally near; they become seconds at the end.
+    instants = dict(both.dtypes)["_at"].startswith("timestamp")
+    place = F.unix_micros if instants else lambda x: x.cast("double")
+    d = lambda x: F.abs(place(x["t"]) - place(F.col("_at")))
     out = rows.withColumns({"_b": before, "_a": after}).filter(~F.col("_right"))
     near = F.least(
         F.when(F.col("_b").isNotNull(), F.struct(d(F.col("_b")).alias("d"), F.col("_b.id").alias("id"))),
         F.when(F.col("_a").isNotNull(), F.struct(d(F.col("_a")).alias("d"), F.col("_a.id").alias("id"))),
     )
-    return out.select(*keys, F.col("_id").alias(left_id), near["id"].alias(right_id), near["d"].alias("distance_s"))
+    distance = near["d"] / 1e6 if instants else near["d"]
+    return out.select(*keys, F.col("_id").alias(left_id), near["id"].alias(right_id), distance.alias("distance_s"))
 
 
 def contiguous(df: DataFrame, keys: list[str], index: str) -> DataFrame:
