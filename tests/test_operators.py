@@ -114,6 +114,23 @@ def test_pairs_equal_all_pairs(spark):
     assert sorted(rows(dedupe.duplicate_pairs(f))) == sorted(rows(every))
 
 
+def test_close_pairs_by_blocks(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(32) for _ in range(5)]
+    data = [(f"s{i:03d}", "ok", [None if rng.random() < 0.1 else b ^ (1 << rng.randrange(32)) ^ (rng.getrandbits(32) if rng.random() < 0.4 else 0) for b in base[: rng.randrange(6)]]) for i in range(90)]
+    data += [("", "ok", base), ("x", "failed", base), ("y", "ok", None), ("z", "ok", [-1, 1 << 62, -(1 << 63)])]
+    f = spark.createDataFrame(data, "shot_id string, status string, phash array<bigint>")
+    known = [(i, h) for i, st, h in data if i and st == "ok" and h]
+    near = lambda p, q: sum(x is not None and y is not None and bin((x ^ y) & (2**64 - 1)).count("1") <= dedupe.BITS for x, y in zip(p, q)) >= 3
+    want = sorted((a, b) for a, p in known for b, q in known if a < b and near(p, q))
+    for rows_a_block in (7, 1000):
+        got = dedupe.close_pairs(f, 3, block_rows=rows_a_block)
+        assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 50
+    assert dedupe.close_pairs(f.filter("false"), 3).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]

@@ -1,23 +1,30 @@
 """Near duplicates of fingerprint rows: blocked pairs, components, canonical rows.
 
 A pair without equal file hashes needs several close frames, and a close frame differs in
-at most BITS bits of its first hash; cut into BITS + 1 bands, two such hashes agree in one
-band at least. So (frame, band, value) is a key that finds every pair. All pairs are
-returned, so a group of m copies gives m (m - 1) / 2 of them; equal file hashes alone give
-a star. For large groups of copies fold equal hash lists first.
+at most BITS bits of its first hash. Keys for so wide a radius are so short that most rows
+share one, so rows are dealt to blocks and each pair of blocks is compared in one task, by
+bits, in bounded memory. All pairs are returned, so a group of m copies gives m (m - 1) / 2
+of them; equal file hashes alone give a star. For large groups of copies fold equal hash
+lists first.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.vectors import hamming
+from ..session import ship
 
 #: Most differing bits of a close frame.
 BITS = max(p for p, _ in K.CLOSE_FRAMES)
 
+#: Rows of a block, and rows of one block that are compared with the other at a time.
+BLOCK_ROWS, STRIP_ROWS = 8192, 64
+
 
 def bands(value: Column, n: int = BITS + 1, width: int = 64) -> Column:
     """The lowest ``width`` bits in n bands: (number, bits)."""
@@ -29,33 +36,52 @@ def bands(value: Column, n: int = BITS + 1, width: int = 64) -> Column:
     return F.array(*parts)
 
 
-def _frames(f: DataFrame) -> DataFrame:
-    return (
-        f.filter("status = 'ok' AND shot_id <> ''")
-        .select("shot_id", F.posexplode("phash").alias("frame", "h"))
-        .select("shot_id", "frame", F.explode(bands(F.col("h"))).alias("b"))
-        .select("shot_id", "frame", "b.band", "b.bits")
-        .distinct()
-    )
+def _close_rows(x: pd.Series, y: pd.Series, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of hash lists that are within ``bits`` in ``least`` frames or more."""
+    n = min(x.map(len).max(), y.map(len).max())
+    frames = lambda s, i: pd.Series([v[i] if len(v) > i else None for v in s], dtype="Int64")
+    sides = [[(f.fillna(0).to_numpy("int64"), f.notna().to_numpy()) for f in (frames(s, i) for i in range(n))] for s in (x, y)]
+    found = [(np.zeros(0, "int64"), np.zeros(0, "int64"))]
+    for at in range(0, len(x), STRIP_ROWS):
+        close = np.zeros((len(x[at : at + STRIP_ROWS]), len(y)), "int16")
+        for (p, has_p), (q, has_q) in zip(*sides, strict=True):
+            strip = slice(at, at + STRIP_ROWS)
+            close += (np.bitwise_count((p[strip, None] ^ q[None, :]).view("uint64")) <= bits) & has_p[strip, None] & has_q[None, :]
+        a, b = np.nonzero(close >= least)
+        found.append((a + at, b))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def close_pairs(f: DataFrame, least: int, bits: int = BITS, block_rows: int | None = None) -> DataFrame:
+    """Pairs (a < b) of shot_id whose phash is within ``bits`` in at least ``least`` frames; all pairs, by blocks."""
+    ship(f.sparkSession)
+    rows = f.filter("status = 'ok' AND shot_id <> ''").select("shot_id", "phash")
+    n = -(-rows.count() // (block_rows or BLOCK_ROWS))
+    own = F.pmod(F.xxhash64("shot_id"), F.lit(max(1, n)))
+    meets = F.transform(F.sequence(F.lit(0), F.lit(max(1, n) - 1)), lambda o: F.struct(F.least("_b", o).alias("i"), F.greatest("_b", o).alias("j")))
+    dealt = rows.filter("size(phash) > 0").withColumn("_b", own).withColumn("_m", F.explode(meets))
+
+    def work(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        x, y = cell[cell["_b"] == key[0]], cell[cell["_b"] == key[1]]
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="str")
+        a, b = _close_rows(x["phash"], y["phash"], least, bits)
+        return pd.DataFrame({"a": x["shot_id"].to_numpy()[a], "b": y["shot_id"].to_numpy()[b]})
+
+    met = dealt.select("shot_id", "phash", "_b", "_m.i", "_m.j").groupBy("i", "j").applyInPandas(work, "a string, b string")
+    return met.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def candidate_pairs(f: DataFrame) -> DataFrame:
-    """Pairs (a < b) that share a band of a frame, or the file hash.
+    """Pairs (a < b) with enough close frames by the first hash, or the same file hash.
 
     Rows of one file hash are linked as a star on the smallest, which loses no link.
     """
-    keys = _frames(f)
-    a, b = keys.alias("a"), keys.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("frame", "band", "bits")]
-    by_band = a.join(b, [*on, F.col("a.shot_id") < F.col("b.shot_id")]).select(
-        F.col("a.shot_id").alias("a"), F.col("b.shot_id").alias("b"), F.col("a.frame").alias("frame")
-    )
-    # A pair needs NEAR[0] close frames, so as many frames with a common band.
-    enough = by_band.distinct().groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min(K.NEAR[0], K.STRONG[0]))
+    enough = close_pairs(f, min(K.NEAR[0], K.STRONG[0]))
     sha = f.filter("status = 'ok' AND clip_sha256 <> ''").select("shot_id", "clip_sha256")
     first = sha.groupBy("clip_sha256").agg(F.min("shot_id").alias("a"))
     stars = sha.join(first, "clip_sha256").filter("shot_id > a").select("a", F.col("shot_id").alias("b"))
-    return enough.select("a", "b").unionByName(stars).distinct()
+    return enough.unionByName(stars).distinct()
 
 
 def pair_score(df: DataFrame) -> DataFrame:
@@ -166,6 +192,8 @@ def duplicate_groups(f: DataFrame, pairs: DataFrame) -> DataFrame:
     A group is strong if all its pairs are. Ids count up in the order of the smallest
     members, before groups are sorted for show.
     """
+    _ensure_checkpoint_dir(pairs.sparkSession)
+    pairs = pairs.checkpoint()  # read by the components and for their statuses
     comp = least_reachable(pairs)
     rows = f.join(comp, f["shot_id"] == comp["node"]).drop("node")
     strong = (
