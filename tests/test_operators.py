@@ -472,3 +472,13 @@ def test_allocation_of_runs():
     assert clips(r("a", 7.0), r("b", 9.0)) == ([("a", 0.0, 7.0, False)], 1.0)
     assert clips(r("a", 0.0), r("b", 4.0, inner_offset_s=1.0), budget=2.0) == ([("b", 1.0, 2.0, False)], 0.0)
     assert clips() == ([], 8.0)
+
+
+def test_nation_texts_join_last(spark, sf):
+    from tidemark.plans.record_queries import join_fallback_key
+
+    plan = join_fallback_key(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [line for line in plan if " Join " in line]
+    assert "c_nationkey" in joins[0] and "rightHint=(strategy=broadcast)" in joins[0]  # no shuffle carries a text for each order
+    gathered = [i for i, line in enumerate(plan) if "collect_list" in line and "none" in line]
+    assert not gathered  # children without a key are not one group

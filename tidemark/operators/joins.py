@@ -33,7 +33,8 @@ def nest_children(children: DataFrame, parent: str, order: list[str], name: str
 def with_children(df: DataFrame, children: DataFrame, key: str, child_key: str, ids: str, child_id: str, order: list[str]) -> DataFrame:
     """Children by an explicit list of ids if any of them resolves (in the list's order), else by parent key."""
     cols = children.columns
-    by_key = nest_children(children, child_key, order, "_by_key").withColumnRenamed(child_key, "_key")
+    # A null key meets none: its children, all of them perhaps, are not gathered.
+    by_key = nest_children(children.filter(F.col(child_key).isNotNull()), child_key, order, "_by_key").withColumnRenamed(child_key, "_key")
     listed = (
         df.select(key, F.posexplode(ids).alias("_pos", "_cid"))
         .join(children, F.col("_cid") == children[child_id])

@@ -281,11 +281,12 @@ def join_fallback_key(spark, d):
     o = o.select("o_orderkey", (F.col("o_orderkey") % 40).alias("nation"), ids.alias("ids"))
     kids = t(spark, d, "customer").select("c_custkey", "c_nationkey")
     mine = kids.select(F.lit(None).cast("bigint").alias("none"), "c_custkey")
-    listed = J.with_children(o.select("o_orderkey", "ids"), mine, "o_orderkey", "none", "ids", "c_custkey", ["c_custkey"])
-    nested = J.nest_children(kids, "c_nationkey", ["c_custkey"], "by_nation")
-    both = listed.join(o.select("o_orderkey", "nation"), "o_orderkey").join(nested, F.col("nation") == F.col("c_nationkey"), "left")
-    names = F.transform(F.coalesce("children", "by_nation"), lambda x: x["c_custkey"].cast("string"))
-    return both.select("o_orderkey", F.coalesce(_as_text(names), F.lit("")).alias("kids"))
+    names = lambda c: _as_text(F.transform(c, lambda x: x["c_custkey"].cast("string")))
+    listed = J.with_children(o, mine, "o_orderkey", "none", "ids", "c_custkey", ["c_custkey"]).select("o_orderkey", "nation", names("children").alias("own"))
+    # A row for each of the 25 nations, its text made once; joined last, so that no shuffle carries an order's copy of it.
+    nested = J.nest_children(kids.filter("c_nationkey IS NOT NULL"), "c_nationkey", ["c_custkey"]).select("c_nationkey", names("children").alias("all"))
+    both = listed.join(F.broadcast(nested), F.col("nation") == F.col("c_nationkey"), "left")
+    return both.select("o_orderkey", F.coalesce("own", "all", F.lit("")).alias("kids"))
 
 
 @query("SELECT event_id FROM events WHERE NOT (event_id % 10 = 3 OR user_id % 10 = 4)")
