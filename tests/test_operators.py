@@ -482,3 +482,14 @@ def test_nation_texts_join_last(spark, sf):
     assert "c_nationkey" in joins[0] and "rightHint=(strategy=broadcast)" in joins[0]  # no shuffle carries a text for each order
     gathered = [i for i, line in enumerate(plan) if "collect_list" in line and "none" in line]
     assert not gathered  # children without a key are not one group
+
+
+def test_tasks_follow_rows(spark):
+    from tidemark.operators import selection as S
+
+    rows = spark.range(1000)
+    assert S.parts_of(rows, 50) == 20 and S.parts_of(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts = spark.createDataFrame([(1, t, "part", str(k), 1 + k % 2) for t in range(30) for k in range(t % 7)], "b int, t int, kind string, key string, n long")
+    got = S.others(facts, "b", "t", 23)
+    assert got._jdf.queryExecution().executedPlan().toString().count(", 23)") >= 2
+    assert sorted(got.collect()) == sorted(S.others(facts, "b", "t").collect())

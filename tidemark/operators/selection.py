@@ -19,6 +19,9 @@ from ..functions.scoring import reuse_scale
 from .clips import MOST, MOST_STEPS, STEP_ROLES
 from .topk import top_k_per_key
 
+#: Rows that a task sorts or folds at a time where the number of tasks follows the rows.
+ROWS_A_TASK = 1_000_000
+
 #: A budget is filled when at most this much is left; a pick should have at least MIN_CLIP_S.
 DONE_S, MIN_CLIP_S, SHORT_S = 0.03, 2.5, 0.08
 #: Rows of sections that are filled in one call.
@@ -281,12 +284,23 @@ def replace_tasks(facts: DataFrame, new: DataFrame, batch: str, task: str) -> Da
     return facts.join(new.select(batch, task).distinct(), [batch, task], "left_anti").unionByName(new)
 
 
+def parts_of(rows: DataFrame, rows_a_task: int = ROWS_A_TASK) -> int:
+    """Tasks for rows of a table, so that what a task holds does not grow with the table."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, -(-rows.count() // rows_a_task))
+
+
 def totals(facts: DataFrame, batch: str) -> DataFrame:
     return facts.groupBy(batch, "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def others(facts: DataFrame, batch: str, task: str) -> DataFrame:
-    """For every task the counts of all other tasks of its batch, for the keys that it uses."""
+def others(facts: DataFrame, batch: str, task: str, parts: int | None = None) -> DataFrame:
+    """For every task the counts of all other tasks of its batch, for the keys that it uses.
+
+    With ``parts`` facts are dealt to as many tasks, for the totals and the join at once.
+    """
+    if parts:
+        facts = facts.repartition(parts, batch, "kind", "key")
     whole = totals(facts, batch).withColumnRenamed("n", "_all")
     return facts.join(whole, [batch, "kind", "key"]).select(batch, task, "kind", "key", (F.col("_all") - F.col("n")).alias("n_others"))
 

@@ -659,9 +659,11 @@ def incr_upsert(spark, d):
     WITH f AS (SELECT year(o_orderdate) AS batch, l_orderkey AS task, l_partkey AS key, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
     SELECT batch::BIGINT AS batch, task, key::VARCHAR AS key, (sum(n) OVER (PARTITION BY batch, key) - n)::BIGINT AS n_others FROM f""")
 def state_leave_one_out(spark, d):
+    l = t(spark, d, "lineitem").select("l_orderkey", "l_partkey")  # noqa: E741
+    parts = S.parts_of(l)
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), long(F.year("o_orderdate")).alias("batch"))
-    picks = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(o, "l_orderkey").withColumnRenamed("l_orderkey", "task")
-    return S.others(S.usage_facts(picks, "batch", "task", part="l_partkey"), "batch", "task").select("batch", "task", "key", "n_others")
+    picks = l.repartition(parts, "l_orderkey").join(o.repartition(parts, "l_orderkey"), "l_orderkey").withColumnRenamed("l_orderkey", "task")
+    return S.others(S.usage_facts(picks, "batch", "task", part="l_partkey"), "batch", "task", parts).select("batch", "task", "key", "n_others")
 
 
 @query()
