@@ -697,6 +697,24 @@ def test_plans_are_optimal():
         assert done and sum(t for _, t in plan) == fewest(items, 100) >= packing.lower_bound(Counter(items), 100)
 
 
+def test_packing_search_holds_one_state():
+    """The pipeline's packing: what the search keeps for each step doesn't hold all lengths and counts again."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x = np.clip(rng.lognormal(6.9, 1.0, 400_000), 2, 2047).astype(int)
+    counts = dict(zip(*[a.tolist() for a in np.unique(x, return_counts=True)], strict=True))
+    tracemalloc.start()
+    plan, _ = packing.best_plan(counts, nodes=60_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    used = Counter()
+    for filling, times in plan:
+        for length in filling:
+            used[length] += times
+    assert used == counts and peak < 80e6
+
+
 # Graphs and the pipeline
 
 

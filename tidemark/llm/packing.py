@@ -18,6 +18,7 @@ plan.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -73,7 +74,7 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return [(f, b) for groups in open_bins.values() for f, b in groups]
 
 
-def dominated(filling: dict[int, int], counts: dict[int, int], waste: int, lengths: list[int]) -> bool:
+def dominated(filling: dict[int, int], counts: dict[int, int], waste: int, lengths: array) -> bool:
     """Whether a piece that is left could replace some of the filling's (or none) that are together no larger."""
 
     def sums(without: int = 0) -> int:
@@ -98,14 +99,14 @@ def dominated(filling: dict[int, int], counts: dict[int, int], waste: int, lengt
     return False
 
 
-def fillings(counts: dict[int, int], lengths: list[int], space: int, slack: int, tick: Callable[[], None]) -> Iterator[dict[int, int]]:
+def fillings(counts: dict[int, int], lengths: array, space: int, slack: int, tick: Callable[[], None]) -> Iterator[dict[int, int]]:
     """All undominated ways to fill a space with a waste of at most ``slack``: perfect ones, then others.
 
     lengths are those with pieces left, in descending order; larger pieces are tried
     first. Each step goes to the next length and takes some number of its pieces.
     """
     ascending = lengths[::-1]
-    behind = [0]
+    behind = array("q", [0])
     for x in ascending:
         behind.append(behind[-1] + x * counts[x])
     for low, high in ((0, 0), (1, slack)):
@@ -147,14 +148,17 @@ def best_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | Non
         if steps < 0:
             raise _Spent
 
-    def options(left, plan, bins, waste):
+    #: What is left in the state at the top of the stack: a step takes its pieces out and puts them back.
+    left = dict(counts)
+
+    def options(plan, bins, waste):
         """States that one filling more leads to."""
         nonlocal best, best_bins
-        if not left:
+        lengths = array("i", sorted((k for k, n in left.items() if n), reverse=True))
+        if not lengths:
             if bins < best_bins:
                 best_bins, best = bins, _unlinked(plan)
             return
-        lengths = sorted(left, reverse=True)
         top = lengths[0]
         left[top] -= 1  # the bin's first piece
         lengths = lengths if left[top] else lengths[1:]
@@ -168,10 +172,14 @@ def best_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | Non
                 tick()
                 spoiled = waste + times * empty
                 if spoiled <= (best_bins - 1) * capacity - total:
-                    after = {k: n + (k == top) - need.get(k, 0) * times for k, n in left.items()}
-                    yield {k: n for k, n in after.items() if n}, (plan, filling, times), bins + times, spoiled
-
-    stack = [options(dict(counts), None, 0, 0)] if best_bins > bound else []
+                    for k, n in need.items():
+                        left[k] += (k == top) - n * times
+                    yield (plan, filling, times), bins + times, spoiled
+                    for k, n in need.items():
+                        left[k] -= (k == top) - n * times
+        left[top] += 1
+
+    stack = [options(None, 0, 0)] if best_bins > bound else []
     try:
         while stack and best_bins > bound:
             after = next(stack[-1], None)
