@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .near import _close, _levels, _sets
 from .shared import SALTS, materialize, ship, with_group
+from .simhash import candidates
 
 SHINGLE = 3
 SIMILARITY = 0.9
@@ -209,14 +210,33 @@ def _crowds(members: DataFrame, p: int, q: int, most: int) -> tuple[list[DataFra
         members = again.join(sets, ["g", "k"]).dropDuplicates(["g", "k"])
 
 
-def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD, different: int = DIFFERENT) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are linked."""
+    a = sets.select(F.col("k").alias("a"), F.col("set").alias("s"))
+    b = sets.select(F.col("k").alias("b"), F.col("set").alias("t"))
+    both = F.size(F.array_intersect("s", "t")).cast("long")
+    return pairs.distinct().join(a, "a").join(b, "b").filter((p + q) * both >= p * (F.size("s") + F.size("t")).cast("long")).select("a", "b")
+
+
+def _unknown(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of the pairs that the links in ``known`` don't connect already."""
+    roots = materialize(components(known), "jaccard-known")
+    for s in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(s), F.col("root").alias(s + "r")), s, "left")
+    return pairs.filter("ar IS NULL OR br IS NULL OR ar <> br").select("a", "b")
+
+
+def jaccard_groups(
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD, different: int = DIFFERENT, prints: DataFrame | None = None
+) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set has its distinct word shingles, A-Z in lower case; fewer words are one
     shingle, null and wordless texts have an empty set and are linked with nothing. Two
     documents are linked if their sets' similarity is at least ``similarity``; component_id
     is the smallest doc_id that links reach, the document's own included. ``crowd`` and
-    ``different`` say how links are found, never which. Rows with a null doc_id belong to
+    ``different`` say how links are found, never which. With ``prints`` (doc_id, fp), pairs of
+    close SimHash fingerprints are compared first, and what they link is not compared again. Rows with a null doc_id belong to
     components but name none, unless all their members have none. Repeated rows come back as
     often as they stand; empty tables give no rows; other columns are ignored.
     """
@@ -224,12 +244,12 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     ship(spark)
     p, q = Fraction(str(similarity)).as_integer_ratio()
     levels = spark.sparkContext.broadcast(_levels(docs, shingle))  # bounded by the number of cells
-    prints = _sets(docs, shingle, levels, p, q).withColumn("sig2", F.xxhash64("bits"))
-    prints = materialize(prints.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("short")), "jaccard-prefixes")
+    docs_sets = _sets(docs, shingle, levels, p, q).withColumn("sig2", F.xxhash64("bits"))
+    docs_sets = materialize(docs_sets.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("short")), "jaccard-prefixes")
     # A row for each set: parts of its documents first, so that no task gets all of a hot one's.
-    parts = materialize(prints.groupBy(*KEY, "part").agg(F.min("doc_id").alias("first_id")), "jaccard-parts-of-sets")
+    parts = materialize(docs_sets.groupBy(*KEY, "part").agg(F.min("doc_id").alias("first_id")), "jaccard-parts-of-sets")
     firsts = parts.groupBy(*KEY).agg(F.min("first_id").alias("first_id"))
-    whole = prints.filter("n > 0").groupBy(*KEY).agg(F.any_value("bits").alias("bits"), F.any_value("set").alias("prefix"))
+    whole = docs_sets.filter("n > 0").groupBy(*KEY).agg(F.any_value("bits").alias("bits"), F.any_value("set").alias("prefix"))
     nodes = materialize(whole.join(firsts, KEY).withColumn("k", F.monotonically_increasing_id()), "jaccard-nodes")
     rows = nodes.select("k", "n", F.posexplode("prefix").alias("at", "token"))
     lists = materialize(rows.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "jaccard-lists")
@@ -237,7 +257,14 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     pairs = [materialize(_close(pairs, nodes, p, q), "jaccard-close")]
     hot = materialize(rows.select("token", "k", "n").join(lists.filter(F.col("size") > crowd).select("token"), "token"), "jaccard-hot")
     # The whole sets of what is still in question, rare shingles first.
-    met = hot.select("k").unionByName(pairs[0].select(F.col("a").alias("k"))).unionByName(pairs[0].select(F.col("b").alias("k"))).distinct()
+    near = []
+    if prints is not None:
+        of = nodes.select("k", "first_id").join(prints, F.col("first_id") == F.col("doc_id")).select("k", "fp")
+        near = [materialize(_close(candidates(of), nodes, p, q), "jaccard-near")]
+    met = hot.select("k")
+    for x in pairs + near:
+        met = met.unionByName(x.select(F.col("a").alias("k"))).unionByName(x.select(F.col("b").alias("k")))
+    met = met.distinct()
     met = materialize(nodes.select(*KEY, "first_id", "k").join(met, "k"), "jaccard-met")
     ids = met.select(F.col("first_id").alias("m_id")).distinct()
     some = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["m_id"]), "left_semi")
@@ -252,10 +279,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     ask = pairs[0]
     for x in pairs[1:]:
         ask = ask.unionByName(x)
-    a = sets.select(F.col("k").alias("a"), F.col("set").alias("s"))
-    b = sets.select(F.col("k").alias("b"), F.col("set").alias("t"))
-    both = F.size(F.array_intersect("s", "t")).cast("long")
-    linked = ask.distinct().join(a, "a").join(b, "b").filter((p + q) * both >= p * (F.size("s") + F.size("t")).cast("long")).select("a", "b")
+    if near:
+        links.append(materialize(_alike(near[0], sets, p, q), "jaccard-near-links"))
+        ask = _unknown(ask, links[-1])
+    linked = _alike(ask, sets, p, q)
     for x in links:
         linked = linked.unionByName(x)
     joined = components(linked)
@@ -263,12 +290,12 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     named = materialize(named.drop("node"), "jaccard-roots")
     of_set = with_group(named, ["root"], F.col("k"), component_id="first_id").select(*KEY, "component_id")
     of_part = parts.select(*KEY, "part").join(of_set, KEY)
-    with_set = prints.filter("n > 0").select("doc_id", *KEY, "part").join(of_part, [*KEY, "part"])
-    without = prints.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    with_set = docs_sets.filter("n > 0").select("doc_id", *KEY, "part").join(of_part, [*KEY, "part"])
+    without = docs_sets.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_set.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(without)
 
 
-def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **how: int) -> DataFrame:
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, **how) -> DataFrame:
     """The documents that stay when near copies go, with their own columns: of each group of jaccard_groups() the smallest id.
 
     Groups are what links connect, so a chain of copies is one group. Null and wordless

@@ -151,13 +151,29 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def candidates(prints: DataFrame) -> DataFrame:
+    """Pairs (a < b) of the ids k of rows (k, fp) that fingerprints link, directly or through others.
+
+    Rows with one fingerprint are paired with the smallest of them, and those smallest ones
+    as links() says.
+    """
+    grouped = materialize(with_group(prints, ["fp"], F.col("k"), first="k"), "simhash-firsts")
+    same = grouped.filter("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"))
+    firsts = grouped.filter("k = first").select("fp", "k")
+    apart = links(firsts.select("fp"))
+    for s in "ab":
+        apart = apart.join(firsts.select(F.col("fp").alias(s), F.col("k").alias(s + "k")), s)
+    apart = apart.select(F.least("ak", "bk").alias("a"), F.greatest("ak", "bk").alias("b"))
+    return same.unionByName(apart).distinct()
+
+
 def drop_near(docs: DataFrame) -> DataFrame:
     """The documents that stay when near copies go; see jaccard_join.drop_similar().
 
-    Fingerprints are not asked here: 2 bits are the contract of simhash_groups(), and
-    texts with a similarity of 0.8 are mostly further apart than any radius that tables
-    of masks can cover.
+    Fingerprints within 2 bits name the pairs that are compared first, text against text.
+    They see close copies only: texts with a similarity of 0.8 are mostly further apart than
+    any radius that tables of masks can cover. So the join finds what links they leave.
     """
     from .jaccard_join import drop_similar
 
-    return drop_similar(docs)
+    return drop_similar(docs, prints=materialize(fingerprints(docs), "simhash"))
