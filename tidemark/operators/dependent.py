@@ -29,6 +29,9 @@ LISTS, PROBE = 256, 2
 #: Rows of a list that meet a query's row in one task; larger lists are split.
 LIST_ROWS = 1 << 14
 _SLACK = 1e-9
+#: Rows whose angles a task has at a time, and rows of promises in a batch: memory doesn't follow the batches that come in.
+AT_ONCE = 1 << 9
+PROMISES = 1 << 14
 
 
 def _unit(values) -> np.ndarray | None:
@@ -58,7 +61,7 @@ class Lists:
         pivots, channels, row = self.pivots, self.channels, self.row
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in (x.iloc[at : at + AT_ONCE] for x in batches for at in range(0, len(x), AT_ONCE)):
                 out: dict[str, list] = {"_row": [], "list": [], **{f"a{i}": [] for i in range(len(channels))}, **{f"has{i}": [] for i in range(len(channels))}}
                 every = np.full((len(channels), len(b), len(pivots)), np.nan)
                 has = np.zeros((len(channels), len(b)), bool)
@@ -135,8 +138,14 @@ def dependent_top_k(
 
     def promised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(key, i, best, parts[i]) for key, q, w in zip(b["_query"], b["_q"], b["_w"], strict=True) for i, best in of.promise(q, w)]
-            yield pd.DataFrame(out, columns=["_query", "list", "best", "parts"])
+            out = []
+            for key, q, w in zip(b["_query"], b["_q"], b["_w"], strict=True):
+                out += [(key, i, best, parts[i]) for i, best in of.promise(q, w)]
+                if len(out) >= PROMISES:
+                    yield pd.DataFrame(out, columns=["_query", "list", "best", "parts"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["_query", "list", "best", "parts"])
 
     asked = queries.select(F.col(query).alias("_query"), F.col(vector).cast("array<double>").alias("_q"), F.col(weights).cast("map<string,double>").alias("_w"))
     bounds = asked.mapInPandas(promised, f"_query {kind}, list int, best double, parts int")
