@@ -21,6 +21,8 @@ from .dedupe import _ensure_checkpoint_dir
 
 #: Terms that a task keeps.
 KEPT = 1 << 18
+#: Candidates that every task gets; where there are more, the join is left to Spark.
+SENT = 1 << 16
 
 
 def _counts(df: DataFrame, terms: Column, kept: int) -> DataFrame:
@@ -61,7 +63,9 @@ def frequent_terms(df: DataFrame, terms: Column, most: int, kept: int = KEPT) ->
             return best
         floor, n = best.agg(F.min("df"), F.count("*")).first()
         if n == most and floor > missed:
-            may = totals.filter(F.col("term").isNotNull() & (F.col("df") + missed >= floor)).select("term")
+            may = totals.filter(F.col("term").isNotNull() & (F.col("df") + missed >= floor)).select("term").checkpoint()
+            # Beside the few candidates no task has to shuffle, or hold, what its records' terms are.
+            may = F.broadcast(may) if may.count() <= SENT else may
             rows = df.select(F.explode(F.array_distinct(terms)).alias("term"))
             again = rows.join(may, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
             return again.orderBy(F.desc("df"), "term").limit(most)
