@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.captions import caption_lines
 from ..functions.text import caption_text, speech_units
+from ..operators.dedupe import _ensure_checkpoint_dir
 from ..operators.intervals import monotonic, proportional_axis
 
 
@@ -84,7 +85,11 @@ def aligned_sections(sections: DataFrame, items: DataFrame, key: str = "task_id"
 
 
 def captions(sections: DataFrame, key: str = "task_id", section: str = "section_id", order: str = "timeline_order") -> DataFrame:
-    """Caption rows of timed sections: lines of bounded width, times in proportion, in order without overlap."""
+    """Caption rows of timed sections: lines of bounded width, times in proportion, in order without overlap.
+
+    The repair of times reads the rows several times, so they are laid out once and written
+    to the folder of ``spark.checkpoint.dir``.
+    """
     rows = sections.select(key, section, order, F.col("start_s").alias("_a"), F.col("end_s").alias("_b"), F.posexplode(caption_lines("voice_text")).alias("_i", "text"))
     w = Window.partitionBy(key, section).orderBy("_i")
     units = speech_units("text")
@@ -98,5 +103,7 @@ def captions(sections: DataFrame, key: str = "task_id", section: str = "section_
             "caption_order": F.row_number().over(Window.partitionBy(key).orderBy(order, "_i")),
         }
     )
+    _ensure_checkpoint_dir(sections.sparkSession)
+    rows = rows.select(key, section, "text", "start_s", "end_s", "caption_order").checkpoint()
     out = monotonic(rows, [key], ["caption_order"])
     return out.select(key, section, "caption_order", caption_text("text").alias("text"), "start_s", "end_s", "adjusted")
