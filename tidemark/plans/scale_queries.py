@@ -16,6 +16,7 @@ from ..functions.constants import DEFAULT_WEIGHTS, ROLE_WEIGHTS
 from ..functions.vectors import weight_map
 from ..operators import aggregates as A
 from ..operators import intervals as I
+from ..operators import joins as J
 from ..operators import selection as S
 from ..operators import sketches as Z
 from ..operators import terms as Y
@@ -154,7 +155,7 @@ def _pick(key, *at: str):
 
 
 def _contracts(spark, d):
-    p = t(spark, d, "part")
+    p = t(spark, d, "part").select("p_partkey").repartition("p_partkey")  # a small file would make all contracts in one task
     a, b, v, w = _pick("p_partkey", "({} * 7)", "(({} * 11) div 6)", "(({} * 5) div 3)", "({} div 4)")
     voice = F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(v, w))
     s = p.select(F.col("p_partkey").alias("section_id"), F.get(F.array(*[F.lit(r) for r in _ROLES]), (F.col("p_partkey") % 6).cast("int")).alias("role"), a.alias("a"), b.alias("b"), voice.alias("voice"))
@@ -187,7 +188,7 @@ def theme_contracts(spark, d):
 def theme_verdicts(spark, d):
     pairs = t(spark, d, "lineitem").select(F.col("l_partkey").alias("section_id"), F.col("l_suppkey").alias("cand_id")).distinct()
     a, b = _pick("", "(cand_id * 3)", "(((cand_id + section_id) * 13) div 5)")
-    rows = pairs.join(_contracts(spark, d), "section_id").withColumn("v", T.contract_verdict(F.concat_ws(" ", a, b), F.col("c")))
+    rows = J.verdicts(pairs.withColumn("text", F.concat_ws(" ", a, b)), _contracts(spark, d), "section_id", "text", "c").withColumnRenamed("verdict", "v")
     return rows.select("section_id", "cand_id", F.array_join("v.missing", ",").alias("missing"), F.array_join("v.forbidden", ",").alias("forbidden"), "v.theme_ok", "v.admitted", "v.top_up")
 
 
