@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -754,6 +756,27 @@ def test_components(spark):
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
 
 
+def test_release_gives_freed_native_memory_back(spark):
+    """The driver's limit counts what its C library keeps of freed memory, which grew from plan to plan."""
+    from tidemark.llm.shared import release
+
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident() -> int:
+        return int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) >> 10
+
+    for _ in range(2):
+        jvm.System.gc()
+    held = [jvm.java.util.zip.Deflater() for _ in range(1200)]  # each takes over 128 KB outside of the heap
+    full = resident()
+    for x in held[:-1]:
+        x.end()
+    freed = resident()
+    release(spark)
+    assert full - resident() > 80, (full, freed, resident())
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as P
 

@@ -7,6 +7,7 @@ session without that setting (tests on one machine) gets a temporary folder here
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -15,6 +16,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,14 +88,31 @@ def release(spark: SparkSession) -> None:
     """Let go of what finished steps hold.
 
     Spark deletes their shuffle files and broadcasts only once the driver's JVM has
-    collected the owners, which it may put off until its heap has grown to the limit.
+    collected the owners, which it may put off until its heap has grown to the limit. What
+    its C library keeps of freed memory (compilers and codecs take and free some with each
+    plan) goes back to the system as well, where the JVM can do that.
     """
     gc.collect()
     pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
+    _trim(spark)
 
 
-def ease(spark: SparkSession, every: int = 3) -> None:
+def _trim(spark: SparkSession) -> None:
+    """Let the driver's C library give freed memory back, through the JVM's management beans (JDK 17.0.9 and later, on Linux)."""
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    args = gateway.new_array(jvm.Object, 4)  # the bean, its operation, no values, no types
+    args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    args[1] = "systemTrimNativeHeap"
+    # Called through the interface: the class of the server itself is closed to other modules.
+    methods = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()
+    invoke = next(m for m in methods if m.getName() == "invoke")
+    with contextlib.suppress(Py4JJavaError):  # a JVM without that operation
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
+def ease(spark: SparkSession, every: int = 1) -> None:
     """release() now and after each ``every``-th step that is written from here on; 0 for no more.
 
     For a session that goes through many steps: between two releases its driver's heap grows
