@@ -236,6 +236,25 @@ def test_encoder_equals_library(docs):
         tokens.MEMO = old
 
 
+def test_encoder_memo_is_small_and_ids_stay(monkeypatch):
+    """Line ends begin chunks as spaces do, long chunks aren't kept, and one text can't outgrow the memo."""
+    rng = random.Random(7)
+    fresh = Tokenizer.from_file(tokens.default_path())
+    same = lambda e, t: [x.tolist() for x in e.encode(t)] == [x.ids for x in fresh.encode_batch_fast(t, add_special_tokens=False)]
+    words = ["".join(rng.choice("abcdeé") for _ in range(6)) for _ in range(40)]
+    lines = ["\n".join(rng.sample(words, 40)) + "." for _ in range(60)]
+    e = tokens.Encoder(tokens.default_path())
+    assert same(e, [*lines, "a " + "日本" * 500])
+    assert len(e.memo) <= 3 * len(words) and max(map(len, e.memo)) <= tokens.LONGEST
+    units = [" ", "  ", "\n", "\n\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u2028", "ab", "é", "ǅ", "9", "_", "'", "'s", ",.", "***", "日本"]
+    odd = ["".join(rng.choice(units) for _ in range(25)) for _ in range(2000)]
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    monkeypatch.setattr(tokens, "STRETCH", 10)
+    e = tokens.Encoder(tokens.default_path())
+    assert same(e, [*odd, " ".join(f"{w}{v}" for w in words for v in words)])
+    assert len(e.memo) <= 50 + 2 * 10
+
+
 def ids_of(texts):
     """By the library itself."""
     fresh = Tokenizer.from_file(tokens.default_path())

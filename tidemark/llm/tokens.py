@@ -1,27 +1,39 @@
 """Token ids of whole texts by a public tokenizer of the ``tokenizers`` library.
 
-In the pattern that byte-level BPE splits text with, a space before a character that is
-no white space always begins a new piece. So the chunks between such spaces are encoded
-on their own and kept in a bounded memo. A chunk that it lacks is cut into the pattern's
-pieces, and each piece goes to the library's merges. A string that the file adds as a
-token (an end marker, say) has that token's id wherever it stands, as the library does by
-default, and splits the text around it. Ids are the same as those of the whole text.
+In the pattern that byte-level BPE splits text with, a space or line end before a
+character that is no white space always begins a new piece. So the chunks that begin there
+are encoded on their own, and the short ones are kept in a bounded memo. A chunk that it
+lacks is cut into the pattern's pieces, and each piece goes to the library's merges; letters
+before other ASCII characters are a piece without asking the pattern. A string that the
+file adds as a token (an end marker, say) has that token's id wherever it stands, as the
+library does by default, and splits the text around it. Ids are the same as those of the
+whole text.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from array import array
+from itertools import islice
 
 import numpy as np
 
 END = 0
 MODEL = "byte_bpe_50k.json"
-#: Chunks in one generation of the memo; what an older one has moves up when it is used.
+#: Chunks in the memo. When it has so many, those stay that came up since it had RECENT of them.
 MEMO = 300_000
-_SPLIT = re.compile(r" (?=\S)")
-#: White space after a space, or the text's end: only then do splits at " " and _SPLIT differ.
-_ODD = re.compile(r" (?:\s|\Z)")
+RECENT = 0.8
+#: Code points of the longest chunk that is kept: a text without spaces is one chunk.
+LONGEST = 64
+#: Short pieces and ends of chunks that are kept.
+SHORT = 20_000
+#: Chunks between two looks at the memo's size.
+STRETCH = 20_000
+#: Before a chunk; a space goes, a line end stays in front of its chunk.
+_SPLIT = re.compile(r" (?=\S)|(?=\n\S)")
+#: White space after a space or line end, or the text's end: only then do other splits than _SPLIT differ.
+_ODD = re.compile(r"[ \n](?:\s|\Z)")
 _made: dict[str, "Encoder"] = {}
 
 
@@ -41,15 +53,14 @@ def encoder(path: str) -> "Encoder":
 class _Memo(dict):
     """Ids of chunks by chunk; asks for what it lacks."""
 
-    def __init__(self, learn, old: dict):
-        super().__init__()
-        self.learn, self.old = learn, old
+    def __init__(self, learn, held: dict):
+        super().__init__(held)
+        self.learn = learn
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = self.learn(chunk)
-        self[chunk] = ids
+        ids = self.learn(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
         return ids
 
 
@@ -80,41 +91,59 @@ class Encoder:
         self.space = chr(self.shown[32])
         self.short: dict[str, bytes] = {}
         self.memo = _Memo(self._learn, {})
+        self.recent: set[str] = set()
 
-    def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
-            shown = self.space + piece[1:]
-        else:
-            shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+    def _merged(self, shown: str) -> bytes:
         return array(self.code, [t.id for t in self.merge(shown)]).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        return self._merged(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown))
+
     def _pieces(self, text: str) -> bytes:
-        out, short = [], self.short
+        out = []
         for p in self.cut(text):
             if len(p) > 2:
                 out.append(self._piece(p))
-                continue
-            ids = short.get(p)
-            if ids is None:
-                ids = short[p] = self._piece(p)
-                if len(short) > 100_000:
-                    short.clear()
-            out.append(ids)
+            else:
+                out.append(self.short.get(p) or self._kept(p, self._piece(p)))
         return b"".join(out)
 
+    def _kept(self, piece: str, ids: bytes) -> bytes:
+        if len(self.short) >= SHORT:
+            self.short.clear()
+        self.short[piece] = ids
+        return ids
+
     def _learn(self, chunk: str) -> bytes:
-        """The ids of a chunk after its space."""
+        """The ids of a chunk after its space, or with its line end."""
         if chunk.isalpha():
-            return self._piece(" " + chunk)
-        if chunk[-1] in ",." and chunk[:-1].isalpha():
-            return self.memo[chunk[:-1]] + self._pieces(chunk[-1])
-        return self._pieces(" " + chunk)
+            return self._merged(self.space + chunk) if chunk.isascii() else self._piece(" " + chunk)
+        head = chunk.rstrip(string.punctuation)
+        if len(head) < len(chunk) <= LONGEST and (head.isalpha() or head[:1] == "\n" and head[1:].isalpha()):
+            tail = chunk[len(head) :]
+            return self.memo[head] + (self.short.get(tail) or self._kept(tail, self._pieces(tail)))
+        if chunk[0] != "\n":
+            return self._pieces(" " + chunk)
+        return self._pieces("\n") + self._piece(chunk[1:]) if chunk[1:].isalpha() else self._pieces(chunk)
 
     def _plain(self, text: str) -> bytes:
         """The ids of a text without added tokens."""
-        parts = _SPLIT.split(text) if _ODD.search(text) else text.split(" ")
-        first = self._pieces(parts[0]) if parts[0] else b""
-        return first + b"".join(map(self.memo.__getitem__, parts[1:]))
+        parts = _SPLIT.split(text) if _ODD.search(text) else text.replace("\n", " \n").split(" ")
+        out = [self._pieces(parts[0])]
+        for at in range(1, len(parts), STRETCH):
+            part = parts[at : at + STRETCH]
+            out.append(b"".join(map(self.memo.__getitem__, part)))
+            if len(self.memo) > MEMO * RECENT:
+                self.recent.update(part)
+                if len(self.memo) > MEMO:
+                    self._forget()
+        return b"".join(out)
+
+    def _forget(self) -> None:
+        """Keep what came up lately, at most half of the memo."""
+        memo = self.memo
+        self.memo = _Memo(self._learn, {c: memo[c] for c in islice(self.recent, MEMO // 2) if c in memo})
+        self.recent = set()
 
     def _marked(self, text: str) -> bytes:
         """The ids of a text with added tokens in it."""
@@ -134,7 +163,4 @@ class Encoder:
         for t in texts:
             ids = self._marked(t) if any(c in t for c in self.added) else self._plain(t)
             out.append(np.frombuffer(ids, dtype=self.dtype))
-            if len(self.memo) > MEMO:
-                self.memo.old = None
-                self.memo = _Memo(self._learn, self.memo)
         return out
