@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import chat, exact_dedup, html_extract, html_labelled, html_tree, mixing, packing, quality_rules, queries, repeats, run_index, simhash, token_files, tokens, toxicity
+from tidemark.llm import chat, exact_dedup, html_extract, html_labelled, html_tree, mixing, packing, quality_rules, queries, repeats, run_index, shared, simhash, token_files, tokens, toxicity
 from tidemark.llm.graph import components
 
 WS = " \t\n\x0b\x0c\r"
@@ -775,6 +776,24 @@ def test_components(spark):
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
 
 
+def test_eased_session_hands_few_texts_over_at_once(spark):
+    """An executor's memory followed 10,000 whole texts a core, in the JVM and in Python, and stayed with both."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(0, 3000, 1, 1).withColumn("text", F.repeat(F.lit("text "), 2000))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "n"])
+
+    try:
+        shared.ease(spark, 0)
+        got = rows.mapInArrow(sizes, "size long, n long").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 2 * shared.BATCH_BYTES
+
+
 def test_release_gives_freed_native_memory_back(spark):
     """The driver's limit counts what its C library keeps of freed memory, which grew from plan to plan."""
     from tidemark.llm.shared import release

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files, tokens
-from .shared import materialize, ship
+from .shared import materialize, ship, worker_release
 
 CAPACITY = 2048
 #: Steps of the whole search, over all fillings and plans, before the best so far is taken.
@@ -236,6 +236,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
         encoder = tokens.encoder(tokenizer)
         task, _ = files.attempt()
         seen: Counter = Counter()

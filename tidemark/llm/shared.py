@@ -8,6 +8,7 @@ session without that setting (tests on one machine) gets a temporary folder here
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -26,6 +27,10 @@ WS = r"[\x20\x09-\x0D]"
 #: Parts that a group of any size is split into.
 SALTS = 64
 
+#: Bytes of an Arrow batch in a session that goes through many steps. Spark's own limit lets 10,000 whole
+#: texts into one, which both an executor's JVM and its Python worker hold for each core.
+BATCH_BYTES = 4 << 20
+
 _shipped: set[str] = set()
 _kept: set[str] = set()
 _steps = {"every": 0, "n": 0}
@@ -116,12 +121,23 @@ def ease(spark: SparkSession, every: int = 1) -> None:
     """release() now and after each ``every``-th step that is written from here on; 0 for no more.
 
     For a session that goes through many steps: between two releases its driver's heap grows
-    by what the steps' plans left, up to its limit, whatever of it is still in use.
+    by what the steps' plans left, up to its limit, whatever of it is still in use. Its
+    executors keep the largest buffers that a step took, so Arrow batches have at most
+    BATCH_BYTES (and a row) from here on.
     """
     release(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     _steps["every"], _steps["n"] = every, 0
 
 
+def worker_release() -> None:
+    """In a task: give back what this Python worker keeps of earlier tasks, which may have been other stages'."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_group(df: DataFrame, by: list[str], unit: Column, counted: str | None = None, **least: str) -> DataFrame:
     """Each row with its group's values: the minimum of a column by name, and how many rows.
 
