@@ -22,7 +22,7 @@ import numpy as np
 END = 0
 MODEL = "byte_bpe_50k.json"
 #: Chunks in the memo. When it has so many, those stay that came up since it had RECENT of them.
-MEMO = 300_000
+MEMO = 150_000
 RECENT = 0.8
 #: Code points of the longest chunk that is kept: a text without spaces is one chunk.
 LONGEST = 64
