@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exact_dedup import repeats_ids
 from .graph import components
 from .shared import SALTS, materialize, ship, with_group
 
@@ -167,13 +168,28 @@ def candidates(prints: DataFrame) -> DataFrame:
     return same.unionByName(apart).distinct()
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, a number of its own for each row in the order of (id, text) with null ids last; text; row, the whole of it.
+
+    Splitters of the sort have a fixed width, and the hash of the text lets them fall inside a hot id.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = [F.col("doc_id").cast("long").asc_nulls_last(), F.sha2(F.col("text").cast("string"), 256)] + ([F.xxhash64(*rest)] if rest else [])
+    rows = docs.orderBy(*order).select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return materialize(rows, "simhash-rows").select("doc_id", F.col("row.text").alias("text"), "row")
+
+
 def drop_near(docs: DataFrame) -> DataFrame:
     """The documents that stay when near copies go; see jaccard_join.drop_similar().
 
     Fingerprints within 2 bits name the pairs that are compared first, text against text.
     They see close copies only: texts with a similarity of 0.8 are mostly further apart than
     any radius that tables of masks can cover. So the join finds what links they leave.
+    Where rows share an id, or several have none, each row is judged on its own: of a group
+    the smallest id stays (null last), and of its rows the first in the order of the texts' hashes.
     """
     from .jaccard_join import drop_similar
 
-    return drop_similar(docs, prints=materialize(fingerprints(docs), "simhash"))
+    rows = _numbered(docs) if repeats_ids(docs) else docs
+    kept = drop_similar(rows, prints=materialize(fingerprints(rows), "simhash"))
+    return kept if rows is docs else kept.select("row.*")
