@@ -5,7 +5,7 @@ at most BITS bits of its first hash. Keys for so wide a radius are so short that
 share one, so rows are dealt to blocks and each pair of blocks is compared in one task, by
 bits, in bounded memory. All pairs are returned, so a group of m copies gives m (m - 1) / 2
 of them; equal file hashes alone give a star. For large groups of copies fold equal hash
-lists first.
+lists first. Groups need no more than linking_pairs().
 """
 
 from __future__ import annotations
@@ -22,6 +22,12 @@ from ..session import ship
 #: Most differing bits of a close frame.
 BITS = max(p for p, _ in K.CLOSE_FRAMES)
 
+#: Close frames without which no pair is a duplicate.
+ENOUGH = min(K.NEAR[0], K.STRONG[0])
+
+#: Partners of a row that a first look takes from a block.
+PARTNERS = 3
+
 #: Rows of a block, and rows of one block that are compared with the other at a time.
 BLOCK_ROWS, STRIP_ROWS = 8192, 64
 
@@ -36,52 +42,94 @@ def bands(value: Column, n: int = BITS + 1, width: int = 64) -> Column:
     return F.array(*parts)
 
 
-def _close_rows(x: pd.Series, y: pd.Series, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of hash lists that are within ``bits`` in ``least`` frames or more."""
-    n = min(x.map(len).max(), y.map(len).max())
+def _close_rows(x: pd.DataFrame, y: pd.DataFrame, least: int, bits: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of rows of two ids that are within ``bits`` in ``least`` frames or more; of each row of x the ``most`` closest, if given."""
+    names = pd.factorize(pd.concat([x["shot_id"], y["shot_id"]]))[0]
+    own, others = names[: len(x)], names[len(x) :]
+    n = min(x["phash"].map(len).max(), y["phash"].map(len).max())
     frames = lambda s, i: pd.Series([v[i] if len(v) > i else None for v in s], dtype="Int64")
-    sides = [[(f.fillna(0).to_numpy("int64"), f.notna().to_numpy()) for f in (frames(s, i) for i in range(n))] for s in (x, y)]
+    sides = [[(f.fillna(0).to_numpy("int64").view("uint64"), f.notna().to_numpy()) for f in (frames(s["phash"], i) for i in range(n))] for s in (x, y)]
     found = [(np.zeros(0, "int64"), np.zeros(0, "int64"))]
     for at in range(0, len(x), STRIP_ROWS):
-        close = np.zeros((len(x[at : at + STRIP_ROWS]), len(y)), "int16")
+        strip = slice(at, at + STRIP_ROWS)
+        close = np.zeros((len(own[strip]), len(y)), np.min_scalar_type(n))
         for (p, has_p), (q, has_q) in zip(*sides, strict=True):
-            strip = slice(at, at + STRIP_ROWS)
-            close += (np.bitwise_count((p[strip, None] ^ q[None, :]).view("uint64")) <= bits) & has_p[strip, None] & has_q[None, :]
+            same = np.bitwise_count(p[strip, None] ^ q[None, :]) <= bits
+            if not (has_p.all() and has_q.all()):
+                same &= has_p[strip, None] & has_q[None, :]
+            close += same
         a, b = np.nonzero(close >= least)
+        other = own[a + at] != others[b]
+        a, b = a[other], b[other]
+        if most:
+            order = np.lexsort((b, -close[a, b].astype("int64"), a))
+            order = order[np.arange(len(a)) - np.searchsorted(a, a) < most]  # places in the runs of each row
+            a, b = a[order], b[order]
         found.append((a + at, b))
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def close_pairs(f: DataFrame, least: int, bits: int = BITS, block_rows: int | None = None) -> DataFrame:
-    """Pairs (a < b) of shot_id whose phash is within ``bits`` in at least ``least`` frames; all pairs, by blocks."""
-    ship(f.sparkSession)
-    rows = f.filter("status = 'ok' AND shot_id <> ''").select("shot_id", "phash")
-    n = -(-rows.count() // (block_rows or BLOCK_ROWS))
-    own = F.pmod(F.xxhash64("shot_id"), F.lit(max(1, n)))
-    meets = F.transform(F.sequence(F.lit(0), F.lit(max(1, n) - 1)), lambda o: F.struct(F.least("_b", o).alias("i"), F.greatest("_b", o).alias("j")))
-    dealt = rows.filter("size(phash) > 0").withColumn("_b", own).withColumn("_m", F.explode(meets))
-
-    def work(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        x, y = cell[cell["_b"] == key[0]], cell[cell["_b"] == key[1]]
+def _hashed(f: DataFrame) -> DataFrame:
+    return f.filter("status = 'ok' AND shot_id <> '' AND size(phash) > 0").select("shot_id", "phash")
+
+
+def _blocks(rows: DataFrame, block_rows: int | None) -> int:
+    return max(1, -(-rows.count() // (block_rows or BLOCK_ROWS)))
+
+
+def _block(n: int) -> Column:
+    return F.pmod(F.xxhash64("shot_id"), F.lit(n))
+
+
+def _compared(cells: DataFrame, least: int, bits: int, most: int | None = None) -> DataFrame:
+    """Close pairs (a < b) of rows (shot_id, phash, i, j, x, y): in each cell (i, j) those of side x with those of side y."""
+    ship(cells.sparkSession)
+
+    def work(cell: pd.DataFrame) -> pd.DataFrame:
+        x, y = cell[cell["x"]], cell[cell["y"]]
         if x.empty or y.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="str")
-        a, b = _close_rows(x["phash"], y["phash"], least, bits)
+        a, b = _close_rows(x, y, least, bits, most)
         return pd.DataFrame({"a": x["shot_id"].to_numpy()[a], "b": y["shot_id"].to_numpy()[b]})
 
-    met = dealt.select("shot_id", "phash", "_b", "_m.i", "_m.j").groupBy("i", "j").applyInPandas(work, "a string, b string")
-    return met.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = cells.groupBy("i", "j").applyInPandas(work, "a string, b string")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def candidate_pairs(f: DataFrame) -> DataFrame:
-    """Pairs (a < b) with enough close frames by the first hash, or the same file hash.
+def _within(rows: DataFrame, n: int, meets: Column) -> DataFrame:
+    """Cells of rows in n blocks; ``meets`` says in which cells (i, j) a row of block _b is."""
+    dealt = rows.withColumn("_b", _block(n)).withColumn("_m", F.explode(meets))
+    return dealt.select("shot_id", "phash", "_m.i", "_m.j", (F.col("_b") == F.col("_m.j")).alias("x"), (F.col("_b") == F.col("_m.i")).alias("y"))
 
-    Rows of one file hash are linked as a star on the smallest, which loses no link.
-    """
-    enough = close_pairs(f, min(K.NEAR[0], K.STRONG[0]))
+
+def close_pairs(f: DataFrame, least: int, bits: int = BITS, block_rows: int | None = None) -> DataFrame:
+    """Pairs (a < b) of shot_id whose phash is within ``bits`` in at least ``least`` frames; all pairs, by blocks."""
+    rows = _hashed(f)
+    n = _blocks(rows, block_rows)
+    meets = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("_b", o).alias("i"), F.greatest("_b", o).alias("j")))
+    return _compared(_within(rows, n, meets), least, bits)
+
+
+def _close_between(f: DataFrame, g: DataFrame, least: int, block_rows: int | None) -> DataFrame:
+    """close_pairs() of a row of f and one of g."""
+    x, y = _hashed(f), _hashed(g)
+    nx, ny = _blocks(x, block_rows), _blocks(y, block_rows)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = x.select("shot_id", "phash", _block(nx).alias("i"), each(ny).alias("j"), F.lit(True).alias("x"), F.lit(False).alias("y"))
+    right = y.select("shot_id", "phash", each(nx).alias("i"), _block(ny).alias("j"), F.lit(False).alias("x"), F.lit(True).alias("y"))
+    return _compared(left.unionByName(right), least, BITS)
+
+
+def _copies(f: DataFrame) -> DataFrame:
+    """Rows of one file hash as a star on the smallest, which loses no link."""
     sha = f.filter("status = 'ok' AND clip_sha256 <> ''").select("shot_id", "clip_sha256")
     first = sha.groupBy("clip_sha256").agg(F.min("shot_id").alias("a"))
-    stars = sha.join(first, "clip_sha256").filter("shot_id > a").select("a", F.col("shot_id").alias("b"))
-    return enough.unionByName(stars).distinct()
+    return sha.join(first, "clip_sha256").filter("shot_id > a").select("a", F.col("shot_id").alias("b"))
+
+
+def candidate_pairs(f: DataFrame) -> DataFrame:
+    """Pairs (a < b) with enough close frames by the first hash, or the same file hash."""
+    return close_pairs(f, ENOUGH).unionByName(_copies(f)).distinct()
 
 
 def pair_score(df: DataFrame) -> DataFrame:
@@ -103,7 +151,7 @@ def pair_score(df: DataFrame) -> DataFrame:
             out = out | ((p <= most_p) & (d <= most_d))
         return out
 
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.col("n")
+    mean = lambda c: F.try_divide(F.aggregate(c, F.lit(0.0), lambda s, v: s + v), F.col("n"))  # noqa: E731  no frames: left out, but computed first
     df = df.withColumns(
         {
             "close_frames": F.size(F.filter(F.zip_with("p", "d", close), lambda x: x)),
@@ -128,9 +176,7 @@ def pair_score(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_pairs(f: DataFrame) -> DataFrame:
-    """All duplicate pairs of fingerprint rows, found by keys and scored exactly."""
-    pairs = candidate_pairs(f)
+def _scored(f: DataFrame, pairs: DataFrame) -> DataFrame:
     row = F.struct("shot_id", "asset_id", "duration_s", "clip_sha256", "phash", "dhash")
     one = f.select(F.col("shot_id").alias("_id"), row.alias("_r"))
     return pair_score(
@@ -140,6 +186,65 @@ def duplicate_pairs(f: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_pairs(f: DataFrame) -> DataFrame:
+    """All duplicate pairs of fingerprint rows, found by keys and scored exactly."""
+    return _scored(f, candidate_pairs(f))
+
+
+def _folded(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows without later copies of all that is scored, and those copies as pairs with the first; hashes with nulls are not folded."""
+    key = ["phash", "dhash", "duration_s", "clip_sha256"]
+    whole = F.col("status") == "ok"
+    for c in key[:2]:
+        whole &= F.coalesce(F.forall(c, lambda x: x.isNotNull()), F.lit(False))
+    named = [F.col(c).alias(f"_{c}") for c in key]
+    firsts = f.filter(whole & (F.col("shot_id") != "")).groupBy(*named).agg(F.min("shot_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    same = F.col("_whole")
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    marked = f.withColumn("_whole", whole).join(firsts, same, "left").select(*f.columns, "_first").checkpoint()
+    copies = marked.filter("shot_id > _first").select(F.col("_first").alias("a"), F.col("shot_id").alias("b"))
+    return marked.filter("_first IS NULL OR shot_id <= _first").drop("_first"), copies
+
+
+def linking_pairs(f: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Links (a, b, status) that join what duplicate_pairs() joins; a group's are all strong if and only if its pairs are.
+
+    Copies of all that is scored are links of the first, which then stands for them. Each
+    row first meets its own block and one other, and its closest partners there are
+    scored. Dense tables then have nearly all rows in one group that some pair makes a
+    near one: nothing more can be learnt from pairs inside it. All rows outside of it are
+    compared with all rows. So time follows the rows times those outside; where there is
+    no such group (few rows, or few duplicates) all pairs are compared.
+    """
+    _ensure_checkpoint_dir(f.sparkSession)
+    f = f.select("shot_id", "asset_id", "duration_s", "clip_sha256", "phash", "dhash", "status").checkpoint()
+    rows, copies = _folded(f)
+    copies = copies.unionByName(_copies(f)).distinct()
+    n = _blocks(_hashed(rows), block_rows)
+    every = lambda: _scored(f, close_pairs(rows, ENOUGH, block_rows=block_rows).unionByName(copies).distinct()).select("a", "b", "status")
+    if n < 3:
+        return every()
+    cell = lambda i, j: F.struct(F.lit(i).cast("long").alias("i"), j.alias("j"))
+    first = F.transform(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"), lambda o: cell(0, o))
+    own = F.struct(F.col("_b").alias("i"), F.col("_b").alias("j"))
+    look = _compared(_within(_hashed(rows), n, F.when(F.col("_b") == 0, first).otherwise(F.array(cell(0, F.col("_b")), own))), ENOUGH, BITS, PARTNERS)
+    found = _scored(f, look.unionByName(copies).distinct()).select("a", "b", "status").checkpoint()
+    comp = least_reachable(found)
+    strong = found.join(comp, found["a"] == comp["node"]).groupBy("component").agg(F.bool_and(F.col("status") == "strong_duplicate").alias("strong"))
+    groups = comp.groupBy("component").agg(F.count("*").alias("n")).join(strong, "component").checkpoint()
+    most = groups.filter("NOT strong").orderBy(F.desc("n"), "component").first()
+    if most is None:
+        return every()
+    settled = comp.filter(F.col("component") == most["component"]).select(F.col("node").alias("shot_id"))
+    rest, held = rows.join(settled, "shot_id", "left_anti").checkpoint(), rows.join(settled, "shot_id", "left_semi")
+    more = close_pairs(rest, ENOUGH, block_rows=block_rows).unionByName(_close_between(rest, held, ENOUGH, block_rows)).distinct()
+    # What was found first, as a star of each group.
+    status = F.when(F.col("strong"), "strong_duplicate").otherwise("near_duplicate_candidate")
+    stars = comp.join(groups, "component").filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"), status.alias("status"))
+    return stars.unionByName(_scored(f, more).select("a", "b", "status"))
+
+
 def least_reachable(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """node, component (its smallest node) of all nodes with an edge.
 

@@ -231,7 +231,7 @@ def dup_pairs_scored(spark, d):
 @query()
 def dup_groups(spark, d):
     f = _fingerprints(spark, d)
-    g = D.duplicate_groups(f, D.duplicate_pairs(f))
+    g = D.duplicate_groups(f, D.linking_pairs(f))
     return D.annotate(f.select("shot_id", "asset_id"), g)
 
 
